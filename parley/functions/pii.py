@@ -45,46 +45,70 @@ def ip_ok(col: Column) -> Column:
     return F.forall(F.split(col, r"\."), lambda part: part.cast("int") <= 255)
 
 
+Gate = Callable[[Column, Column], Column]
+
+
 @dataclass(frozen=True)
 class Detector:
+    """A pattern, the check its matches must pass, and a cheap necessary test (text, text holds a digit)."""
+
     kind: str
     pattern: str
+    gate: Gate
     group: int = 0
     valid: Callable[[Column], Column] | None = None
-    gate: str | None = None
     only_up_to: str | None = None
     longest_first: bool = False
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, text: Column, has_digit: Column) -> Column:
         """Valid matches in order of occurrence, repeats included."""
-        searched = text
-        if self.only_up_to:
-            searched = F.regexp_extract(text, self.only_up_to, 0)
+        searched = F.regexp_extract(text, self.only_up_to, 0) if self.only_up_to else text
         found = F.regexp_extract_all(searched, F.lit(self.pattern), F.lit(self.group))
         if self.valid is not None:
             found = F.filter(found, self.valid)
         if self.longest_first:
-            found = F.reverse(F.array_sort(F.transform(found, lambda m: F.struct(F.length(m).alias("l"), m.alias("v")))))
-            found = F.transform(found, lambda m: m["v"])
-        if self.gate:
-            found = F.when(F.rlike(text, F.lit(self.gate)), found).otherwise(F.array().cast("array<string>"))
-        return found
-
-
-_EMAIL = Detector("EMAIL", fv.EMAIL, gate="@")
-_PHONES = [Detector("PHONE", p, gate=r"\d{3}[-.]?\d{4}") for p in fv.PHONES]
-_CARD = Detector("CARD", fv.CARD, valid=luhn_ok, gate=r"\d{13}")
-_CARDS = [Detector("CARD", p, valid=luhn_ok, gate=r"\d{13}") for p in fv.CARD_BRANDS]
-_SSN = Detector("SSN", fv.SSN, valid=ssn_ok, gate=r"\d-\d{2}-\d")
-_DOB = Detector("DOB", fv.DOB, gate=r"\d[/-]\d{2}[/-]\d{4}")
-_DOB_CHECKED = Detector("DOB", fv.DOB, valid=dob_ok, gate=r"\d[/-]\d{2}[/-]\d{4}")
-_MRN = Detector("MRN", fv.MRN, group=1, gate=r"(?i)MRN|Medical Record")
-_IP = Detector("IP", fv.IP, valid=ip_ok, gate=r"\d\.\d{1,3}\.\d")
+            found = longest_first(found)
+        return F.when(self.gate(text, has_digit), found).otherwise(F.array().cast("array<string>"))
+
+
+def longest_first(values: Column) -> Column:
+    sized = F.transform(values, lambda m: F.struct(F.length(m).alias("l"), m.alias("v")))
+    return F.transform(F.reverse(F.array_sort(sized)), lambda m: m["v"])
+
+
+def _with_digit(pattern: str) -> Gate:
+    return lambda text, has_digit: has_digit & F.rlike(text, F.lit(pattern))
+
+
+def _holds_any(needles: list[str]) -> Gate:
+    def gate(text, _):
+        lowered = F.lower(text)
+        test = F.contains(lowered, F.lit(needles[0]))
+        for needle in needles[1:]:
+            test = test | F.contains(lowered, F.lit(needle))
+        return test
+    return gate
+
+
+def _address_gate(text: Column, has_digit: Column) -> Column:
+    street = F.lit(rf"(?i)(?:{fv.ADDRESS_SUFFIXES})\b")
+    return has_digit & F.rlike(text, F.lit(r"\d\s+[A-Za-z0-9\s,.-]")) & F.rlike(text, street)
+
+
+_EMAIL = Detector("EMAIL", fv.EMAIL, lambda text, _: F.contains(text, F.lit("@")))
+_PHONES = [Detector("PHONE", p, _with_digit(r"\d{3}[-.]?\d{4}")) for p in fv.PHONES]
+_CARD = Detector("CARD", fv.CARD, _with_digit(r"\d{13}"), valid=luhn_ok)
+_CARDS = [Detector("CARD", p, _with_digit(r"\d{13}"), valid=luhn_ok) for p in fv.CARD_BRANDS]
+_SSN = Detector("SSN", fv.SSN, _with_digit(r"\d-\d{2}-\d"), valid=ssn_ok)
+_DOB = Detector("DOB", fv.DOB, _with_digit(r"\d[/-]\d{2}[/-]\d{4}"))
+_DOB_CHECKED = Detector("DOB", fv.DOB, _with_digit(r"\d[/-]\d{2}[/-]\d{4}"), valid=dob_ok)
+_MRN = Detector("MRN", fv.MRN, _holds_any(["mrn", "medical record"]), group=1)
+_IP = Detector("IP", fv.IP, _with_digit(r"\d\.\d{1,3}\.\d"), valid=ip_ok)
 # An address ends with a street word, so nothing behind the last street word can matter.
-_ADDRESS = Detector("ADDRESS", fv.ADDRESS, gate=rf"(?i)(?:{fv.ADDRESS_SUFFIXES})\b",
-                    only_up_to=rf"(?is)^.*(?:{fv.ADDRESS_SUFFIXES})\b")
+_ADDRESS = Detector("ADDRESS", fv.ADDRESS, _address_gate, only_up_to=rf"(?is)^.*(?:{fv.ADDRESS_SUFFIXES})\b")
 # Longer names first, so that "covid-19" is not read as "covid".
-_CONDITION = Detector("CONDITION", "(?i)" + "|".join(sorted(fv.CONDITIONS, key=lambda c: -len(c))), longest_first=True)
+_CONDITION = Detector("CONDITION", "(?i)" + "|".join(sorted(fv.CONDITIONS, key=lambda c: -len(c))),
+                      _holds_any(fv.CONDITIONS), longest_first=True)
 
 PROFILES: dict[str, list[Detector]] = {
     "validated": [_EMAIL, *_PHONES, _CARD, _SSN, _DOB, _MRN, _IP, _ADDRESS],
@@ -122,16 +146,18 @@ def with_redaction(df, text_col: str, detectors: list[Detector] | str = "validat
     """
     chain = PROFILES[detectors] if isinstance(detectors, str) else detectors
     out = df.withColumn(redacted_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # Replacement tokens stand in brackets, so they never make up a number which was not there before.
+    out = out.withColumn("__digit", F.rlike(redacted_col, F.lit("[0-9]")))
     counts = []
     for i, detector in enumerate(chain):
         hits, count = f"__hits_{i}", f"__n_{i}"
-        out = out.withColumn(hits, detector.matches(F.col(redacted_col)))
+        out = out.withColumn(hits, detector.matches(F.col(redacted_col), F.col("__digit")))
         out = out.withColumns({
             redacted_col: replace_all(F.col(redacted_col), F.col(hits), detector.kind, mode),
             count: F.size(hits),
         }).drop(hits)
         counts.append(count)
-    return out.withColumn(found_col, F.array(*counts)).drop(*counts)
+    return out.withColumn(found_col, F.array(*counts)).drop("__digit", *counts)
 
 
 def pii_columns(df, text_col: str, profile: str = "validated", mode: str = "hash"):
@@ -187,10 +213,7 @@ def with_names_redacted(df, id_col: str, text_col: str, names, name_col: str, mo
                 .agg(F.sort_array(F.collect_list("__name")).alias("names_found")))
     out = df.join(per_text, df[id_col] == per_text["__id"], "left").drop("__id")
     found = F.coalesce("names_found", F.array().cast("array<string>"))
-    longest_first = F.transform(
-        F.reverse(F.array_sort(F.transform(found, lambda m: F.struct(F.length(m).alias("l"), m.alias("v"))))),
-        lambda m: m["v"])
     return out.withColumn("names_found", found).withColumn("redacted_text", F.when(
         F.size(found) == 0, F.col(text_col)).otherwise(F.aggregate(
-            longest_first, F.col(text_col),
+            longest_first(found), F.col(text_col),
             lambda acc, m: F.replace(acc, m, token_for("NAME", m, mode)))))

@@ -6,6 +6,8 @@ l1..l4, source, sentiment, ordinal. ``ordinal`` is the input order and decides t
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,11 +75,8 @@ def parse_rules(docs: DataFrame, json_col: str = "value", ordinal_col: str | Non
 
 def rules_from_dicts(spark, rules: list[dict]) -> DataFrame:
     """A rule table from plain dictionaries in order of preference among equals."""
-    full = [{f.name: r.get(f.name) for f in RULE_JSON.fields} | {"ordinal": i} for i, r in enumerate(rules)]
-    schema = T.StructType(RULE_JSON.fields + [T.StructField("ordinal", T.LongType())])
-    df = spark.createDataFrame([tuple(d[f.name] for f in schema.fields) for d in full], schema)
-    return parse_rules(df.select("ordinal", F.to_json(F.struct(*[f.name for f in RULE_JSON.fields])).alias("value")),
-                       "value", "ordinal")
+    documents = F.array(*[F.lit(json.dumps(r)) for r in rules])
+    return parse_rules(spark.range(1).select(F.posexplode(documents).alias("ordinal", "value")), "value", "ordinal")
 
 
 def pack_rules(groups: DataFrame, industry: str | None = None) -> DataFrame:
