@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
+from parley.functions.once import once
 
 MODES = ("hash", "mask", "token", "remove")
 
@@ -151,9 +152,9 @@ def with_redaction(df, text_col: str, detectors: list[Detector] | str = "validat
     counts = []
     for i, detector in enumerate(chain):
         hits, count = f"__hits_{i}", f"__n_{i}"
-        out = out.withColumn(hits, detector.matches(F.col(redacted_col), F.col("__digit")))
+        out = out.withColumn(hits, once(detector.matches(F.col(redacted_col), F.col("__digit"))))
         out = out.withColumns({
-            redacted_col: replace_all(F.col(redacted_col), F.col(hits), detector.kind, mode),
+            redacted_col: once(replace_all(F.col(redacted_col), F.col(hits), detector.kind, mode)),
             count: F.size(hits),
         }).drop(hits)
         counts.append(count)
@@ -174,7 +175,7 @@ def pii_columns(df, text_col: str, profile: str = "validated", mode: str = "hash
         per_kind.append(total)
     pairs = F.map_from_arrays(F.array(*[F.lit(fv.PII_COUNTERS[k]) for k in kinds]), F.array(*per_kind))
     return (out.withColumn("pii_counts", F.map_filter(pairs, lambda _, n: n > 0))
-            .withColumn("total_items", F.aggregate("pii_found", F.lit(0), lambda a, n: a + n))
+            .withColumn("total_items", once(F.aggregate("pii_found", F.lit(0), lambda a, n: a + n)))
             .withColumn("pii_detected", F.col("total_items") > 0)
             .drop("pii_found"))
 
@@ -191,7 +192,7 @@ def with_hardened_redaction(df, text_col: str, mode: str = "hash", redacted_col:
     # Only the text up to the last street word can hold an address.
     done = F.col("__done")
     head = F.regexp_extract(done, rf"(?s)^.*{street}", 0)
-    return (df.withColumn("__done", text)
+    return (df.withColumn("__done", once(text))
             .withColumn("__head", F.when(F.rlike(done, F.lit(street)), head).otherwise(F.lit("")))
             .withColumn(redacted_col, F.concat(F.regexp_replace("__head", address, tags["ADDR"]),
                                                F.substring(done, F.length("__head") + 1, F.length(done))))

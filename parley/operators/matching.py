@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
+from parley.functions.once import once
 from parley.functions.terms import (
     clean_term,
     term_found,
@@ -146,7 +147,7 @@ def with_best_rank(df: DataFrame, rules: list[Rule], text_col: str, out: str = "
     prepared = _with_words(df, text_col, rules)
     tests = [F.when(rule_condition(r, F.col("__text"), F.col("__low"), F.col("__known")), F.lit(i))
              for i, r in enumerate(rules, 1)]
-    best = F.coalesce(*tests) if tests else F.lit(None).cast("int")
+    best = once(F.coalesce(*tests)) if tests else F.lit(None).cast("int")
     return prepared.withColumn(out, best).drop("__text", "__low", "__known")
 
 
@@ -213,7 +214,7 @@ def _inline_hits(df: DataFrame, rules: list[Rule], text_col: str, id_col: str) -
     prepared = _with_words(df.select(id_col, text_col), text_col, rules)
     tests = [F.when(rule_condition(r, F.col("__text"), F.col("__low"), F.col("__known")), F.lit(r.rank))
              for r in sorted(rules, key=lambda r: r.rank)]
-    return (prepared.select(id_col, F.array_compact(F.array(*tests)).alias("ranks"))
+    return (prepared.select(id_col, once(F.array_compact(F.array(*tests))).alias("ranks"))
             .select(id_col, F.posexplode("ranks").alias("pos", "rank"))
             .select(id_col, (F.col("pos") + 1).alias("hit_no"), "rank"))
 

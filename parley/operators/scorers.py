@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
+from parley.functions.once import once
 from parley.functions.terms import clean_term, quote, term_found, term_words
 from parley.functions.text import as_text, normalize, strip, word_tokens, words
 
@@ -95,7 +96,7 @@ def classify_weighted(df: DataFrame, packs, text_col: str) -> DataFrame:
     listed = F.array(*[F.lit(w) for w in vocabulary])
     found = (df.withColumn("__text", as_text(text_col)).withColumn("__low", F.lower("__text"))
              .withColumn("__known", F.array_intersect(word_tokens(F.col("__low")), listed))
-             .withColumn("__best", F.array_max(F.array(*entries)))
+             .withColumn("__best", once(F.array_max(F.array(*entries))))
              .withColumn("__group", F.get(_group_table(groups), -F.col("__best.order"))))
     return _with_levels(found, F.least(F.col("__best.score") / 100, F.lit(1.0))).withColumn(
         "match_path", F.when(F.col("__group").isNull(), UNCATEGORIZED).otherwise(category_path())).drop(
@@ -129,8 +130,8 @@ def classify_keyword_first(df: DataFrame, packs, text_col: str) -> DataFrame:
     entries = [F.when(hits(g) > 0, F.struct(hits(g).alias("n"), F.lit(-i).alias("order"))) for i, g in rules]
     most = F.array_max(F.array(*entries)) if entries else F.lit(None).cast("struct<n:int,order:int>")
     sizes = F.array(*[F.lit(len(g["conditions"])) for g in groups])
-    out = (df.withColumn("__low", normalize(text_col)).withColumn("__kw", first)
-           .withColumn("__most", F.when(F.col("__kw").isNull(), most))
+    out = (df.withColumn("__low", normalize(text_col)).withColumn("__kw", once(first))
+           .withColumn("__most", once(F.when(F.col("__kw").isNull(), most)))
            .withColumn("__at", F.coalesce(F.col("__kw"), -F.col("__most.order")))
            .withColumn("__group", F.get(_group_table(groups), F.col("__at"))))
     share = F.least(F.col("__most.n") / F.get(sizes, F.col("__at")), F.lit(1.0)) * 0.85
@@ -180,7 +181,7 @@ def classify_topics(df: DataFrame, text_col: str, style: str = "v1", topics: dic
     low, known = F.col("__low"), F.col("__set")
     scored = [(name, _topic_score(style, low, known, kws)) for name, kws in (topics or fv.TOPICS).items()]
     return (df.withColumn("__low", normalize(text_col)).withColumn("__set", _word_set(style, low))
-            .withColumn("__best", _first_best(scored))
+            .withColumn("__best", once(_first_best(scored)))
             .withColumns({"topic": F.coalesce("__best.name", F.lit("")),
                           "topic_score": F.coalesce(F.col("__best.score").cast("int"), F.lit(0))})
             .drop("__low", "__set", "__best"))
@@ -194,7 +195,7 @@ def classify_subtopics(df: DataFrame, text_col: str, style: str = "v1", subtopic
         one = _first_best([(n, _topic_score(style, low, known, kws, phrases=False)) for n, kws in children.items()])
         best = F.when(F.col("topic") == topic, one) if best is None else best.when(F.col("topic") == topic, one)
     return (df.withColumn("__low", normalize(text_col)).withColumn("__set", _word_set(style, low))
-            .withColumn("__best", best)
+            .withColumn("__best", once(best))
             .withColumns({"subtopic": F.coalesce("__best.name", F.lit("")),
                           "subtopic_score": F.coalesce(F.col("__best.score").cast("int"), F.lit(0))})
             .drop("__low", "__set", "__best"))
@@ -221,7 +222,7 @@ def proximity_themes(df: DataFrame, text_col: str, themes: dict | None = None) -
     low = F.col("__low")
     hits = F.array_compact(F.array(*[F.when(_any([_holds(low, k) for k in kws]), F.lit(name))
                                      for name, kws in themes.items()]))
-    return (df.withColumn("__low", normalize(text_col)).withColumn("__hits", hits)
+    return (df.withColumn("__low", normalize(text_col)).withColumn("__hits", once(hits))
             .withColumns({
                 "matched_themes": F.array_sort("__hits"),
                 "theme_count": F.size("__hits"),
@@ -260,7 +261,7 @@ def _sum(values: Column) -> Column:
 
 def with_polarity(df: DataFrame, text_col: str, polarity: dict[str, float], out: str = "polarity") -> DataFrame:
     """Mean weight of the words in the polarity lexicon, 0 if there are none."""
-    return (df.withColumn("__w", _weights(word_tokens(normalize(text_col)), polarity))
+    return (df.withColumn("__w", once(_weights(word_tokens(normalize(text_col)), polarity)))
             .withColumn(out, F.when(F.size("__w") > 0, _sum(F.col("__w")) / F.size("__w")).otherwise(0.0)).drop("__w"))
 
 
@@ -269,7 +270,7 @@ def sentiment_hybrid(df: DataFrame, text_col: str, polarity: dict[str, float], v
     """Five labels from mean polarity and summed valence; '' below three characters, neutral below three words."""
     lim, wt = fv.SENTIMENT_LIMITS, fv.SENTIMENT_WEIGHTS
     scored = (with_polarity(df, text_col, polarity, "__p")
-              .withColumn("__v", _sum(_weights(word_tokens(normalize(text_col)), valence)))
+              .withColumn("__v", once(_sum(_weights(word_tokens(normalize(text_col)), valence))))
               .withColumn("__s", F.col("__p") * wt["polarity"] + F.col("__v") / 5.0 * wt["valence"]))
     s, text = F.col("__s"), as_text(text_col)
     return scored.withColumn(
@@ -305,11 +306,13 @@ def with_language(df: DataFrame, text_col: str, profiles: dict[str, list[str]] |
                   out: str = "language") -> DataFrame:
     """Add the language whose function words are most frequent; ``unknown`` for short texts or without any."""
     profiles = profiles or LANGUAGE_PROFILES
-    tokens = F.col("__tokens")
-    counts = [(lang, F.size(F.filter(tokens, lambda t, ws=ws: t.isin(ws))).cast("double"))
-              for lang, ws in profiles.items()]
+
+    def share(ws):
+        return F.size(F.filter("__tokens", lambda t: t.isin(ws))).cast("double")
+
+    counts = [(lang, share(ws)) for lang, ws in profiles.items()]
     text = as_text(text_col)
-    return (df.withColumn("__tokens", word_tokens(F.lower(text))).withColumn("__lang", _first_best(counts))
+    return (df.withColumn("__tokens", word_tokens(F.lower(text))).withColumn("__lang", once(_first_best(counts)))
             .withColumn(out, F.when(F.length(strip(text)) < 3, "unknown").otherwise(
                 F.coalesce("__lang.name", F.lit("unknown")))).drop("__tokens", "__lang"))
 
@@ -339,5 +342,5 @@ def detect_industry(df: DataFrame, company_col: str, companies: DataFrame, out:
     name = F.trim(F.lower(F.col(company_col)))
     hits = F.filter(listed, lambda m: (F.trim(m["c"]) == F.col("__name")) | F.contains(m["c"], F.col("__name"))
                     | F.contains(F.col("__name"), m["c"]))
-    return (df.withColumn("__name", name).withColumn("__hit", F.get(hits, F.lit(0)))
+    return (df.withColumn("__name", name).withColumn("__hit", once(F.get(hits, F.lit(0))))
             .withColumn(out, F.col("__hit.i")).drop("__name", "__hit"))

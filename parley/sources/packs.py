@@ -21,9 +21,11 @@ PACK_SCHEMA = T.StructType([
 def _read(spark: SparkSession, path, multiline: bool) -> DataFrame:
     df = spark.read.schema(PACK_SCHEMA).json(path, multiLine=multiline, mode="PERMISSIVE",
                                              columnNameOfCorruptRecord="_corrupt_record")
-    pattern = r"/([^/]+)/(rules|keywords)\.json(?:/|$)"
+    pattern = r"/(?:industry=)?([^/]+)/(?:kind=)?(rules|keywords)\.json(?:/|$)"
     file = F.url_decode(F.col("_metadata.file_path"))
-    return df.select("*", F.regexp_extract(file, pattern, 1).alias("industry"),
+    empty = F.col("conditions").isNull() & F.col("set").isNull()
+    return df.select("*", (F.col("_corrupt_record").isNotNull() | empty).alias("unreadable"),
+                     F.regexp_extract(file, pattern, 1).alias("industry"),
                      F.regexp_extract(file, pattern, 2).alias("kind"),
                      F.col("_metadata.file_path").alias("file"),
                      F.monotonically_increasing_id().alias("group_no"))
@@ -31,7 +33,7 @@ def _read(spark: SparkSession, path, multiline: bool) -> DataFrame:
 
 def _groups(df: DataFrame) -> DataFrame:
     s = F.col("set")
-    return df.where(F.col("_corrupt_record").isNull()).select(
+    return df.where(~F.col("unreadable")).select(
         "industry", "kind", "group_no", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"),
         F.coalesce(s["category"], F.lit(UNCATEGORIZED)).alias("l1"),
         F.coalesce(s["subcategory"], F.lit(NOT_AVAILABLE)).alias("l2"),
@@ -47,7 +49,7 @@ def load_packs(spark: SparkSession, folder: str, multiline: bool = True) -> Data
     """
     raw = _read(spark, f"{folder}/*/*.json", multiline)
     usable = (raw.where("kind <> ''").groupBy("industry")
-              .agg(F.count_distinct("kind").alias("kinds"), F.count("_corrupt_record").alias("bad"))
+              .agg(F.count_distinct("kind").alias("kinds"), F.count_if("unreadable").alias("bad"))
               .where("kinds = 2 and bad = 0 and not startswith(industry, '.')").select("industry"))
     return _groups(raw).join(usable, "industry", "left_semi")
 
@@ -66,7 +68,7 @@ def pack_inventory(spark: SparkSession, folder: str, expected: DataFrame, multil
     valid: both files present and readable; invalid: a file is broken; missing: a file or the folder is absent.
     """
     raw = _read(spark, f"{folder}/*/*.json", multiline).where("kind <> '' and not startswith(industry, '.')")
-    good = F.col("_corrupt_record").isNull()
+    good = ~F.col("unreadable")
     counts = raw.groupBy("industry").agg(
         F.count_if(good & (F.col("kind") == "rules")).alias("rules"),
         F.count_if(good & (F.col("kind") == "keywords")).alias("keywords"),
