@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
@@ -26,7 +26,7 @@ from parley.functions.terms import (
     term_words,
 )
 from parley.functions.text import SPEAKERS, as_text, has_speaker_label, speaker_text, word_tokens, words
-from parley.operators.rules import rank_rules, rules_from_dicts, score_rules
+from parley.operators.rules import rules_from_dicts, score_rules
 
 MAX_INLINE_RULES = 2_000
 
@@ -49,7 +49,7 @@ class Rule:
     l4: str = NOT_AVAILABLE
     sentiment: str | None = None
     score: int = 0
-    rank: int = 0
+    ordinal: int = 0
 
     @property
     def detail(self) -> str:
@@ -63,26 +63,23 @@ class Rule:
 
 
 _FIELDS = ["rule_id", "terms", "operators", "proximity", "position", "within_words", "sent_by", "exclude_if",
-           "l1", "l2", "l3", "l4", "sentiment", "score", "rank"]
+           "l1", "l2", "l3", "l4", "sentiment", "score", "ordinal"]
 
 
-def ranked_rules(rules: DataFrame) -> DataFrame:
-    """Rules which have a term, with score and rank."""
-    return rank_rules(score_rules(rules.where(F.size("terms") > 0)))
+def scored_rules(rules: DataFrame) -> DataFrame:
+    """Rules which have a term, with their score."""
+    return score_rules(rules.where(F.size("terms") > 0))
+
+
+def _in_order(rows) -> list[Rule]:
+    """The order in which rules are tried: by falling score, equal scores in input order."""
+    return sorted((Rule(**row.asDict()) for row in rows), key=lambda r: (-r.score, r.ordinal))
 
 
 def read_rules(rules: DataFrame, limit: int = MAX_INLINE_RULES) -> list[Rule] | None:
-    """The ranked rules on the driver, or None if there are more than ``limit``."""
-    scored = score_rules(rules.where(F.size("terms") > 0))
-    rows = scored.select(*_FIELDS[:-1], "ordinal").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    listed = []
-    for rank, row in enumerate(sorted(rows, key=lambda r: (-r.score, r.ordinal)), 1):
-        values = row.asDict()
-        del values["ordinal"]
-        listed.append(Rule(**values, rank=rank))
-    return listed
+    """The rules in order on the driver, or None if there are more than ``limit``."""
+    rows = scored_rules(rules).select(*_FIELDS).limit(limit + 1).collect()
+    return None if len(rows) > limit else _in_order(rows)
 
 
 def _vocabulary(rules: list[Rule]) -> list[str]:
@@ -160,19 +157,22 @@ def _rule_table(rules: list[Rule]) -> Column:
     return F.array(*[entry(r) for r in rules])
 
 
-def _attach(df: DataFrame, rules: list[Rule], with_sentiment: bool) -> DataFrame:
-    rule = F.get(_rule_table(rules), F.col("__rank") - 1) if rules else None
-
+def _result_columns(rule: Column, with_sentiment: bool) -> dict[str, Column]:
     def value(name, default):
-        return F.coalesce(rule[name], F.lit(default)) if rules else F.lit(default)
+        return F.coalesce(rule[name], F.lit(default))
 
     cols = {"l1": value("l1", UNCATEGORIZED), "l2": value("l2", NOT_AVAILABLE), "l3": value("l3", NOT_AVAILABLE),
             "l4": value("l4", NOT_AVAILABLE),
             "confidence": F.least(value("score", 0) / F.lit(100.0), F.lit(1.0)),
             "matched_rule": value("id", ""), "match_score": value("score", 0), "match_detail": value("detail", "")}
-    if with_sentiment:
-        cols["rule_sentiment"] = value("sentiment", "")
-    return df.withColumns(cols).drop("__rank")
+    return cols | ({"rule_sentiment": value("sentiment", "")} if with_sentiment else {})
+
+
+def _attach(df: DataFrame, rules: list[Rule], with_sentiment: bool) -> DataFrame:
+    if not rules:
+        rules = [Rule("", [""])]
+    rule = F.get(_rule_table(rules), F.col("__rank") - 1)
+    return df.withColumns(_result_columns(rule, with_sentiment)).drop("__rank")
 
 
 def classify(df: DataFrame, rules: DataFrame | list[dict], text_col: str, id_col: str | None = None,
@@ -196,27 +196,21 @@ def rule_hits_all(df: DataFrame, rules: DataFrame | list[dict], text_col: str, i
     table = rules_from_dicts(df.sparkSession, rules) if isinstance(rules, list) else rules
     listed = read_rules(table)
     if listed is None:
-        ranked = ranked_rules(table)
-        plain, special = _split(ranked)
-        hits = _plain_hits(df, plain, text_col, id_col).select(id_col, "rank")
-        others = [Rule(**r.asDict()) for r in special.select(*_FIELDS).collect()]
-        if others:
-            hits = hits.unionByName(_inline_hits(df, others, text_col, id_col).select(
-                id_col, F.col("rank").cast("long").alias("rank")))
-        return hits.join(ranked.select("rank", "rule_id", "score", *["l1", "l2", "l3", "l4"]), "rank").drop("rank")
+        return _hits_by_join(df, table, text_col, id_col)
     hits = _inline_hits(df, listed, text_col, id_col)
-    rule = F.get(_rule_table(listed), F.col("rank").cast("int") - 1)
-    return hits.select(id_col, F.col("hit_no"), rule["id"].alias("rule_id"), rule["score"].alias("score"),
+    rule = F.get(_rule_table(listed), F.col("place") - 1)
+    return hits.select(id_col, "hit_no", rule["id"].alias("rule_id"), rule["score"].alias("score"),
                        rule["detail"].alias("detail"), *[rule[c].alias(c) for c in ("l1", "l2", "l3", "l4")])
 
 
 def _inline_hits(df: DataFrame, rules: list[Rule], text_col: str, id_col: str) -> DataFrame:
+    """(id, hit_no, place of the rule in the list, counted from 1)."""
     prepared = _with_words(df.select(id_col, text_col), text_col, rules)
-    tests = [F.when(rule_condition(r, F.col("__text"), F.col("__low"), F.col("__known")), F.lit(r.rank))
-             for r in sorted(rules, key=lambda r: r.rank)]
-    return (prepared.select(id_col, once(F.array_compact(F.array(*tests))).alias("ranks"))
-            .select(id_col, F.posexplode("ranks").alias("pos", "rank"))
-            .select(id_col, (F.col("pos") + 1).alias("hit_no"), "rank"))
+    tests = [F.when(rule_condition(r, F.col("__text"), F.col("__low"), F.col("__known")), F.lit(i))
+             for i, r in enumerate(rules, 1)]
+    return (prepared.select(id_col, once(F.array_compact(F.array(*tests))).alias("places"))
+            .select(id_col, F.posexplode("places").alias("pos", "place"))
+            .select(id_col, (F.col("pos") + 1).alias("hit_no"), "place"))
 
 
 # --- long rule lists ------------------------------------------------------------------------------------------------
@@ -224,7 +218,7 @@ def _inline_hits(df: DataFrame, rules: list[Rule], text_col: str, id_col: str) -
 _PLAIN_OPS = ["AND", "OR", "NOT", "NOT LIKE"]
 
 
-def _split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rules which are a matter of which terms occur, and the others (wildcards, NEAR, position, speaker, odd terms)."""
     simple_term = r"^[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}](.*[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}])?$"
 
@@ -234,7 +228,7 @@ def _split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = (F.forall("operators", lambda o: F.upper(o).isin(_PLAIN_OPS)) & simple(F.col("terms"))
              & simple(F.col("exclude_if")) & (F.col("position").isNull() | ~F.col("position").isin("START", "END"))
              & (F.col("sent_by").isNull() | ~F.lower("sent_by").isin(*SPEAKERS)))
-    return ranked.where(plain), ranked.where(~plain)
+    return scored.where(plain), scored.where(~plain)
 
 
 def word_runs(lowered: Column, lengths: Column) -> Column:
@@ -255,18 +249,18 @@ def word_runs(lowered: Column, lengths: Column) -> Column:
 
 
 def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, rank) of the plain rules which hold; only ids, terms and ranks are shuffled, never a text."""
-    needed = plain.select("rank", F.posexplode("terms").alias("no", "term")).unionByName(
-        plain.select("rank", F.explode("exclude_if").alias("term")).select("rank", F.lit(-1).alias("no"), "term"))
+    """(id, score, ordinal) of the plain rules which hold; ids, terms and ordinals are shuffled, never a text."""
+    needed = plain.select("ordinal", F.posexplode("terms").alias("no", "term")).unionByName(
+        plain.select("ordinal", F.lit(-1).alias("no"), F.explode("exclude_if").alias("term")))
     needed = needed.withColumn("term", F.lower(F.trim("term"))).where("term <> ''")
-    lengths = needed.select(F.size(F.regexp_extract_all(
-        "term", F.lit(r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"), F.lit(0))).alias("k")).agg(
-            F.array_sort(F.collect_set("k")).alias("ks"))
+    # At most a few distinct numbers of words.
+    lengths = needed.select(F.size(word_tokens(F.col("term"))).alias("k")).agg(
+        F.array_sort(F.collect_set("k")).alias("ks"))
     runs = df.crossJoin(F.broadcast(lengths)).select(
         id_col, F.explode(word_runs(F.lower(as_text(text_col)), F.col("ks"))).alias("term"))
-    hits = runs.join(needed, "term").groupBy(id_col, "rank").agg(F.collect_set("no").alias("nos"))
-    held = hits.join(plain.select("rank", "terms", "operators"), "rank")
-    steps = F.sequence(F.lit(0), F.size("terms") - 1)
+    # A pair of text and rule has as many rows as the rule has terms.
+    hits = runs.join(needed, "term").groupBy(id_col, "ordinal").agg(F.collect_set("no").alias("nos"))
+    held = hits.join(plain.select("ordinal", "score", "terms", "operators"), "ordinal")
 
     def step(state, i):
         has = F.array_contains("nos", i)
@@ -274,8 +268,29 @@ def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) ->
         return (F.when(i == 0, has).when(op == "OR", state | has)
                 .when(op.isin("NOT", "NOT LIKE"), state & ~has).otherwise(state & has))
 
-    holds = F.aggregate(steps, F.lit(False), step) & ~F.array_contains("nos", -1)
-    return held.where(holds).select(id_col, "rank")
+    holds = F.aggregate(F.sequence(F.lit(0), F.size("terms") - 1), F.lit(False), step)
+    return held.where(holds & ~F.array_contains("nos", -1)).select(id_col, "score", "ordinal")
+
+
+def _details(scored: DataFrame) -> DataFrame:
+    detail = F.array_join(F.flatten(F.transform("terms", lambda t, i: F.when(
+        (i > 0) & (i <= F.size("operators")), F.array(F.get("operators", i - 1), t)).otherwise(F.array(t)))), " ")
+    return scored.select("ordinal", F.col("rule_id").alias("id"), "score", detail.alias("detail"),
+                         "l1", "l2", "l3", "l4", "sentiment")
+
+
+def _hits_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    scored = scored_rules(rules)
+    plain, special = _split(scored)
+    hits = _plain_hits(df, plain, text_col, id_col).select(id_col, "ordinal")
+    others = _in_order(special.select(*_FIELDS).collect())
+    if others:
+        ordinals = F.array(*[F.lit(r.ordinal).cast("long") for r in others])
+        hits = hits.unionByName(_inline_hits(df, others, text_col, id_col).select(
+            id_col, F.get(ordinals, F.col("place") - 1).alias("ordinal")))
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("score").desc(), "ordinal"))
+    return (hits.join(_details(scored), "ordinal").withColumn("hit_no", place)
+            .select(id_col, "hit_no", F.col("id").alias("rule_id"), "score", "detail", "l1", "l2", "l3", "l4"))
 
 
 def classify_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str,
@@ -285,32 +300,24 @@ def classify_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str
     Word runs of the texts are joined with the terms of the plain rules; the rest of the rules is evaluated in place.
     ``id_col`` must be unique.
     """
-    ranked = ranked_rules(rules)
-    plain, special = _split(ranked)
-    others = sorted((Rule(**r.asDict()) for r in special.select(*_FIELDS).collect()), key=lambda r: r.rank)
-    best_plain = _plain_hits(df, plain, text_col, id_col).groupBy(id_col).agg(F.min("rank").alias("__plain"))
-    out = df
+    scored = scored_rules(rules)
+    plain, special = _split(scored)
+    others = _in_order(special.select(*_FIELDS).collect())
+
+    def key(score, ordinal):
+        return F.struct((-score).cast("long").alias("a"), ordinal.cast("long").alias("b"))
+
+    best_plain = (_plain_hits(df, plain, text_col, id_col).groupBy(id_col)
+                  .agg(F.min(key(F.col("score"), F.col("ordinal"))).alias("__plain")))
     if others:
-        positions = F.array(*[F.lit(r.rank) for r in others])
+        keys = F.array(*[key(F.lit(r.score), F.lit(r.ordinal)) for r in others])
         out = with_best_rank(df, others, text_col, "__special").withColumn(
-            "__special", F.get(positions, F.col("__special") - 1))
+            "__special", F.get(keys, F.col("__special") - 1))
     else:
-        out = out.withColumn("__special", F.lit(None).cast("long"))
-    out = out.join(best_plain, id_col, "left").withColumn("__rank", F.least("__plain", "__special"))
-    details = ranked.select(
-        F.col("rank").alias("__rank"), F.col("l1").alias("__l1"), F.col("l2").alias("__l2"),
-        F.col("l3").alias("__l3"), F.col("l4").alias("__l4"), F.col("rule_id").alias("__id"),
-        F.col("score").alias("__score"), F.col("sentiment").alias("__sentiment"),
-        F.array_join(F.flatten(F.transform("terms", lambda t, i: F.when(
-            (i > 0) & (i <= F.size("operators")), F.array(F.get("operators", i - 1), t)).otherwise(F.array(t)))),
-            " ").alias("__detail"))
-    out = out.join(details, "__rank", "left")
-    cols = {"l1": F.coalesce("__l1", F.lit(UNCATEGORIZED)), "l2": F.coalesce("__l2", F.lit(NOT_AVAILABLE)),
-            "l3": F.coalesce("__l3", F.lit(NOT_AVAILABLE)), "l4": F.coalesce("__l4", F.lit(NOT_AVAILABLE)),
-            "confidence": F.least(F.coalesce("__score", F.lit(0)) / F.lit(100.0), F.lit(1.0)),
-            "matched_rule": F.coalesce("__id", F.lit("")), "match_score": F.coalesce("__score", F.lit(0)),
-            "match_detail": F.coalesce("__detail", F.lit(""))}
-    if with_sentiment:
-        cols["rule_sentiment"] = F.coalesce("__sentiment", F.lit(""))
-    return out.withColumns(cols).drop("__rank", "__plain", "__special", "__l1", "__l2", "__l3", "__l4", "__id",
-                                      "__score", "__sentiment", "__detail")
+        out = df.withColumn("__special", F.lit(None).cast("struct<a:bigint,b:bigint>"))
+    out = out.join(best_plain, id_col, "left").withColumn("__best", F.least("__plain", "__special"))
+    details = _details(scored)
+    r = details.select(F.col("ordinal").alias("__ordinal"), F.struct(*details.columns[1:]).alias("__rule"))
+    out = out.withColumn("__ordinal", F.col("__best.b")).join(r, "__ordinal", "left")
+    return out.withColumns(_result_columns(F.col("__rule"), with_sentiment)).drop(
+        "__plain", "__special", "__best", "__ordinal", "__rule")
