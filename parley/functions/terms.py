@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import WORD_CLASS
+from parley.functions.text import SPACE_CLASS, WORD_CLASS
 
 _WORD = f"[{WORD_CLASS}]"
 
@@ -90,31 +90,44 @@ def term_near(a: str, b: str, gap: int, lowered: Column) -> Column:
 
 
 def term_word_positions(term: str, lowered: Column) -> Column:
-    """For every occurrence, the number of white-space words that start before it."""
-    pieces = F.split(lowered, term_pattern(term), -1)
-    marks = F.regexp_extract_all(lowered, F.lit(term_pattern(term)), F.lit(0))
-    return word_offsets(pieces, marks)
+    """For every occurrence, the number of white-space words that start before it.
 
+    One pass over the pieces between the occurrences; it carries the number of words so far and whether the text so
+    far ends inside a word.
+    """
+    pattern = F.lit(term_pattern(term))
+    pairs = F.arrays_zip(F.split(lowered, term_pattern(term), -1).alias("piece"),
+                         F.regexp_extract_all(lowered, pattern, F.lit(0)).alias("mark"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("at"))
+
+    def advance(n, is_open, text):
+        count = F.size(F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0)))
+        glued = is_open & (text != "") & ~F.rlike(text, F.lit(f"^[{SPACE_CLASS}]"))
+        ends_open = F.when(text == "", is_open).otherwise(~F.rlike(text, F.lit(f"[{SPACE_CLASS}]$")))
+        return n + count - glued.cast("int"), ends_open
+
+    def step(acc, pair):
+        n, is_open = advance(acc["n"], acc["open"], pair["piece"])
+        n2, open2 = advance(n, is_open, F.coalesce(pair["mark"], F.lit("")))
+        at = F.when(pair["mark"].isNotNull(), F.concat(acc["at"], F.array(n))).otherwise(acc["at"])
+        return F.struct(n2.alias("n"), open2.alias("open"), at.alias("at"))
+
+    return F.aggregate(pairs, zero, step, lambda acc: acc["at"])
 
-def word_offsets(pieces: Column, marks: Column) -> Column:
-    """Word counts of the text in front of each mark; ``pieces`` are the texts between the marks.
 
-    One pass over the pieces: it carries the number of words so far and whether the text so far ends inside a word.
+def within_distance(left: Column, right: Column, n: int) -> Column:
+    """Whether some entry of ``left`` and some entry of ``right`` are at most ``n`` apart.
+
+    In the merged order the closest such pair stands side by side, so neighbours are all there is to compare.
     """
-    space = r"[\t-\r\x1c-\x20\x85\p{Z}]"
-    seed = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"),
-                    F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"))
+    def tag(side):
+        return lambda p: F.struct(p.alias("p"), F.lit(side).alias("side"))
 
-    def advance(n, is_open, text):
-        count = F.size(F.regexp_extract_all(text, F.lit(rf"[^{space[1:]}+"), F.lit(0)))
-        glued = is_open & (text != "") & ~F.rlike(text, F.lit(f"^{space}"))
-        return n + count - glued.cast("int"), F.when(text == "", is_open).otherwise(~F.rlike(text, F.lit(f"{space}$")))
-
-    def step(acc, piece):
-        n, is_open = advance(acc["n"], acc["open"], piece)
-        mark = F.get(marks, acc["i"])
-        n2, open2 = advance(n, is_open, F.coalesce(mark, F.lit("")))
-        at = F.when(mark.isNotNull(), F.concat(acc["at"], F.array(n))).otherwise(acc["at"])
-        return F.struct(n2.alias("n"), open2.alias("open"), at.alias("at"), (acc["i"] + 1).alias("i"))
-
-    return F.aggregate(pieces, seed, step, lambda acc: acc["at"])
+    merged = F.array_sort(F.concat(F.transform(left, tag(0)), F.transform(right, tag(1))))
+    zero = F.struct(F.lit(0).alias("p"), F.lit(-1).alias("side"), F.lit(False).alias("near"))
+
+    def step(acc, x):
+        close = (acc["side"] >= 0) & (acc["side"] != x["side"]) & (x["p"] - acc["p"] <= n)
+        return F.struct(x["p"].alias("p"), x["side"].alias("side"), (acc["near"] | close).alias("near"))
+
+    return F.aggregate(merged, zero, step, lambda acc: acc["near"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.fixed_values import STOP_WORDS, TOKEN_EDGE
+from parley.functions.once import once
 from parley.functions.terms import is_word_char, quote
 from parley.functions.text import SPACE_CLASS, WORD_CLASS, as_text, words
 
@@ -27,34 +28,34 @@ def _contexts(pieces: Column, marks: Column, n: int, left: bool) -> Column:
     a text with many marks costs no more than its length.
     """
     edge = rf"[{SPACE_CLASS}]$" if left else rf"^[{SPACE_CLASS}]"
-    zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("near"), F.array().cast("array<string>").alias("out"))
+    zero = F.struct(F.lit("").alias("near"), F.array().cast("array<string>").alias("out"))
 
     def cut(ws, k):
         return F.slice(ws, F.greatest(F.size(ws) - k, F.lit(0)) + 1, F.lit(k)) if left else F.slice(ws, 1, k)
 
-    def step(acc, piece):
-        joined = F.concat(acc["near"], piece) if left else F.concat(piece, acc["near"])
-        mark = F.get(marks, acc["i"])
+    def step(acc, pair):
+        joined = F.concat(acc["near"], pair["piece"]) if left else F.concat(pair["piece"], acc["near"])
+        mark = pair["mark"]
         kept = F.array_join(cut(words(joined), n + 1), " ")
         blank = F.when(F.rlike(joined, F.lit(edge)), " ").otherwise("")
         near = F.concat(kept, blank, mark) if left else F.concat(mark, blank, kept)
         context = F.array_join(cut(words(joined), n), " ")
-        return F.struct((acc["i"] + 1).alias("i"), F.coalesce(near, F.lit("")).alias("near"),
+        return F.struct(F.coalesce(near, F.lit("")).alias("near"),
                         F.when(mark.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(context)))
                         .alias("out"))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.arrays_zip(pieces.alias("piece"), marks.alias("mark")), zero, step, lambda acc: acc["out"])
 
 
 def _offsets(pieces: Column, marks: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, piece):
-        at, mark = acc["at"] + F.length(piece), F.get(marks, acc["i"])
-        return F.struct((acc["i"] + 1).alias("i"), (at + F.coalesce(F.length(mark), F.lit(0))).alias("at"),
+    def step(acc, pair):
+        at, mark = acc["at"] + F.length(pair["piece"]), pair["mark"]
+        return F.struct((at + F.coalesce(F.length(mark), F.lit(0))).alias("at"),
                         F.when(mark.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(at))).alias("out"))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.arrays_zip(pieces.alias("piece"), marks.alias("mark")), zero, step, lambda acc: acc["out"])
 
 
 def kwic_matches(rows: DataFrame, pattern: str, context: int, keep: list[str], text_col: str = "Original_Text",
@@ -62,8 +63,8 @@ def kwic_matches(rows: DataFrame, pattern: str, context: int, keep: list[str], t
     """One row per match: the ``keep`` columns, match_no, Left, KW, Right (and Match_Position)."""
     text = as_text(text_col)
     found = (rows.select(*keep, text.alias("__text")).where(F.rlike("__text", F.lit(pattern)))
-             .withColumn("__marks", F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))
-             .withColumn("__pieces", F.split("__text", pattern, -1)))
+             .withColumns({"__marks": once(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))),
+                           "__pieces": once(F.split("__text", pattern, -1))}))
     left = _contexts(F.col("__pieces"), F.col("__marks"), context, True)
     right = F.reverse(_contexts(F.reverse("__pieces"), F.reverse("__marks"), context, False))
     cols = [left.alias("Left"), F.col("__marks").alias("KW"), right.alias("Right")]

@@ -24,6 +24,7 @@ from parley.functions.terms import (
     term_pattern,
     term_word_positions,
     term_words,
+    within_distance,
 )
 from parley.functions.text import SPEAKERS, as_text, has_speaker_label, speaker_text, word_tokens, words
 from parley.operators.rules import rules_from_dicts, score_rules
@@ -112,8 +113,7 @@ def rule_condition(rule: Rule, text: Column, lowered: Column, known: Column) ->
     def near(a, b, n):
         if n <= 5:
             return term_near(a, b, n, lowered)
-        left, right = term_word_positions(a, lowered), term_word_positions(b, lowered)
-        return F.exists(left, lambda p: F.exists(right, lambda q: F.abs(p - q) <= n))
+        return within_distance(term_word_positions(a, lowered), term_word_positions(b, lowered), n)
 
     test = _fold(rule, lambda t: term_found(t, lowered, known), near)
     for term in rule.exclude_if:
@@ -231,21 +231,23 @@ def _split(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.where(plain), scored.where(~plain)
 
 
-def word_runs(lowered: Column, lengths: Column) -> Column:
-    """Distinct stretches of the text which start and end with a whole word, of the given numbers of words."""
-    pieces = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"),
-                                  F.lit(0))
-    starts_with_word = F.rlike(lowered, F.lit(r"^[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"))
-    pieces = F.when(starts_with_word, pieces).otherwise(F.slice(pieces, 2, F.size(pieces)))
-    n_words = F.floor((F.size(pieces) + 1) / 2).cast("int")
+_PIECES = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
+
+
+def _word_runs(df: DataFrame, text_col: str, id_col: str, lengths: list[int]) -> DataFrame:
+    """(id, term): distinct stretches of a text that start and end with a whole word, of the given numbers of words."""
+    low = F.lower(as_text(text_col))
+    pieces = F.regexp_extract_all(low, F.lit(_PIECES), F.lit(0))
+    starts_with_word = F.rlike(low, F.lit(r"^[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"))
+    cut = (df.select(id_col, once(F.when(starts_with_word, pieces).otherwise(F.slice(pieces, 2, F.size(pieces))))
+                     .alias("p")))
+    n_words = F.floor((F.size("p") + 1) / 2).cast("int")
 
     def of_length(k):
-        return F.when(n_words >= k, F.transform(
-            F.sequence(F.lit(0), n_words - k),
-            lambda i: F.array_join(F.slice(pieces, i * 2 + 1, k * 2 - 1), ""))).otherwise(
-                F.array().cast("array<string>"))
+        return F.when(n_words >= k, F.transform(F.sequence(F.lit(0), n_words - k), lambda i: F.array_join(
+            F.slice("p", i * 2 + 1, F.lit(k * 2 - 1)), ""))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+    return cut.select(id_col, F.explode(F.array_distinct(F.concat(*[of_length(k) for k in lengths]))).alias("term"))
 
 
 def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -253,11 +255,8 @@ def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) ->
     needed = plain.select("ordinal", F.posexplode("terms").alias("no", "term")).unionByName(
         plain.select("ordinal", F.lit(-1).alias("no"), F.explode("exclude_if").alias("term")))
     needed = needed.withColumn("term", F.lower(F.trim("term"))).where("term <> ''")
-    # At most a few distinct numbers of words.
-    lengths = needed.select(F.size(word_tokens(F.col("term"))).alias("k")).agg(
-        F.array_sort(F.collect_set("k")).alias("ks"))
-    runs = df.crossJoin(F.broadcast(lengths)).select(
-        id_col, F.explode(word_runs(F.lower(as_text(text_col)), F.col("ks"))).alias("term"))
+    lengths = [r.k for r in needed.select(F.size(word_tokens(F.col("term"))).alias("k")).distinct().collect()]
+    runs = _word_runs(df, text_col, id_col, sorted(lengths))
     # A pair of text and rule has as many rows as the rule has terms.
     hits = runs.join(needed, "term").groupBy(id_col, "ordinal").agg(F.collect_set("no").alias("nos"))
     held = hits.join(plain.select("ordinal", "score", "terms", "operators"), "ordinal")

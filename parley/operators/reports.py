@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
+from parley.functions.once import once
 from parley.functions.text import as_text, content_tokens, ngrams
 from parley.operators.quantiles import exact_quantiles
 
@@ -125,7 +126,8 @@ def uncategorized(out: DataFrame) -> DataFrame:
 
 def top_ngrams(rows: DataFrame, n: int, k: int, text_col: str = "Original_Text") -> DataFrame:
     """The ``k`` most frequent runs of ``n`` content words."""
-    grams = rows.select(F.explode(ngrams(content_tokens(as_text(text_col)), n)).alias("ngram"))
+    listed = rows.select(once(content_tokens(as_text(text_col))).alias("tokens"))
+    grams = listed.select(F.explode(ngrams(F.col("tokens"), n)).alias("ngram"))
     return (grams.groupBy("ngram").agg(F.count("*").alias("Count"))
             .orderBy(F.col("Count").desc(), "ngram").limit(k))
 

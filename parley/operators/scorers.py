@@ -106,7 +106,7 @@ def classify_weighted(df: DataFrame, packs, text_col: str) -> DataFrame:
 def _with_levels(df: DataFrame, confidence: Column) -> DataFrame:
     levels = {c: F.coalesce(F.col(f"__group.{c}"), F.lit(UNCATEGORIZED if c == "l1" else NOT_AVAILABLE))
               for c in LEVELS}
-    return df.withColumns(levels | {"confidence": F.coalesce(confidence, F.lit(0.0))})
+    return df.withColumns(levels | {"confidence": F.when(F.col("__group").isNull(), 0.0).otherwise(confidence)})
 
 
 def classify_keyword_first(df: DataFrame, packs, text_col: str) -> DataFrame:

@@ -157,7 +157,7 @@ def _weighted_sql():
         + CASE WHEN kind = 'keywords' THEN 20 ELSE 10 END AS score FROM p JOIN packs USING (g)),
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, g) = 1)
     SELECT doc_id, coalesce(l1, 'Uncategorized') AS l1, coalesce(l2, 'NA') AS l2, coalesce(l3, 'NA') AS l3,
-      coalesce(l4, 'NA') AS l4, round(coalesce(least(score / 100, 1.0), 0.0), 6) AS confidence,
+      coalesce(l4, 'NA') AS l4, round(CASE WHEN l1 IS NULL THEN 0.0 ELSE least(score / 100, 1.0) END, 6) AS confidence,
       CASE WHEN l1 IS NULL THEN 'Uncategorized' WHEN l3 = 'NA' THEN l1 || ' > ' || l2
         ELSE l1 || ' > ' || l2 || ' > ' || l3 END AS match_path
     FROM documents LEFT JOIN b USING (doc_id)"""
