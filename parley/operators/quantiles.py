@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+# Up to this many values a group is ranked as a whole.
+SMALL = 10_000
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -21,10 +23,18 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     margin = 10.0 / ACCURACY
     edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = base.groupBy(*keys).agg(F.percentile_approx("__v", edges, ACCURACY).alias("__e"),
+                                     F.min("__v").alias("__min"), F.max("__v").alias("__max"),
                                      F.count("*").alias("__n"))
-    joined = base.join(sketch, [F.col(k).eqNullSafe(sketch[k]) for k in keys]).drop(*[sketch[k] for k in keys])
-    spans = F.array(*[F.struct(F.lit(i).alias("q"), F.get("__e", F.lit(2 * i)).alias("lo"),
-                               F.get("__e", F.lit(2 * i + 1)).alias("hi")) for i in range(len(probs))])
+    same = F.lit(True)
+    for k in keys:
+        sketch = sketch.withColumnRenamed(k, f"__key_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    joined = base.join(sketch, same)
+    small = F.col("__n") <= SMALL
+    spans = F.array(*[F.struct(
+        F.lit(i).alias("q"), F.when(small, F.col("__min")).otherwise(F.get("__e", F.lit(2 * i))).alias("lo"),
+        F.when(small, F.col("__max")).otherwise(F.get("__e", F.lit(2 * i + 1))).alias("hi"))
+        for i in range(len(probs))])
     # One row per quantile, value: values below the bracket collapse into one counter with a null value.
     counted = (joined.select(*keys, "__v", "__n", F.explode(spans).alias("s"))
                .where(F.col("__v") <= F.col("s.hi"))

@@ -215,18 +215,19 @@ def _exact_mean() -> Column:
 
 
 AGGREGATES = {
-    "Mean": lambda: F.round(_exact_mean(), 2),
-    "Sum": lambda: F.round(F.sum("__d").cast("double"), 2),
-    "Min": lambda: F.round(F.min("__v"), 2),
-    "Max": lambda: F.round(F.max("__v"), 2),
+    "Mean": _exact_mean,
+    "Sum": lambda: F.sum("__d").cast("double"),
+    "Min": lambda: F.min("__v"),
+    "Max": lambda: F.max("__v"),
     "Count": lambda: F.count("__v"),
-    "StdDev": lambda: F.round(F.stddev_samp("__v"), 2),
+    "StdDev": lambda: F.stddev_samp("__v"),
 }
 
 
 def _stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    plain = rows.groupBy(*keys).agg(*[fn().alias(name) for name, fn in AGGREGATES.items()])
-    median = exact_quantiles(rows, keys, "__v", {"Median": 0.5}).withColumn("Median", F.round("Median", 2))
+    plain = rows.groupBy(*keys).agg(*[(fn() if name == "Count" else F.bround(fn(), 2)).alias(name)
+                                      for name, fn in AGGREGATES.items()])
+    median = exact_quantiles(rows, keys, "__v", {"Median": 0.5}).withColumn("Median", F.bround("Median", 2))
     return plain.join(median, keys) if keys else plain.crossJoin(median)
 
 
@@ -244,12 +245,12 @@ def metric_overall(out: DataFrame, level: str, metric: str) -> DataFrame:
 def box_stats(out: DataFrame, level: str, metric: str, n: int = 12) -> DataFrame:
     """Quartiles, mean and deviation for the ``n`` groups with the highest mean."""
     rows = _metric(out.where(_named(level)), metric)
-    groups = (rows.groupBy(level).agg(_exact_mean().alias("__mean"), F.round(F.stddev_samp("__v"), 2).alias("StdDev"))
+    groups = (rows.groupBy(level).agg(_exact_mean().alias("__mean"), F.bround(F.stddev_samp("__v"), 2).alias("StdDev"))
               .orderBy(F.col("__mean").desc(), level).limit(n)
-              .select(level, F.round("__mean", 2).alias("Mean"), "StdDev"))
+              .select(level, F.bround("__mean", 2).alias("Mean"), "StdDev"))
     quartiles = exact_quantiles(rows.join(groups.select(level), level, "left_semi"), [level], "__v",
                                 {"Q1": 0.25, "Median": 0.5, "Q3": 0.75})
-    return groups.join(quartiles, level).withColumns({c: F.round(c, 2) for c in ("Q1", "Median", "Q3")})
+    return groups.join(quartiles, level)
 
 
 def metric_combo(out: DataFrame, level: str, metrics: list[str], fn: str = "Mean", n: int = 15) -> DataFrame:
@@ -262,7 +263,7 @@ def metric_combo(out: DataFrame, level: str, metrics: list[str], fn: str = "Mean
 
     counted = F.count(F.col(metrics[0]).try_cast("double"))
     return (out.where(_named(level)).groupBy(level)
-            .agg(counted.alias("Count"), *[F.round(value(m), 2).alias(m) for m in metrics])
+            .agg(counted.alias("Count"), *[F.bround(value(m), 2).alias(m) for m in metrics])
             .where("Count > 0").orderBy(F.col("Count").desc(), level).limit(n))
 
 
@@ -282,9 +283,9 @@ def metric_extremes(out: DataFrame, level: str, metrics: list[str]) -> DataFrame
         F.max(F.struct("m", F.col(level).alias("g"))).alias("hi"), F.min(F.struct("m", F.col(level).alias("g"))).alias("lo"))
     spread = F.try_divide(F.col("hi.m") - F.col("lo.m"), F.col("mean"))
     return ends.join(overall, "metric").select(
-        "metric", F.round("mean", 2).alias("overall_mean"), F.col("hi.g").alias("highest"),
-        F.round("hi.m", 2).alias("highest_mean"), F.col("lo.g").alias("lowest"),
-        F.round("lo.m", 2).alias("lowest_mean"),
+        "metric", F.bround("mean", 2).alias("overall_mean"), F.col("hi.g").alias("highest"),
+        F.bround("hi.m", 2).alias("highest_mean"), F.col("lo.g").alias("lowest"),
+        F.bround("lo.m", 2).alias("lowest_mean"),
         F.when(spread > 0.5, "significant").when(spread > 0.2, "moderate").otherwise("consistent").alias("spread"))
 
 
@@ -409,7 +410,7 @@ def sentiment_dist(rows: DataFrame, sentiment: str = "sentiment", score: str | N
     """Count and share per sentiment (and the mean score)."""
     aggs = [F.count("*").alias("Count")]
     if score:
-        aggs.append(F.round(F.avg(F.col(score).cast("decimal(18,9)")).cast("double"), 6).alias("AvgScore"))
+        aggs.append(F.bround(F.avg(F.col(score).cast("decimal(18,9)")).cast("double"), 6).alias("AvgScore"))
     counts = rows.groupBy(sentiment).agg(*aggs)
     total = counts.agg(F.sum("Count").alias("__total"))
     return (counts.crossJoin(F.broadcast(total)).withColumn("Pct", pct(F.col("Count"), F.col("__total")))

@@ -29,9 +29,10 @@ def stream_classify(source: DataFrame, rules, id_col: str, text_col: str, sink:
 def category_trend_stream(source: DataFrame, ts_col: str, level: str, window: str = "1 day",
                           watermark: str = "1 day") -> DataFrame:
     """Counts per window and value; a window is given out once the watermark has passed it, later rows are dropped."""
-    return (source.where(~F.col(level).isin(NOT_AVAILABLE, UNCATEGORIZED)).withWatermark(ts_col, watermark)
+    timed = source.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    return (timed.where(~F.col(level).isin(NOT_AVAILABLE, UNCATEGORIZED)).withWatermark(ts_col, watermark)
             .groupBy(F.window(ts_col, window).alias("w"), level).agg(F.count("*").alias("Count"))
-            .select(F.col("w.start").alias("window_start"), level, "Count"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), level, "Count"))
 
 
 def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
