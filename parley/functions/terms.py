@@ -38,17 +38,19 @@ def term_body(term: str) -> str:
 
 
 def term_pattern(term: str) -> str:
-    """The term as a regex with word boundaries at both ends."""
+    """The term as a regex with word boundaries at both ends.
+
+    A literal stands in front and its left boundary is checked behind it, by length: searching for a literal is much
+    faster than testing a boundary at every letter.
+    """
     t = clean_term(term)
-    first, last = t[0], t[-1]
-    body = term_body(t)
-    if first == "*" or last == "*":
-        left = rf"(?<!{_WORD})" if first == "*" or is_word_char(first) else rf"(?<={_WORD})"
-        right = rf"(?!{_WORD})" if last == "*" or is_word_char(last) else rf"(?={_WORD})"
-        return left + body + right
-    left = rf"(?<!{_WORD})" if is_word_char(first) else rf"(?<={_WORD})"
-    right = rf"(?!{_WORD})" if is_word_char(last) else rf"(?={_WORD})"
-    return left + body + right
+    first, last, body = t[0], t[-1], term_body(t)
+    right = rf"(?!{_WORD})" if last == "*" or is_word_char(last) else rf"(?={_WORD})"
+    if first == "*":
+        return rf"(?<!{_WORD})" + body + right
+    head = quote(t.split("*")[0])
+    left = rf"(?<!{_WORD}{head})" if is_word_char(first) else rf"(?<={_WORD}{head})"
+    return head + left + body[len(head):] + right
 
 
 def term_words(term: str) -> list[str]:
@@ -86,7 +88,7 @@ def term_near(a: str, b: str, gap: int, lowered: Column) -> Column:
     not_word = f"[^{WORD_CLASS}]"
     between = f"{not_word}+(?:{_WORD}+{not_word}+){{0,{gap}}}"
     pa, pb = term_pattern(a), term_pattern(b)
-    return F.rlike(lowered, F.lit(f"(?:{pa}{between}{pb}|{pb}{between}{pa})"))
+    return F.rlike(lowered, F.lit(pa + between + pb)) | F.rlike(lowered, F.lit(pb + between + pa))
 
 
 def term_word_positions(term: str, lowered: Column) -> Column:

@@ -29,6 +29,12 @@ def _named(col: str) -> Column:
     return ~F.col(col).isin(NOT_AVAILABLE, UNCATEGORIZED)
 
 
+def _with_total(counts: DataFrame, by: list[str] | None = None, count: str = "Count") -> DataFrame:
+    """Add ``__total``, the sum of the counts. The counts are one row per category value, so this moves next to
+    nothing, and the data behind them is read once."""
+    return counts.withColumn("__total", F.sum(count).over(Window.partitionBy(*(by or [F.lit(1)]))))
+
+
 # --- counts and shares ----------------------------------------------------------------------------------------------
 
 def run_kpis(out: DataFrame) -> DataFrame:
@@ -42,8 +48,7 @@ def level_table(out: DataFrame, level: str, parent: str | None = None, blank: st
     """Count and share of all rows per value (and parent value); ``blank`` values are left out of the result only."""
     keys = [parent, level] if parent else [level]
     counts = out.groupBy(*keys).agg(F.count("*").alias("Count"))
-    total = counts.agg(F.sum("Count").alias("__total"))
-    return (counts.where(F.col(level) != blank).crossJoin(F.broadcast(total))
+    return (_with_total(counts).where(F.col(level) != blank)
             .withColumn("Pct", pct(F.col("Count"), F.col("__total"))).drop("__total"))
 
 
@@ -51,9 +56,7 @@ def level_table_of_parent(out: DataFrame, level: str, parents: list[str]) -> Dat
     """Share of the full parent path (its rows without a value included) and of all rows."""
     counts = out.groupBy(*parents, level).agg(F.count("*").alias("Count"))
     of_parent = F.sum("Count").over(Window.partitionBy(*parents))
-    total = counts.agg(F.sum("Count").alias("__total"))
-    return (counts.withColumn("ParentTotal", of_parent).where(F.col(level) != NOT_AVAILABLE)
-            .crossJoin(F.broadcast(total))
+    return (_with_total(counts).withColumn("ParentTotal", of_parent).where(F.col(level) != NOT_AVAILABLE)
             .withColumns({"PctOfTotal": pct(F.col("Count"), F.col("__total")),
                           "PctOfParent": pct(F.col("Count"), F.col("ParentTotal"))}).drop("__total"))
 
@@ -100,18 +103,17 @@ def min_count_filter(out: DataFrame, threshold: int | None = None) -> DataFrame:
     if threshold is None:
         top = out.groupBy("Category").count().agg(F.max("count")).first()[0] or 0
         threshold = min(10, max(1, int(top * 0.05)))
-    kept = out
+    # The cascade runs on the counts per path; the rows are met once more, to be kept or not.
+    paths = out.groupBy(*LEVELS).agg(F.count("*").alias("n"))
     for c in LEVELS:
-        frequent = kept.groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select(c)
-        kept = kept.join(frequent, c, "left_semi")
-    return kept
+        paths = _with_total(paths, [c], "n").where(F.col("__total") >= threshold).drop("__total")
+    return out.join(paths.select(*LEVELS), LEVELS, "left_semi")
 
 
 def sunburst_counts(out: DataFrame, min_share: float = 0.003) -> DataFrame:
     """Counts per full path, without tiny ones."""
     counts = out.where(_named("Category")).groupBy(*LEVELS).agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("__total"))
-    return (counts.crossJoin(F.broadcast(total)).where(F.col("count") > F.col("__total") * min_share)
+    return (_with_total(counts, count="count").where(F.col("count") > F.col("__total") * min_share)
             .drop("__total"))
 
 
@@ -134,17 +136,17 @@ def top_ngrams(rows: DataFrame, n: int, k: int, text_col: str = "Original_Text")
 
 def uncat_sample(out: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     """``n`` uncategorized records picked by a hash of their id: random, yet the same every time."""
+    lot = F.sha2(F.concat_ws(":", F.col("Conversation_ID").cast("string"), F.lit(str(seed))), 256)
     return (uncategorized(out).select("Conversation_ID", "Original_Text")
-            .orderBy(F.xxhash64(F.col("Conversation_ID"), F.lit(seed)), "Conversation_ID").limit(n))
+            .orderBy(lot, "Conversation_ID").limit(n))
 
 
 def top5(out: DataFrame) -> DataFrame:
     """The six largest categories without Uncategorized, at most five, with their share of all rows."""
     counts = out.groupBy("Category").agg(F.count("*").alias("Count"))
-    total = counts.agg(F.sum("Count").alias("__total"))
     order = [F.col("Count").desc(), F.col("Category")]
-    six = counts.orderBy(*order).limit(6).where(F.col("Category") != UNCATEGORIZED)
-    return (six.orderBy(*order).limit(5).crossJoin(F.broadcast(total))
+    six = _with_total(counts).orderBy(*order).limit(6).where(F.col("Category") != UNCATEGORIZED)
+    return (six.orderBy(*order).limit(5)
             .withColumn("Pct", pct(F.col("Count"), F.col("__total"))).drop("__total"))
 
 
@@ -195,9 +197,9 @@ def path_distribution(rows: DataFrame, depth: int) -> DataFrame:
     """Counts by the full path down to ``depth`` levels, rows without that level left out, share of all rows given."""
     keys = LEVELS[:depth]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("Count"))
-    total = counts.agg(F.sum("Count").alias("__total"))
+    counts = _with_total(counts)
     kept = counts.where(F.col(keys[-1]) != NOT_AVAILABLE) if depth > 1 else counts
-    return (kept.crossJoin(F.broadcast(total)).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
+    return (kept.withColumn("Pct", pct(F.col("Count"), F.col("__total")))
             .drop("__total"))
 
 
@@ -277,12 +279,13 @@ def metric_extremes(out: DataFrame, level: str, metrics: list[str]) -> DataFrame
     per = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).try_cast("double").alias("x")) for m in metrics])
     long = out.select(level, F.inline(per)).withColumn("d", F.col("x").try_cast("decimal(28,6)")).where("d is not null")
     sums = long.groupBy("metric", level).agg(F.sum("d").alias("s"), F.count("d").alias("n"))
-    overall = sums.groupBy("metric").agg((F.sum("s").cast("double") / F.sum("n")).alias("mean"))
-    means = sums.where(_named(level)).withColumn("m", F.col("s").cast("double") / F.col("n"))
-    ends = means.groupBy("metric").agg(
+    whole = Window.partitionBy("metric")
+    means = (sums.withColumn("mean", F.sum("s").over(whole).cast("double") / F.sum("n").over(whole))
+             .where(_named(level)).withColumn("m", F.col("s").cast("double") / F.col("n")))
+    ends = means.groupBy("metric", "mean").agg(
         F.max(F.struct("m", F.col(level).alias("g"))).alias("hi"), F.min(F.struct("m", F.col(level).alias("g"))).alias("lo"))
     spread = F.try_divide(F.col("hi.m") - F.col("lo.m"), F.col("mean"))
-    return ends.join(overall, "metric").select(
+    return ends.select(
         "metric", F.bround("mean", 2).alias("overall_mean"), F.col("hi.g").alias("highest"),
         F.bround("hi.m", 2).alias("highest_mean"), F.col("lo.g").alias("lowest"),
         F.bround("lo.m", 2).alias("lowest_mean"),
@@ -327,9 +330,10 @@ def metric_trend_by_group(out: DataFrame, level: str, date: str, metric: str, pe
 def category_trend(out: DataFrame, date: str, level: str, period: str, n: int = 7) -> DataFrame:
     """Counts per period of the ``n`` most frequent values."""
     counts = _dated(out.where(_named(level)), date, period).groupBy("Period", level).agg(F.count("*").alias("Count"))
-    top = (counts.groupBy(level).agg(F.sum("Count").alias("__n")).orderBy(F.col("__n").desc(), level).limit(n)
-           .select(level))
-    return counts.join(top, level, "left_semi")
+    # One row per period and value from here on.
+    place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.col("__total").desc(), level))
+    return (_with_total(counts, [level]).withColumn("__place", place).where(F.col("__place") <= n)
+            .drop("__total", "__place"))
 
 
 def split_date(out: DataFrame, date: str) -> DataFrame:
@@ -337,10 +341,9 @@ def split_date(out: DataFrame, date: str) -> DataFrame:
     days = (out.select(F.to_date(as_time(date)).alias("day")).where("day is not null")
             .groupBy("day").agg(F.count("*").alias("n")))
     # One row per calendar day.
-    upto = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    total = days.agg(F.sum("n").alias("total"))
-    return (days.withColumn("upto", upto).crossJoin(F.broadcast(total))
-            .where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("day").alias("split_date")))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return (_with_total(days, count="n").withColumn("upto", upto)
+            .where(F.col("upto") > F.floor(F.col("__total") / 2)).agg(F.min("day").alias("split_date")))
 
 
 def top_movers(out: DataFrame, date: str, level: str, split: str, n: int = 10) -> DataFrame:
@@ -360,22 +363,30 @@ def top_movers(out: DataFrame, date: str, level: str, split: str, n: int = 10) -
 
 def narrative_facts(out: DataFrame) -> DataFrame:
     """The figures and verdicts of the executive summary, one row."""
-    counts = out.groupBy("Category").agg(
+    counts = out.groupBy("Category", "Subcategory").agg(
         F.count("*").alias("n"), F.sum(F.least("match_score", F.lit(100))).alias("points"),
         F.count_if(F.col("match_score") < 30).alias("low"))
-    subs = (out.where(F.col("Subcategory") != NOT_AVAILABLE).groupBy("Subcategory").agg(F.count("*").alias("n"))
-            .orderBy(F.col("n").desc(), "Subcategory").limit(1).select(F.col("Subcategory").alias("top_sub")))
-    named = F.col("Category") != UNCATEGORIZED
-    total = counts.agg(
-        F.sum("n").alias("records"), F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("categorized"),
-        F.count_if(named).alias("categories"), F.sum("points").alias("points"), F.sum("low").alias("low"))
-    top = (counts.where(named).orderBy(F.col("n").desc(), "Category").limit(3)
-           .agg(F.max(F.struct("n", "Category")).alias("__x"), F.sum("n").alias("top3"),
-                F.max("n").alias("top_n"), F.min_by("Category", F.struct(-F.col("n"), F.col("Category")))
-                .alias("top_category")).drop("__x"))
+    # Totals per category and per subcategory side by side: a few rows, from one pass over the data.
+    both = counts.groupingSets([["Category"], ["Subcategory"]], "Category", "Subcategory").agg(
+        F.sum("n").alias("n"), F.sum("points").alias("points"), F.sum("low").alias("low"),
+        F.grouping("Category").alias("g"))
+    cat, named = F.col("g") == 0, F.col("Category") != UNCATEGORIZED
+    by_size = F.struct((-F.col("n")).alias("m"), F.col("Category").alias("c"))
+    sub = F.struct((-F.col("n")).alias("m"), F.col("Subcategory").alias("c"))
+    total = both.agg(
+        F.sum(F.when(cat, F.col("n"))).alias("records"),
+        F.coalesce(F.sum(F.when(cat & named, F.col("n"))), F.lit(0)).alias("categorized"),
+        F.count_if(cat & named).alias("categories"), F.sum(F.when(cat, F.col("points"))).alias("points"),
+        F.sum(F.when(cat, F.col("low"))).alias("low"),
+        F.slice(F.array_sort(F.collect_list(F.when(cat & named, by_size))), 1, 3).alias("top"),
+        F.min(F.when(~cat & (F.col("Subcategory") != NOT_AVAILABLE), sub)).alias("sub"))
+    facts = total.select(
+        "*", F.get("top", F.lit(0))["c"].alias("top_category"), (-F.get("top", F.lit(0))["m"]).alias("top_n"),
+        F.aggregate("top", F.lit(0).cast("long"), lambda a, t: a - t["m"]).alias("top3"),
+        F.col("sub.c").alias("top_sub"))
     coverage = F.col("categorized") * 100.0 / F.col("records")
     avg_conf = F.col("points") / (F.col("records") * 100.0)
-    return (total.crossJoin(top).join(subs, F.lit(True), "left").select(
+    return facts.select(
         "records", "categorized", (F.col("records") - F.col("categorized")).alias("uncategorized"), "categories",
         F.bround(coverage, 1).alias("coverage_pct"),
         F.when(coverage > 90, "excellent").when(coverage > 75, "good").when(coverage > 50, "moderate")
@@ -384,7 +395,7 @@ def narrative_facts(out: DataFrame) -> DataFrame:
         pct(F.col("top3"), F.col("records")).alias("top3_pct"), F.coalesce("top_sub", F.lit("N/A")).alias("top_sub"),
         F.bround(avg_conf, 2).alias("avg_confidence"),
         F.when(avg_conf > 0.7, "high").when(avg_conf > 0.4, "moderate").otherwise("low").alias("confidence_verdict"),
-        pct(F.col("low"), F.col("records")).alias("low_confidence_pct")))
+        pct(F.col("low"), F.col("records")).alias("low_confidence_pct"))
 
 
 def recommendations(out: DataFrame) -> DataFrame:
@@ -412,8 +423,7 @@ def sentiment_dist(rows: DataFrame, sentiment: str = "sentiment", score: str | N
     if score:
         aggs.append(F.bround(F.avg(F.col(score).cast("decimal(18,9)")).cast("double"), 6).alias("AvgScore"))
     counts = rows.groupBy(sentiment).agg(*aggs)
-    total = counts.agg(F.sum("Count").alias("__total"))
-    return (counts.crossJoin(F.broadcast(total)).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
+    return (_with_total(counts).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
             .drop("__total"))
 
 
@@ -426,8 +436,7 @@ def language_share(rows: DataFrame, language: str = "language") -> DataFrame:
     """English against other languages."""
     kind = F.when(F.col(language) == "en", "English").otherwise("Foreign")
     counts = rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("Count"))
-    total = counts.agg(F.sum("Count").alias("__total"))
-    return (counts.crossJoin(F.broadcast(total)).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
+    return (_with_total(counts).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
             .drop("__total"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
+from parley.functions.once import once
 from parley.functions.text import strip, words
 from parley.operators.ordering import running_total
 
@@ -37,21 +38,24 @@ def _strings(col):
     return F.coalesce(col, F.array().cast("array<string>"))
 
 
-def _aligned(terms, operators):
-    """Drop blank terms together with the operator in front of them (the first term has none)."""
-    kept = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
+def _not_blank(terms):
+    """Terms which are not blank, with their places."""
+    return F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
                     lambda s: strip(F.coalesce(s["t"], F.lit(""))) != "")
-    new_terms = F.transform(kept, lambda s: s["t"])
+
+
+def _operators_of(kept, operators):
+    """A blank term goes together with the operator in front of it (the first term has none)."""
     later = F.when(F.size(kept) > 1, F.slice(kept, 2, F.size(kept))).otherwise(F.slice(kept, 1, 0))
-    new_ops = F.filter(F.transform(later, lambda s: F.get(operators, s["i"] - 1)), lambda o: o.isNotNull())
-    return new_terms, new_ops
+    return F.filter(F.transform(later, lambda s: F.get(operators, s["i"] - 1)), lambda o: o.isNotNull())
 
 
 def parse_rules(docs: DataFrame, json_col: str = "value", ordinal_col: str | None = None) -> DataFrame:
     """JSON documents to rule rows; the older form with term1..term3 and operator1..operator2 is read as well."""
     ordinal = F.col(ordinal_col) if ordinal_col else F.monotonically_increasing_id()
-    d = docs.select(F.from_json(json_col, RULE_JSON).alias("r"), ordinal.cast("long").alias("ordinal"))
+    d = docs.select(once(F.from_json(json_col, RULE_JSON)).alias("r"), ordinal.cast("long").alias("ordinal"))
     r = F.col("r")
+    d = d.withColumn("kept", once(_not_blank(_strings(r["terms"]))))
 
     def filled(names, no=()):
         vals = F.transform(F.array(*[r[n] for n in names]), lambda v: strip(F.coalesce(v, F.lit(""))))
@@ -59,7 +63,8 @@ def parse_rules(docs: DataFrame, json_col: str = "value", ordinal_col: str | Non
 
     old_terms = filled(("term1", "term2", "term3"))
     old_ops = filled(("operator1", "operator2"), no=("None",))
-    new_terms, new_ops = _aligned(_strings(r["terms"]), _strings(r["operators"]))
+    new_terms = F.transform("kept", lambda s: s["t"])
+    new_ops = _operators_of(F.col("kept"), _strings(r["operators"]))
     is_new = r["terms"].isNotNull()
     return d.select(
         F.coalesce(r["rule_id"], F.lit("")).alias("rule_id"),
@@ -76,7 +81,7 @@ def parse_rules(docs: DataFrame, json_col: str = "value", ordinal_col: str | Non
 def rules_from_dicts(spark, rules: list[dict]) -> DataFrame:
     """A rule table from plain dictionaries in order of preference among equals."""
     documents = F.array(*[F.lit(json.dumps(r)) for r in rules])
-    return parse_rules(spark.range(1).select(F.posexplode(documents).alias("ordinal", "value")), "value", "ordinal")
+    return parse_rules(spark.range(0, 1, 1, 1).select(F.posexplode(documents).alias("ordinal", "value")), "value", "ordinal")
 
 
 def pack_rules(groups: DataFrame, industry: str | None = None) -> DataFrame:

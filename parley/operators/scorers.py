@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parley import fixed_values as fv
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
 from parley.functions.once import once
-from parley.functions.terms import clean_term, quote, term_found, term_words
+from parley.functions.terms import clean_term, is_plain_word, quote, term_found, term_words
 from parley.functions.text import as_text, normalize, strip, word_tokens, words
 
 MAX_GROUPS = 1_000
@@ -240,44 +240,52 @@ def read_lexicon(table: DataFrame, word: str = "word", weight: str = "weight") -
     return {r.w: r.x for r in rows}
 
 
-def _weights(tokens: Column, lexicon: dict[str, float]) -> Column:
+def _weights(tokens_col: str, lexicon: dict[str, float]) -> Column:
     """Weights of those tokens which the lexicon holds: one hash lookup per token, then one per distinct weight."""
     by_weight: dict[float, list[str]] = {}
     for w, x in lexicon.items():
-        by_weight.setdefault(x, []).append(w)
-    listed = F.filter(tokens, lambda t: t.isin(list(lexicon)))
-
-    def weigh(t):
-        chain = None
-        for x, ws in by_weight.items():
-            chain = F.when(t.isin(ws), F.lit(x)) if chain is None else chain.when(t.isin(ws), F.lit(x))
-        return chain
-    return F.transform(listed, weigh)
+        # A token is a run of word characters, so no other entry can ever be met.
+        if is_plain_word(w):
+            by_weight.setdefault(x, []).append(f"'{w}'")
+    if not by_weight:
+        return F.array().cast("array<double>")
+    # Written as SQL text, since a list of thousands of words is one expression there.
+    listed = ", ".join(w for ws in by_weight.values() for w in ws)
+    chain = " ".join(f"when t in ({', '.join(ws)}) then double('{x!r}')" for x, ws in by_weight.items())
+    return F.expr(f"transform(filter({tokens_col}, t -> t in ({listed})), t -> case {chain} end)")
 
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _tokenized(df: DataFrame, text_col: str) -> DataFrame:
+    return df.withColumn("__tokens", once(word_tokens(normalize(text_col))))
+
+
+def _mean(values: Column) -> Column:
+    return F.when(F.size(values) > 0, _sum(values) / F.size(values)).otherwise(0.0)
+
+
 def with_polarity(df: DataFrame, text_col: str, polarity: dict[str, float], out: str = "polarity") -> DataFrame:
     """Mean weight of the words in the polarity lexicon, 0 if there are none."""
-    return (df.withColumn("__w", once(_weights(word_tokens(normalize(text_col)), polarity)))
-            .withColumn(out, F.when(F.size("__w") > 0, _sum(F.col("__w")) / F.size("__w")).otherwise(0.0)).drop("__w"))
+    return (_tokenized(df, text_col).withColumn("__w", once(_weights("__tokens", polarity)))
+            .withColumn(out, _mean(F.col("__w"))).drop("__w", "__tokens"))
 
 
 def sentiment_hybrid(df: DataFrame, text_col: str, polarity: dict[str, float], valence: dict[str, float],
                      out: str = "sentiment") -> DataFrame:
     """Five labels from mean polarity and summed valence; '' below three characters, neutral below three words."""
     lim, wt = fv.SENTIMENT_LIMITS, fv.SENTIMENT_WEIGHTS
-    scored = (with_polarity(df, text_col, polarity, "__p")
-              .withColumn("__v", once(_sum(_weights(word_tokens(normalize(text_col)), valence))))
-              .withColumn("__s", F.col("__p") * wt["polarity"] + F.col("__v") / 5.0 * wt["valence"]))
+    scored = (_tokenized(df, text_col)
+              .withColumns({"__p": once(_weights("__tokens", polarity)), "__v": once(_weights("__tokens", valence))})
+              .withColumn("__s", once(_mean(F.col("__p")) * wt["polarity"] + _sum(F.col("__v")) / 5.0 * wt["valence"])))
     s, text = F.col("__s"), as_text(text_col)
     return scored.withColumn(
         out, F.when(F.length(strip(text)) < 3, "").when(F.size(words(text)) < 3, "neutral")
         .when(s <= lim["very_negative"], "very negative").when(s <= lim["negative"], "negative")
         .when(s >= lim["very_positive"], "very positive").when(s >= lim["positive"], "positive")
-        .otherwise("neutral")).drop("__p", "__v", "__s")
+        .otherwise("neutral")).drop("__p", "__v", "__s", "__tokens")
 
 
 def sentiment_band(polarity: Column) -> Column:
@@ -312,7 +320,7 @@ def with_language(df: DataFrame, text_col: str, profiles: dict[str, list[str]] |
 
     counts = [(lang, share(ws)) for lang, ws in profiles.items()]
     text = as_text(text_col)
-    return (df.withColumn("__tokens", word_tokens(F.lower(text))).withColumn("__lang", once(_first_best(counts)))
+    return (_tokenized(df, text_col).withColumn("__lang", once(_first_best(counts)))
             .withColumn(out, F.when(F.length(strip(text)) < 3, "unknown").otherwise(
                 F.coalesce("__lang.name", F.lit("unknown")))).drop("__tokens", "__lang"))
 

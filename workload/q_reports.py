@@ -103,7 +103,9 @@ on_docs("uncategorized_bigrams", f"""SELECT ngram, count(*) AS "Count" FROM (SEL
       range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS ngram FROM
     (SELECT {S.content_tokens('text')} AS t FROM res WHERE "Category" = 'Uncategorized'))
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""", lambda out: R.top_ngrams(R.uncategorized(out), 2, 15))
-query("uncategorized_sample")(lambda spark, sf: R.uncat_sample(results(spark, sf), 10))
+on_docs("uncategorized_sample", """SELECT doc_id AS "Conversation_ID", text AS "Original_Text" FROM res
+    WHERE "Category" = 'Uncategorized' ORDER BY sha256(doc_id || ':42'), doc_id LIMIT 10""",
+        lambda out: R.uncat_sample(out, 10))
 on_docs("top5_categories", f"""SELECT "Category", n AS "Count", {pct('n', '(SELECT count(*) FROM res)')} AS "Pct" FROM
     (SELECT "Category", count(*) AS n FROM res GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6)
     WHERE "Category" <> 'Uncategorized' ORDER BY n DESC, 1 LIMIT 5""", R.top5)
