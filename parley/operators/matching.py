@@ -235,30 +235,31 @@ _PIECES = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
 
 
 def _word_runs(df: DataFrame, text_col: str, id_col: str, lengths: list[int]) -> DataFrame:
-    """(id, term): distinct stretches of a text that start and end with a whole word, of the given numbers of words."""
+    """(__id, __term): distinct stretches of a text that start and end with a whole word, of these numbers of words."""
     low = F.lower(as_text(text_col))
     pieces = F.regexp_extract_all(low, F.lit(_PIECES), F.lit(0))
     starts_with_word = F.rlike(low, F.lit(r"^[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"))
-    cut = (df.select(id_col, once(F.when(starts_with_word, pieces).otherwise(F.slice(pieces, 2, F.size(pieces))))
-                     .alias("p")))
-    n_words = F.floor((F.size("p") + 1) / 2).cast("int")
+    cut = df.select(F.col(id_col).alias("__id"), once(
+        F.when(starts_with_word, pieces).otherwise(F.slice(pieces, 2, F.size(pieces)))).alias("__p"))
+    n_words = F.floor((F.size("__p") + 1) / 2).cast("int")
 
     def of_length(k):
         return F.when(n_words >= k, F.transform(F.sequence(F.lit(0), n_words - k), lambda i: F.array_join(
-            F.slice("p", i * 2 + 1, F.lit(k * 2 - 1)), ""))).otherwise(F.array().cast("array<string>"))
+            F.slice("__p", i * 2 + 1, F.lit(k * 2 - 1)), ""))).otherwise(F.array().cast("array<string>"))
 
-    return cut.select(id_col, F.explode(F.array_distinct(F.concat(*[of_length(k) for k in lengths]))).alias("term"))
+    return cut.select("__id", F.explode(F.array_distinct(F.concat(*[of_length(k) for k in lengths]))).alias("__term"))
 
 
 def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, score, ordinal) of the plain rules which hold; ids, terms and ordinals are shuffled, never a text."""
-    needed = plain.select("ordinal", F.posexplode("terms").alias("no", "term")).unionByName(
-        plain.select("ordinal", F.lit(-1).alias("no"), F.explode("exclude_if").alias("term")))
-    needed = needed.withColumn("term", F.lower(F.trim("term"))).where("term <> ''")
-    lengths = [r.k for r in needed.select(F.size(word_tokens(F.col("term"))).alias("k")).distinct().collect()]
-    runs = _word_runs(df, text_col, id_col, sorted(lengths))
+    """(__id, score, ordinal) of the plain rules which hold; ids, terms and ordinals are shuffled, never a text."""
+    needed = plain.select("ordinal", F.posexplode("terms").alias("no", "__term")).unionByName(
+        plain.select("ordinal", F.lit(-1).alias("no"), F.explode("exclude_if").alias("__term")))
+    needed = needed.withColumn("__term", F.lower(F.trim("__term"))).where("__term <> ''")
+    # A few distinct numbers of words.
+    lengths = [r.k for r in needed.select(F.size(word_tokens(F.col("__term"))).alias("k")).distinct().collect()]
+    runs = _word_runs(df, text_col, id_col, sorted(lengths) or [1])
     # A pair of text and rule has as many rows as the rule has terms.
-    hits = runs.join(needed, "term").groupBy(id_col, "ordinal").agg(F.collect_set("no").alias("nos"))
+    hits = runs.join(needed, "__term").groupBy("__id", "ordinal").agg(F.collect_set("no").alias("nos"))
     held = hits.join(plain.select("ordinal", "score", "terms", "operators"), "ordinal")
 
     def step(state, i):
@@ -268,28 +269,33 @@ def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) ->
                 .when(op.isin("NOT", "NOT LIKE"), state & ~has).otherwise(state & has))
 
     holds = F.aggregate(F.sequence(F.lit(0), F.size("terms") - 1), F.lit(False), step)
-    return held.where(holds & ~F.array_contains("nos", -1)).select(id_col, "score", "ordinal")
+    return held.where(holds & ~F.array_contains("nos", -1)).select("__id", "score", "ordinal")
 
 
 def _details(scored: DataFrame) -> DataFrame:
+    """(__ordinal, __rule): the result fields of every rule."""
     detail = F.array_join(F.flatten(F.transform("terms", lambda t, i: F.when(
         (i > 0) & (i <= F.size("operators")), F.array(F.get("operators", i - 1), t)).otherwise(F.array(t)))), " ")
-    return scored.select("ordinal", F.col("rule_id").alias("id"), "score", detail.alias("detail"),
-                         "l1", "l2", "l3", "l4", "sentiment")
+    return scored.select(F.col("ordinal").alias("__ordinal"), F.struct(
+        F.col("rule_id").alias("id"), "score", detail.alias("detail"), "l1", "l2", "l3", "l4", "sentiment")
+        .alias("__rule"))
 
 
 def _hits_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str) -> DataFrame:
     scored = scored_rules(rules)
     plain, special = _split(scored)
-    hits = _plain_hits(df, plain, text_col, id_col).select(id_col, "ordinal")
+    hits = _plain_hits(df, plain, text_col, id_col).select("__id", F.col("ordinal").alias("__ordinal"))
     others = _in_order(special.select(*_FIELDS).collect())
     if others:
         ordinals = F.array(*[F.lit(r.ordinal).cast("long") for r in others])
-        hits = hits.unionByName(_inline_hits(df, others, text_col, id_col).select(
-            id_col, F.get(ordinals, F.col("place") - 1).alias("ordinal")))
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("score").desc(), "ordinal"))
-    return (hits.join(_details(scored), "ordinal").withColumn("hit_no", place)
-            .select(id_col, "hit_no", F.col("id").alias("rule_id"), "score", "detail", "l1", "l2", "l3", "l4"))
+        inline = _inline_hits(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), others, "__t",
+                              "__id")
+        hits = hits.unionByName(inline.select("__id", F.get(ordinals, F.col("place") - 1).alias("__ordinal")))
+    r = F.col("__rule")
+    place = F.row_number().over(Window.partitionBy("__id").orderBy(r["score"].desc(), "__ordinal"))
+    return (hits.join(_details(scored), "__ordinal").withColumn("hit_no", place)
+            .select(F.col("__id").alias(id_col), "hit_no", r["id"].alias("rule_id"), r["score"].alias("score"),
+                    r["detail"].alias("detail"), *[r[c].alias(c) for c in ("l1", "l2", "l3", "l4")]))
 
 
 def classify_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str,
@@ -306,7 +312,7 @@ def classify_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str
     def key(score, ordinal):
         return F.struct((-score).cast("long").alias("a"), ordinal.cast("long").alias("b"))
 
-    best_plain = (_plain_hits(df, plain, text_col, id_col).groupBy(id_col)
+    best_plain = (_plain_hits(df, plain, text_col, id_col).groupBy("__id")
                   .agg(F.min(key(F.col("score"), F.col("ordinal"))).alias("__plain")))
     if others:
         keys = F.array(*[key(F.lit(r.score), F.lit(r.ordinal)) for r in others])
@@ -314,9 +320,8 @@ def classify_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str
             "__special", F.get(keys, F.col("__special") - 1))
     else:
         out = df.withColumn("__special", F.lit(None).cast("struct<a:bigint,b:bigint>"))
-    out = out.join(best_plain, id_col, "left").withColumn("__best", F.least("__plain", "__special"))
-    details = _details(scored)
-    r = details.select(F.col("ordinal").alias("__ordinal"), F.struct(*details.columns[1:]).alias("__rule"))
-    out = out.withColumn("__ordinal", F.col("__best.b")).join(r, "__ordinal", "left")
+    out = (out.join(best_plain, out[id_col] == best_plain["__id"], "left").drop("__id")
+           .withColumn("__ordinal", F.least("__plain", "__special")["b"])
+           .join(_details(scored), "__ordinal", "left"))
     return out.withColumns(_result_columns(F.col("__rule"), with_sentiment)).drop(
-        "__plain", "__special", "__best", "__ordinal", "__rule")
+        "__plain", "__special", "__ordinal", "__rule")

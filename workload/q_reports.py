@@ -87,8 +87,8 @@ def _cascade(k):
     return f"{ORES}, {', '.join(ctes)} SELECT \"Conversation_ID\", {', '.join(_P)} FROM {prev}"
 
 
-query("min_count_cascade", _cascade(400))(lambda spark, sf: R.min_count_filter(
-    order_results(spark, sf).select("Conversation_ID", *R.LEVELS), 400))
+query("min_count_cascade", _cascade(620))(lambda spark, sf: R.min_count_filter(
+    order_results(spark, sf).select("Conversation_ID", *R.LEVELS), 620))
 on_orders("sunburst_counts", """SELECT "Category", "Subcategory", "L3", "L4", count(*) AS count FROM res
     WHERE "Category" NOT IN ('NA', 'Uncategorized') GROUP BY ALL
     HAVING count(*) > (SELECT count(*) FROM res WHERE "Category" NOT IN ('NA', 'Uncategorized')) * 0.003::DOUBLE""",
