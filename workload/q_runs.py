@@ -40,23 +40,28 @@ RES = f"WITH {S.classified(SEED_RULES, extra=', lang, n_chars')}"
 N_RULES = len(SEED_RULES)
 
 # Every language is one run; a run takes a second per 100,000 characters and starts at a time made from its name.
-_RUNS = f"""runs AS (SELECT ascii(lang)::INT AS rid, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (ascii(lang)) DAY AS ts,
+_RID = "(ascii(lang) * 256 + ascii(substr(lang, 2, 1)))::INT"
+_RUNS = f"""runs AS (SELECT {_RID} AS rid, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL ({_RID}) HOUR AS ts,
     count(*) AS tot, count(*) FILTER ("Category" <> 'Uncategorized') AS cat,
     count(*) FILTER ("Category" = 'Uncategorized') AS unc,
     count(*) FILTER ("Category" <> 'Uncategorized') * 100.0::DOUBLE / count(*) AS pct,
     count(DISTINCT "Category") AS ul1, count(DISTINCT "Subcategory") AS ul2, sum(n_chars)::BIGINT / 100000.0::DOUBLE AS secs,
     count(*) / (sum(n_chars)::BIGINT / 100000.0::DOUBLE) AS rps, {N_RULES} AS rn, 0 AS pii FROM res GROUP BY lang),
-  fired AS (SELECT ascii(lang)::INT AS rid, matched_rule AS rule_id, count(*) AS hits, "Category" AS l1 FROM res
+  fired AS (SELECT {_RID} AS rid, matched_rule AS rule_id, count(*) AS hits, "Category" AS l1 FROM res
     WHERE matched_rule <> '' GROUP BY lang, matched_rule, "Category")"""
 
 
+def _number():
+    return F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))
+
+
 def _rid():
-    return F.first(F.ascii("lang"))
+    return F.first(_number())
 
 
 def _runs(spark, sf):
     start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
-    ts = F.first(F.timestamp_add("DAY", F.ascii("lang"), start))
+    ts = F.first(F.timestamp_add("HOUR", _number(), start))
     return H.run_summary(results(spark, sf), _rid(), ts, F.sum("n_chars") / F.lit(100000.0), N_RULES, F.lit(0),
                          by=["lang"])
 
