@@ -354,9 +354,13 @@ def top_movers(out: DataFrame, date: str, level: str, split: str, n: int = 10) -
     change = F.col("Period_2") - F.col("Period_1")
     base = F.when(F.col("Period_1") == 0, 1).otherwise(F.col("Period_1"))
     moved = counts.withColumns({"Change": change, "ChangePct": F.bround(change * 100.0 / base, 1)})
-    gains = moved.orderBy(F.col("Change").desc(), level).limit(n).withColumn("Side", F.lit("gain"))
-    losses = moved.orderBy(F.col("Change"), F.col(level).desc()).limit(n).withColumn("Side", F.lit("loss"))
-    return gains.unionByName(losses)
+    # One row per value from here on; a value may be among the gains and among the losses.
+    whole = Window.partitionBy(F.lit(1))
+    gain = F.row_number().over(whole.orderBy(F.col("Change").desc(), level)) <= n
+    loss = F.row_number().over(whole.orderBy(F.col("Change"), F.col(level).desc())) <= n
+    sides = F.array_compact(F.array(F.when(F.col("__gain"), "gain"), F.when(F.col("__loss"), "loss")))
+    return (moved.withColumns({"__gain": gain, "__loss": loss}).withColumn("Side", F.explode(sides))
+            .drop("__gain", "__loss"))
 
 
 # --- narrative ------------------------------------------------------------------------------------------------------
