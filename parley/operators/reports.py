@@ -252,7 +252,7 @@ def box_stats(out: DataFrame, level: str, metric: str, n: int = 12) -> DataFrame
               .select(level, F.bround("__mean", 2).alias("Mean"), "StdDev"))
     quartiles = exact_quantiles(rows.join(groups.select(level), level, "left_semi"), [level], "__v",
                                 {"Q1": 0.25, "Median": 0.5, "Q3": 0.75})
-    return groups.join(quartiles, level)
+    return groups.join(quartiles, level).withColumns({c: F.bround(c, 4) for c in ("Q1", "Median", "Q3")})
 
 
 def metric_combo(out: DataFrame, level: str, metrics: list[str], fn: str = "Mean", n: int = 15) -> DataFrame:

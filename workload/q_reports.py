@@ -145,8 +145,8 @@ on_orders("metric_by_group", f"""SELECT "Subcategory", {_STATS} FROM res WHERE {
 on_orders("metric_overall", f"""SELECT {_STATS}, count(DISTINCT "Category") AS "Groups" FROM res
     WHERE {_NAMED.format(c='Category')}""", lambda out: R.metric_overall(out, "Category", "price"))
 on_orders("metric_box_stats", f"""SELECT "Subcategory", round_even({_MEAN}, 2) AS "Mean",
-    round_even(stddev_samp(price), 2) AS "StdDev", quantile_cont(price, 0.25) AS "Q1",
-    quantile_cont(price, 0.5) AS "Median", quantile_cont(price, 0.75) AS "Q3" FROM res
+    round_even(stddev_samp(price), 2) AS "StdDev", round_even(quantile_cont(price, 0.25), 4) AS "Q1",
+    round_even(quantile_cont(price, 0.5), 4) AS "Median", round_even(quantile_cont(price, 0.75), 4) AS "Q3" FROM res
     WHERE {_NAMED.format(c='Subcategory')} GROUP BY 1 ORDER BY {_MEAN} DESC, 1 LIMIT 12""",
           lambda out: R.box_stats(out, "Subcategory", "price"))
 _BAL = "round_even(sum(CAST(balance AS DECIMAL(28, 6)))::DOUBLE / count(balance), 2)"
