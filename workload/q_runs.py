@@ -8,7 +8,7 @@ from parley.plans.runs import FULL_COLUMNS, SHORT_COLUMNS, classify_run, full_ru
 from parley.session import new_path
 from parley.streaming.classify_stream import category_trend_stream, run_to_parquet, stream_classify
 from workload import sql as S
-from workload.data import CONSUMER, docs, results, table, transcripts
+from workload.data import CONSUMER, results, table, transcripts
 from workload.q_classify import (
     BAD,
     BANDS,

@@ -58,9 +58,6 @@ def _(spark, sf):
     return out.where("consumer <> ''")
 
 
-_SAID = """array_to_string(list(trim(text) ORDER BY turn) FILTER (role = '{role}'), ' ')"""
-
-
 @query("speaker_segments", f"""WITH {TURNS} SELECT conv_id, true AS labelled,
     coalesce(array_to_string(list(regexp_replace(text, '^{S.SP}+|{S.SP}+$', '', 'g') ORDER BY turn)
       FILTER (role = 'user'), ' '), '') AS customer,
