@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from parley.llm.piece_dropout import segmentation_digest
 from parley.llm.simhash import simhash_groups
+from parley.llm.token_counts import token_counts
 
 
 def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_token_counts(spark, sf):
+    return token_counts(table(spark, sf, "documents"))
+
+
 def op3_simhash(spark, sf):
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op10_piece_dropout(spark, sf):
+    return segmentation_digest(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op10_piece_dropout)}
 ORACLE = {}
