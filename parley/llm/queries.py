@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from parley.llm.contamination import CONTAINED_SQL, contained_items
+from parley.llm.dictionary_quality import quality_digest
+from parley.llm.line_spread import LINES_SQL, line_digest
 from parley.llm.piece_dropout import segmentation_digest
 from parley.llm.simhash import simhash_groups
 from parley.llm.token_counts import token_counts
@@ -19,9 +22,22 @@ def op3_simhash(spark, sf):
     return simhash_groups(table(spark, sf, "documents"))
 
 
+def op4_line_spread(spark, sf):
+    return line_digest(table(spark, sf, "documents"))
+
+
+def op8_contamination(spark, sf):
+    return contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op9_dictionary_quality(spark, sf):
+    return quality_digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op10_piece_dropout(spark, sf):
     return segmentation_digest(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op10_piece_dropout)}
-ORACLE = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_line_spread, op8_contamination,
+                                      op9_dictionary_quality, op10_piece_dropout)}
+ORACLE = {"op4_line_spread": LINES_SQL, "op8_contamination": CONTAINED_SQL}
