@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parley.llm.spans import code_points, distinct, gather, scramble
+
 SPACE = "▁"
 LONG = 48  # longer chunks are merged one by one with a heap; the result is the same
 BLOCK_CHARS = 16_000_000
@@ -25,13 +26,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _mix(x):
-    """A bijective scramble of 64 bits; x is an array of uint64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class Merger:
     """The pieces and merges of one model file, and segmentation with dropout.
 
@@ -57,7 +51,6 @@ class Merger:
             self.raw[i] = s.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        self.chars = {s: i for s, i in self.piece.items() if len(s) == 1}
         score = np.full(self.n, -np.inf)
         keys, made = [], []
         for s, i in self.piece.items():
@@ -67,89 +60,125 @@ class Merger:
                 if a is not None and b is not None:
                     keys.append((a << 20) | b)
                     made.append(i)
-        order = np.argsort(keys)
-        self.keys, self.made, self.score = np.array(keys, np.int64)[order], np.array(made, np.int64)[order], score
+        self.score = score.astype(np.float32)
+        self._fill(np.array(keys, np.int64), np.array(made, np.int32))
         self.table = dict(zip(keys, made))
-        joined = {c for s in self.piece if len(s) > 1 for c in s} - {SPACE}
+        # By code point: the id of a character, -1 where there is none. A literal U+2581 is spelled in bytes, so that
+        # decoding tells it from a blank.
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for s, i in self.piece.items():
+            if len(s) == 1:
+                self.symbol[32 if s == SPACE else ord(s)] = i
+        self.symbol[ord(SPACE)] = -1
         # Characters of no longer piece take part in no merge, so a text may be cut around them.
-        self.alone = lambda c: c not in joined
-        self.chunks = re.compile(r" *[^ \n]+| +|\n+").findall if "\n" not in joined else re.compile(r" *[^ ]+| +").findall
+        self.alone = np.ones(0x110000, bool)
+        self.alone[sorted({32 if c == SPACE else ord(c) for s in self.piece if len(s) > 1 for c in s})] = False
         if any(SPACE in s.lstrip(SPACE) for s in self.piece):
             raise ValueError("pieces with a blank behind a letter are not supported")
 
-    def symbols(self, chunk: str) -> list[int]:
-        """Ids of the characters, -1 where there is none. A literal U+2581 is spelled in bytes, so that decoding
-        tells it from a blank."""
-        get = self.chars.get
-        return [get(SPACE if c == " " else "" if c == SPACE else c, -1) for c in chunk]
-
     def dropped(self, variant, start, middle, end, made):
-        x = _mix(np.asarray(variant, _U) * _U(0x9E3779B97F4A7C15) + _U(self.seed & (2**64 - 1)))
-        x = _mix(x ^ (np.asarray(start, _U) << _U(42) | np.asarray(middle, _U) << _U(21) | np.asarray(end, _U)))
-        x = _mix(x + np.asarray(made, _U))
+        x = scramble(np.asarray(variant, _U) * _U(0x9E3779B97F4A7C15) + _U(self.seed & (2**64 - 1)))
+        x = scramble(x ^ (np.asarray(start, _U) << _U(42) | np.asarray(middle, _U) << _U(21) | np.asarray(end, _U)))
+        x = scramble(x + np.asarray(made, _U))
         return (x >> _U(11)).astype(np.float64) * 2.0**-53 < self.dropout
 
+    def _fill(self, keys, made):
+        """A hash table of the merges: each key at the first free place from its own on."""
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.made[at[put]] = keys[put], made[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, made, at = keys[rest], made[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys):
+        return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
     def lookup(self, a, b):
         """Id of the piece which two symbols make, -1 if none."""
-        key = (a << 20) | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.made[at], -1)
-
-    def _candidates(self, a, b, start, middle, end, variant):
-        """Piece and score of candidates; dropped ones have no score."""
-        made = self.lookup(a, b)
-        score = np.where(made >= 0, self.score[made], -np.inf)
-        if self.dropout > 0:
-            at = np.nonzero(made >= 0)
-            gone = self.dropped(variant[at], start[at], middle[at], end[at], made[at])
-            hit = tuple(x[gone] for x in at)
-            score[hit] = -np.inf
-        return made, score
-
-    def merge_all(self, chunks: list[str], variants: list[int]) -> list[list[int]]:
-        """Final symbols of many short chunks at once, as (id or -1, start) packed in arrays."""
-        n, width = len(chunks), max(map(len, chunks))
-        sym = np.full((n, width + 1), -2, np.int64)
-        for r, c in enumerate(chunks):
-            sym[r, : len(c)] = self.symbols(c)
-        length = np.array([len(c) for c in chunks])
-        start = np.minimum(np.arange(width + 2)[None, :], length[:, None])
-        variant = np.array(variants, np.uint64)
-        made, score = self._candidates(sym[:, :-1], sym[:, 1:], start[:, :-2], start[:, 1:-1], start[:, 2:],
-                                       np.broadcast_to(variant[:, None], (n, width)))
-        rows, cols = np.arange(n), np.arange(width + 1)
-        out = [None] * n
-        while len(rows):
-            best = score.argmax(1)
-            live = score[np.arange(len(rows)), best] > -np.inf
-            if not live.all():
-                for r in np.nonzero(~live)[0]:
-                    k = int(length[r])
-                    out[rows[r]] = (sym[r, :k].tolist(), start[r, : k + 1].tolist())
-                rows, sym, start, made, score, length, variant, best = (
-                    x[live] for x in (rows, sym, start, made, score, length, variant, best))
-                if not len(rows):
-                    break
-            i = np.arange(len(rows))
-            new = made[i, best]
-            shift = cols[None, :] + (cols[None, :] > best[:, None])
-            sym = np.take_along_axis(np.pad(sym, ((0, 0), (0, 1)), constant_values=-2), shift, 1)
-            start = np.concatenate((np.take_along_axis(start, np.minimum(shift, start.shape[1] - 1), 1), start[:, -1:]), 1)
-            sym[i, best] = new
-            length -= 1
-            half = shift[:, :-1]
-            made = np.take_along_axis(np.pad(made, ((0, 0), (0, 1)), constant_values=-1), half, 1)
-            score = np.take_along_axis(np.pad(score, ((0, 0), (0, 1)), constant_values=-np.inf), half, 1)
-            for at, on in ((best - 1, best > 0), (best, best >= 0)):
-                r = i[on]
-                p = at[on]
-                m, s = self._candidates(sym[r, p], sym[r, p + 1], start[r, p], start[r, p + 1], start[r, p + 2], variant[r])
-                made[r, p], score[r, p] = m, s
+        key = (a.astype(np.int64) << 20) | b
+        at = self._place(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.made[at], -1).astype(np.int32)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.made[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        out[(a < 0) | (b < 0)] = -1
         return out
 
-    def merge_one(self, chunk: str, variant: int) -> tuple[list[int], list[int]]:
-        """The same for one long chunk, with an agenda on a heap."""
-        sym = self.symbols(chunk)
+    def _scores(self, sym, nxt, start, middle, end, variant):
+        """Piece and score of candidates; those that make no piece or are dropped have no score."""
+        made = self.lookup(sym, nxt)
+        on = np.flatnonzero(made >= 0)
+        score = np.full(len(made), -np.inf, np.float32)
+        if self.dropout > 0 and len(on):
+            on = on[~self.dropped(variant[on], start[on], middle[on], end[on], made[on])]
+        score[on] = self.score[made[on]]
+        return made, score
+
+    def merge_all(self, sym: np.ndarray, offsets: np.ndarray, variants: np.ndarray):
+        """Final symbols, their chunk and their start, of many short chunks at once.
+
+        ``sym`` holds the characters of all chunks one behind the other. In every round each chunk makes its best
+        merge; chunks without one are done and leave.
+        """
+        size = offsets[1:] - offsets[:-1]
+        chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        start = (np.arange(len(sym)) - offsets[:-1][chunk]).astype(np.int32)
+        end = start + 1
+        score = np.full(len(sym), -np.inf, np.float32)
+        made = np.full(len(sym), -1, np.int32)
+        at = np.flatnonzero(chunk[1:] == chunk[:-1])
+        made[at], score[at] = self._scores(sym[at], sym[at + 1], start[at], start[at + 1], end[at + 1], variants[chunk[at]])
+        done, alive = [], np.ones(len(sym), bool)
+        head = None
+        while len(sym):
+            if head is None:
+                new = np.concatenate(([True], chunk[1:] != chunk[:-1]))
+                head, index = np.flatnonzero(new), np.arange(len(sym))
+                width = np.diff(np.append(head, len(sym)))
+                before, behind = np.where(new, -1, index - 1), np.where(np.append(new[1:], True), -1, index + 1)
+            best = np.maximum.reduceat(score, head)
+            live = best > -np.inf
+            if live.sum() < 0.7 * len(live) or not live.any():  # finished chunks leave, merged symbols with them
+                on = np.repeat(live, width)
+                out = alive & ~on
+                done.append((sym[out], chunk[out], start[out]))
+                on &= alive
+                sym, chunk, start, end, made, score = (x[on] for x in (sym, chunk, start, end, made, score))
+                alive, head = np.ones(len(sym), bool), None
+                continue
+            best[~live] = np.inf
+            hit = np.flatnonzero(score == np.repeat(best, width))
+            hit = hit[np.concatenate(([True], chunk[hit[1:]] != chunk[hit[:-1]]))]  # the leftmost of a chunk's best
+            right = behind[hit]
+            sym[hit], end[hit], alive[right], score[right] = made[hit], end[right], False, -np.inf
+            after = behind[right]
+            behind[hit] = after
+            score[hit] = -np.inf
+            inner = after >= 0
+            before[after[inner]] = hit[inner]
+            first = before[hit]
+            left = np.concatenate((first[first >= 0], hit[inner]))
+            right = behind[left]
+            made[left], score[left] = self._scores(sym[left], sym[right], start[left], start[right], end[right],
+                                                   variants[chunk[left]])
+        sym, chunk, start = (np.concatenate(x) for x in zip(*done)) if done else (sym, sym, sym)
+        order = np.argsort(chunk, kind="stable")
+        return sym[order], chunk[order], start[order]
+
+    def merge_one(self, sym: list[int], variant: int) -> tuple[list[int], list[int]]:
+        """Final symbols and their starts of one long chunk, with an agenda on a heap."""
+        sym = list(sym)
         n = len(sym)
         end, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         agenda = []
@@ -176,34 +205,64 @@ class Merger:
                 left[e] = s
             offer(([(left[s], s)] if left[s] >= 0 else []) + ([(s, e)] if e < n else []))
         starts = [k for k in range(n) if alive[k]]
-        return [sym[k] for k in starts], starts + [n]
-
-    def ids(self, chunk: str, symbols: tuple[list[int], list[int]]) -> list[int]:
-        """Piece ids; what is no piece is spelled in bytes."""
-        out = []
-        for k, i in enumerate(symbols[0]):
-            if i >= 0:
-                out.append(i)
-            else:
-                part = chunk[symbols[1][k]: symbols[1][k + 1]]
-                out += [self.bytes[b] for b in part.encode("utf-8", "surrogatepass")]
-        return out
-
-    def encode_chunks(self, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], list[int]]:
-        """Ids of distinct (chunk, variant) pairs; short ones in lockstep, by length."""
-        out, by = {}, {}
-        for pair in wanted:
-            by.setdefault(min(len(pair[0]), LONG + 1), []).append(pair)
-        for size, pairs in by.items():
-            if size > LONG:
-                for c, v in pairs:
-                    out[c, v] = self.ids(c, self.merge_one(c, v))
-                continue
-            for at in range(0, len(pairs), 50_000):
-                part = pairs[at: at + 50_000]
-                for (c, v), symbols in zip(part, self.merge_all([c for c, _ in part], [v for _, v in part])):
-                    out[c, v] = symbols[0] if min(symbols[0]) >= 0 else self.ids(c, symbols)
-        return out
+        return [sym[k] for k in starts], starts
+
+    def segment(self, points: np.ndarray, offsets: np.ndarray, variants: np.ndarray):
+        """Piece ids, and their offsets, of chunks given by their characters; what is no piece is spelled in bytes."""
+        sym = self.symbol[points]
+        size = offsets[1:] - offsets[:-1]
+        short = np.flatnonzero(size <= LONG)
+        flat, ends = gather(sym, offsets, short)
+        ids, chunk, start = self.merge_all(flat, ends, variants[short])
+        chunk = short[chunk]
+        for k in np.flatnonzero(size > LONG):
+            i, s = self.merge_one(sym[offsets[k]: offsets[k + 1]].tolist(), int(variants[k]))
+            ids, chunk, start = (np.concatenate(p) for p in ((ids, i), (chunk, np.full(len(i), k)), (start, s)))
+        order = np.argsort(chunk, kind="stable")
+        ids, chunk, start = ids[order], chunk[order], start[order]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            char = points[offsets[chunk[odd]] + start[odd]]
+            spelled = {c: [self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in set(char.tolist())}
+            times = np.ones(len(ids), np.int64)
+            times[odd] = [len(spelled[c]) for c in char.tolist()]
+            place = np.repeat(ids < 0, times)
+            ids, chunk = np.repeat(ids, times), np.repeat(chunk, times)
+            ids[place] = [i for c in char.tolist() for i in spelled[c]]
+        return ids, np.concatenate(([0], np.cumsum(np.bincount(chunk, minlength=len(size)))))
+
+    def chunk_starts(self, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where to cut: no merge reaches over these places. A blank starts a chunk with what follows it, and so does
+        a character that is part of no longer piece."""
+        alone = self.alone[points]
+        blank = points == 32
+        cut = np.ones(len(points), bool)
+        cut[1:] = (blank[1:] & ~blank[:-1]) | alone[1:] | alone[:-1]
+        cut[edges[:-1][edges[:-1] < len(points)]] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: list[str], keys: list, variants: int):
+        """Piece ids of texts, and their offsets. Equal chunks of equal variant are segmented once."""
+        lead = [" " + t if t else "" for t in texts]
+        points = code_points("".join(lead))
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lead), np.int64, len(lead)))))
+        if not len(points):
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        starts = self.chunk_starts(points, edges)
+        ends = np.append(starts[1:], len(points))
+        of, seen = distinct(points, starts, ends)
+        doc = np.searchsorted(edges, starts, "right") - 1
+        seeds = np.array([xxhash.xxh64_intdigest(str(k).encode("utf-8", "surrogatepass"), self.seed) for k in keys], _U)
+        place = np.arange(len(starts)) - np.searchsorted(starts, edges[:-1])[doc]
+        variant = (scramble(place.astype(_U) * _U(0x9E3779B97F4A7C15) + seeds[doc]) % _U(max(1, variants))).astype(np.int64)
+        pair, index = np.unique(of * max(1, variants) + variant, return_inverse=True)
+        value = seen[pair // max(1, variants)]
+        size = ends[value] - starts[value]
+        chars, offsets = gather(points, np.append(starts, len(points)), value)
+        assert len(chars) == size.sum()
+        ids, at = self.segment(chars, offsets, (pair % max(1, variants)).astype(_U))
+        ids, at = gather(ids, at, index)
+        return ids, at[np.searchsorted(starts, edges)]
 
     def decode(self, ids) -> str:
         """The text of a list of ids. The blank put in front of every text is taken off."""
@@ -212,34 +271,10 @@ class Merger:
         return text[1:]
 
 
-def _variants(key: int, n: int, variants: int) -> list[int]:
-    """The variant of each chunk of a document, by a hash of its key and the place of the chunk."""
-    if variants < 2:
-        return [0] * n
-    return (_mix(np.arange(n, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(key)) % _U(variants)).tolist()
-
-
 def _encode(out: pa.Schema, text_at: int, key_at: int, model: str, dropout: float, seed: int, variants: int,
             block_chars: int):
     def run(batches):
         merger = Merger(model, dropout, seed)
-
-        def block(rows):
-            cut, wanted = [], {}
-            for text, key in rows:
-                chunks = merger.chunks(" " + text) if text else []
-                vs = _variants(xxhash.xxh64_intdigest(str(key).encode("utf-8", "surrogatepass"), seed), len(chunks), variants)
-                pairs = list(zip(chunks, vs))
-                wanted.update(dict.fromkeys(pairs))
-                cut.append(pairs)
-            known = merger.encode_chunks(list(wanted))
-            values, offsets = [], [0]
-            for pairs in cut:
-                for p in pairs:
-                    values += known[p]
-                offsets.append(len(values))
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
             keys = batch.column(key_at).to_pylist() if key_at >= 0 else texts
@@ -249,15 +284,16 @@ def _encode(out: pa.Schema, text_at: int, key_at: int, model: str, dropout: floa
                 while end < len(texts) and (end == at or chars + len(texts[end]) <= block_chars):
                     chars += len(texts[end])
                     end += 1
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, block(list(zip(texts[at:end], keys[at:end])))], schema=out)
+                ids, offsets = merger.encode(texts[at:end], keys[at:end], variants)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, lists], schema=out)
                 at = end
 
     return run
 
 
 def encode(docs: DataFrame, text_col: str = "text", key_col: str | None = "doc_id", dropout: float = 0.1,
-           seed: int = 17, variants: int = 8, model: str | None = None, out_col: str = "piece_ids",
+           seed: int = 17, variants: int = 4, model: str | None = None, out_col: str = "piece_ids",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The input's rows and columns with ``out_col``, the piece ids of the text (array of int).
 
@@ -295,7 +331,7 @@ def decode(df: DataFrame, ids_col: str = "piece_ids", model: str | None = None,
 
 
 def segmentation_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
-                        seed: int = 17, variants: int = 8, model: str | None = None) -> DataFrame:
+                        seed: int = 17, variants: int = 4, model: str | None = None) -> DataFrame:
     """One row per document: id, ``n_pieces``, ``ids_hash`` of the ids, ``lossless`` (decoding gives the text back)."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     done = decode(encode(rows, "_text", "_id", dropout, seed, variants, model))

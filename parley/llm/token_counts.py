@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
-from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parley.llm.spans import code_points, distinct
 from parley.session import materialize
 
-# Fixed value: the byte-level pre-tokenizer's pattern, as its library documents it.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
+LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
 def default_vocabulary() -> str:
@@ -29,38 +29,55 @@ def default_vocabulary() -> str:
 
 
 @lru_cache
-def _newer():
-    """A pattern for characters which Unicode 3.2 did not have: libraries disagree on their classes by version."""
-    old, ranges, start = unicodedata.ucd_3_2_0.category, [], None
-    for c in range(0x110001):
-        fresh = c < 0x110000 and not 0xD800 <= c < 0xE000 and old(chr(c)) == "Cn"
-        if fresh and start is None:
-            start = c
-        elif not fresh and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]").search
-
-
-def splitter(vocabulary: str, pattern: str = PATTERN):
-    """A function from a text to its pre-tokens.
-
-    ``\\s`` is spelled out, as the tokenizer's is Unicode white space. A text with characters newer than Unicode 3.2 is
-    cut by the tokenizer library itself, which is slower.
+def character_classes(vocabulary: str) -> np.ndarray:
+    """Letter, number, white space or other, for every code point, as the tokenizer's own pre-tokenizer sees it.
+
+    Characters in a row of one class make one pre-token, so the pre-tokens of all characters show where classes end.
     """
-    import regex
     from tokenizers import Tokenizer
 
-    fast = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
-                         .replace(r"\S", r"\P{White_Space}")).findall
-    exact, newer = Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str, _newer()
+    cut = Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str
+    out = np.zeros(0x110000, np.uint8)
+
+    def kind(c):
+        for mark, k in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+            if len(cut(mark + c)) == 1:
+                return k
+        return SPACE
+
+    for c in range(0x80):
+        out[c] = kind(chr(c))
+    every = [*range(0x80, 0xD800), *range(0xE000, 0x110000)]
+    for _, (a, b) in cut("".join(map(chr, every))):
+        out[every[a: b]] = kind(chr(every[a]))
+    return out
 
-    def split(text):
-        if text.isascii() or not newer(text):
-            return fast(text)
-        return [text[a:b] for _, (a, b) in exact(text)]
 
-    return split
+def pretoken_starts(points: np.ndarray, edges: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of the byte-level pattern start; ``edges`` are the ends of the texts, from 0 on.
+
+    A run of letters, of numbers or of other characters is one, with one blank in front of it. Of white space in
+    front of anything else the last character stands alone or, if it is a blank, joins what follows. An apostrophe
+    that starts a pre-token takes s, t, m, d, re, ve or ll with it.
+    """
+    n = len(points)
+    c = classes[points]
+    first = np.zeros(n + 1, bool)
+    first[edges] = True
+    prev = np.concatenate(([SPACE], c[:-1]))
+    blank = np.concatenate(([False], points[:-1] == 32))
+    ahead = np.concatenate((c[1:], [SPACE])) != SPACE
+    space = c == SPACE
+    start = np.where(space, (prev != SPACE) | (ahead & ~first[1:]), (prev != c) & ~blank) | first[:-1]
+    for i in np.flatnonzero((points == 39) & ((~blank & (prev != OTHER)) | first[:-1])).tolist():
+        end = int(edges[np.searchsorted(edges, i, "right")])
+        tail = "".join(map(chr, points[i + 1: min(i + 3, end)]))
+        size = 2 if tail[:1] in ("s", "t", "m", "d") else 3 if tail in ("re", "ve", "ll") else 0
+        if size:
+            start[i + 1: i + size] = False
+            if i + size < n:
+                start[i + size] = True
+    return np.flatnonzero(start)
 
 
 def special_strings(vocabulary: str) -> list[str]:
@@ -69,59 +86,75 @@ def special_strings(vocabulary: str) -> list[str]:
         return sorted((t["content"] for t in json.load(f).get("added_tokens", [])), key=lambda s: (-len(s), s))
 
 
+def inverted_lists(texts: list[str], cut, classes: np.ndarray):
+    """``(tokens, token, freq, offsets, docs, marks)``: lists of the texts that hold a pre-token equally often.
+
+    List k is ``docs[offsets[k]:offsets[k + 1]]``, of pre-token ``tokens[token[k]]`` and frequency ``freq[k]``;
+    ``marks`` are the special strings of each text.
+    """
+    parts = [cut(t) for t in texts]
+    marks = [len(p) - 1 for p in parts]
+    flat = [s for p in parts for s in p]
+    joined = "".join(flat)
+    points = code_points(joined)
+    edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))))
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    starts = pretoken_starts(points, edges, classes) if len(points) else np.zeros(0, np.int64)
+    ends = np.concatenate((starts[1:], [len(points)])) if len(starts) else starts
+    doc = owner[np.searchsorted(edges, starts, "right") - 1]
+    of, seen = distinct(points, starts, ends)
+    pair, freq = np.unique(of * len(texts) + doc, return_counts=True)
+    token, doc = pair // max(1, len(texts)), pair % max(1, len(texts))
+    order = np.lexsort((freq, token))  # stable: documents stay in order
+    token, doc, freq = token[order], doc[order], freq[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (freq[1:] != freq[:-1]))))
+    tokens = [joined[a:b] for a, b in zip(starts[seen].tolist(), ends[seen].tolist())]
+    return tokens, token[new], freq[new], np.concatenate((new, [len(token)])), doc, marks
+
+
 def _inverted(schema: pa.Schema, vocabulary: str, block_chars: int):
-    """Blocks of documents as an inverted list: (pre-token, frequency) -> the documents of the block that have it so
-    often; and one row for each document."""
+    """Blocks of documents: one row for each list of ``inverted_lists``, and one for each document."""
     def run(batches):
-        split = splitter(vocabulary)
+        classes = character_classes(vocabulary)
         specials = special_strings(vocabulary)
         cut = re.compile("|".join(map(re.escape, specials))).split if specials else (lambda s: [s])
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 32
-        ids, sizes, marks, chars, inverted = [], [], [], 0, defaultdict(list)
+        ids, sizes, texts, chars = [], [], [], 0
 
         def flush():
-            n, k = len(ids), len(inverted)
-            tokens = [t for t, _ in inverted]
-            flat = pa.ListArray.from_arrays(
-                pa.array([0] * (n + 1) + list(_sums(map(len, inverted.values()))), pa.int32()),
-                pa.array([i for v in inverted.values() for i in v], pa.int32()))
-            cols = [pa.array([block] * (n + k), pa.int64()), pa.array(list(range(n)) + [None] * k, pa.int32()),
-                    pa.array(ids + [None] * k, schema.field("_id").type), pa.array(sizes + [None] * k, pa.int64()),
-                    pa.array(marks + [None] * k, pa.int64()), pa.array([None] * n + tokens, pa.string()),
-                    pa.array([None] * n + [f for _, f in inverted], pa.int32()), flat]
+            tokens, token, freq, offsets, doc, marks = inverted_lists(texts, cut, classes)
+            n, k = len(texts), len(token)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(n), offsets)), pa.int32()),
+                                             pa.array(doc, pa.int32()))
+            words = pa.array(tokens, pa.string()).take(pa.array(token))
+            nothing = pa.nulls
+            cols = [pa.array(np.full(n + k, block), pa.int64()),
+                    pa.concat_arrays([pa.array(range(n), pa.int32()), nothing(k, pa.int32())]),
+                    pa.concat_arrays([pa.array(ids, schema.field("_id").type), nothing(k, schema.field("_id").type)]),
+                    pa.concat_arrays([pa.array(sizes, pa.int64()), nothing(k, pa.int64())]),
+                    pa.concat_arrays([pa.array(marks, pa.int64()), nothing(k, pa.int64())]),
+                    pa.concat_arrays([nothing(n, pa.string()), words]),
+                    pa.concat_arrays([nothing(n, pa.int32()), pa.array(freq, pa.int32())]), lists]
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text, ord_ = text or "", len(ids)
-                parts = cut(text)
-                counts = Counter(split(parts[0]))
-                for part in parts[1:]:
-                    counts.update(split(part))
-                for item in counts.items():
-                    inverted[item].append(ord_)
+            bytes_ = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for i, text, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_):
                 ids.append(i)
-                sizes.append(len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
-                marks.append(len(parts) - 1)
-                chars += len(text)
+                sizes.append(size)
+                texts.append(text or "")
+                chars += size
                 if chars >= block_chars:
                     yield flush()
                     block += 1
-                    ids, sizes, marks, chars, inverted = [], [], [], 0, defaultdict(list)
+                    ids, sizes, texts, chars = [], [], [], 0
         if ids:
             yield flush()
 
     return run
 
 
-def _sums(lengths):
-    total = 0
-    for n in lengths:
-        total += n
-        yield total
-
-
 def _pieces(vocabulary: str):
     """The number of pieces of each pre-token, by the tokenizer library itself."""
     def run(batches):
