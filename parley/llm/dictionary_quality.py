@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.spans import distinct, word_spans
+
 SAMPLE = 3000
 PIECE = 4096
-_SHAPE = str.maketrans({**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"},
-                        **{c: "0" for c in "0123456789"}})
-_RUN = re.compile(r"([Aa])\1+")
+NEAR = 4
+BLOCK_BYTES = 8_000_000
+_CLASS = np.arange(256, dtype=np.uint8)
+for _mark, _from, _to in (("A", 65, 91), ("a", 97, 123), ("0", 48, 58), ("a", 128, 256)):
+    _CLASS[_from:_to] = ord(_mark)
+_RUNS = np.zeros(256, bool)
+_RUNS[[ord(c) for c in "Aa0"]] = True
 
 
-def shape(text: str) -> str:
-    """The text with its letters made alike: runs of capitals, of small letters and of digits become one mark, a word
+def shapes(texts: list[bytes]) -> list[bytes]:
+    """Texts with their letters made alike: runs of capitals, of small letters and of digits become one mark, a word
     that repeats one of the four before it becomes ``=``. Marks, blanks and line breaks stay."""
-    out, last = [], ["", "", "", ""]
-    for k, w in enumerate(re.split(r"( |\n)", text)):
-        if w in (" ", "\n", ""):
-            out.append(w)
-        elif w in last:
-            out.append("=")
-        else:
-            mark = w.translate(_SHAPE) if w.isascii() else "".join(
-                "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w)
-            out.append(_RUN.sub(r"\1", mark))
-        if w not in (" ", "\n", ""):
-            last = [*last[1:], w]
-    return "".join(out)
+    out, begin = [], 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= BLOCK_BYTES):
+            size += len(texts[end])
+            end += 1
+        data = np.frombuffer(b"".join(texts[begin:end]), np.uint8)
+        edges = np.concatenate(([0], np.cumsum([len(t) for t in texts[begin:end]])))
+        starts, ends, part = word_spans(data, edges)
+        value = distinct(data, starts, ends)[0]
+        again = np.zeros(len(value), bool)
+        for k in range(1, min(NEAR, len(value) - 1) + 1):
+            again[k:] |= (value[k:] == value[:-k]) & (part[k:] == part[:-k])
+        mark = _CLASS[data]
+        keep = np.ones(len(data), bool)
+        keep[1:] = (mark[1:] != mark[:-1]) | ~_RUNS[mark[1:]]
+        keep[starts] = True
+        if again.any():
+            step = np.zeros(len(data) + 1, np.int8)
+            step[starts[again]] += 1
+            step[ends[again]] -= 1
+            keep[np.cumsum(step[:-1]) > 0] = False
+            keep[starts[again]] = True
+            mark[starts[again]] = ord("=")
+        cut = np.concatenate(([0], np.cumsum(keep)))[edges].tolist()
+        packed = mark[keep].tobytes()
+        out += [packed[a:b] for a, b in zip(cut, cut[1:])]
+        begin = end
+    return out
 
 
 class Dictionaries:
@@ -54,26 +74,25 @@ class Dictionaries:
                 self.ready.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
         return self.ready
 
-    def differences(self, text: str | None) -> tuple[float, float]:
+    def differences(self, texts: list[bytes]) -> np.ndarray:
         """For text and shape: (bytes with the bad dictionary - bytes with the good one) / their mean.
 
-        Texts are compressed in pieces of ``PIECE`` characters, so that a dictionary counts as much at the end of a
-        long text as at its start; all pieces count.
+        Texts are compressed in pieces of ``PIECE`` bytes, so that a dictionary counts as much at the end of a long
+        text as at its start; all pieces count.
         """
-        compressors, out = self._compressors(), []
-        for k, s in enumerate((text or "", shape(text or ""))):
-            good = bad = 0
-            for at in range(0, len(s), PIECE):
-                piece = s[at: at + PIECE].encode("utf-8", "surrogatepass")
-                good += len(compressors[2 * k].compress(piece))
-                bad += len(compressors[2 * k + 1].compress(piece))
-            out.append(2 * (bad - good) / (bad + good) if good + bad else 0.0)
-        return out[0], out[1]
-
-    def score(self, text: str | None) -> float:
-        a, b = self.differences(text)
-        z = self.curve[0] + self.curve[1] * a + self.curve[2] * b
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        compressors, out = self._compressors(), np.zeros((len(texts), 2))
+        for k, channel in enumerate((texts, shapes(texts))):
+            good_of, bad_of = compressors[2 * k].compress, compressors[2 * k + 1].compress
+            for r, s in enumerate(channel):
+                pieces = [s] if len(s) <= PIECE else [s[at: at + PIECE] for at in range(0, len(s), PIECE)]
+                if s:
+                    good, bad = sum(len(good_of(p)) for p in pieces), sum(len(bad_of(p)) for p in pieces)
+                    out[r, k] = 2 * (bad - good) / (bad + good)
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        z = self.curve[0] + self.differences(texts) @ np.array(self.curve[1:])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -101,7 +120,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int,
-                   id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+                   id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
     """At most ``limit`` (text, label) rows of each label, by a hash of the id: the documented bound of the fit.
 
     ``keep`` is a condition on ``_id`` that names the rows which may be learnt from. Repeated ids count once.
@@ -110,12 +129,12 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
              .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & keep).dropDuplicates(["_id"]))
     rank = F.xxhash64(F.lit("train"), F.col("_id"))
     picked = [known.where(F.col("_y") == y).orderBy(rank, "_id").limit(limit) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_t"))
     rows = texts.join(picked[0].union(picked[1]), "_id").dropDuplicates(["_id"]).orderBy(rank, "_id").collect()
-    return [(r["_t"] or "", r["_y"]) for r in rows]
+    return [(bytes(r["_t"] or b""), r["_y"]) for r in rows]
 
 
-def fit(rows: list[tuple[str, int]], size: int = 48_000, level: int = 3) -> Dictionaries:
+def fit(rows: list[tuple[bytes, int]], size: int = 48_000, level: int = 3) -> Dictionaries:
     """Dictionaries from two thirds of the rows, the calibrating curve from the rest.
 
     Without rows of both labels the score is the same for all texts: the share of good rows, 0.5 for none.
@@ -124,9 +143,10 @@ def fit(rows: list[tuple[str, int]], size: int = 48_000, level: int = 3) -> Dict
     learn = [r for r, held in zip(rows, part) if not held]
     held = [r for r, h in zip(rows, part) if h] or rows
     blobs = []
-    for channel in (lambda t: t, shape):
+    for channel in (list, shapes):
+        texts = channel([t for t, _ in learn])
         for y in (1, 0):
-            cut = [channel(t)[at: at + PIECE].encode("utf-8", "surrogatepass") for t, label in learn if label == y
+            cut = [t[at: at + PIECE] for t, (_, label) in zip(texts, learn) if label == y
                    for at in range(0, min(len(t), 4 * PIECE), PIECE)]
             blobs.append(_dictionary([c for c in cut if c], size))
     model = Dictionaries(blobs, [0.0, 0.0, 0.0], level)
@@ -135,7 +155,7 @@ def fit(rows: list[tuple[str, int]], size: int = 48_000, level: int = 3) -> Dict
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         model.curve = [float(np.log(share / (1 - share))), 0.0, 0.0]
         return model
-    x = np.array([model.differences(t) for t, _ in held])
+    x = model.differences([t for t, _ in held])
     model.curve = [float(v) for v in logistic(x, y)]
     return model
 
@@ -153,10 +173,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str
         fit(training_texts(docs, labels, label, keep, sample, id_col, text_col)))
 
     def of(texts: pd.Series) -> pd.Series:
-        dictionaries = model.value
-        return pd.Series([dictionaries.score(t) for t in texts], dtype="float64")
+        return pd.Series(model.value.scores([bytes(t) if t is not None else b"" for t in texts]), dtype="float64")
 
-    score = F.pandas_udf(of, "double").asNondeterministic()(F.col(text_col).cast("string"))
+    score = F.pandas_udf(of, "double").asNondeterministic()(F.col(f"`{text_col}`").cast("string").cast("binary"))
     kept = [c for c in docs.columns if c not in (score_col, predicted_col)]
     return (docs.select(*[F.col(f"`{c}`") for c in kept], score.alias(score_col))
             .withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int")))

@@ -89,12 +89,12 @@ def line_digest(docs: DataFrame) -> DataFrame:
 # The same by exact counts.
 LINES_SQL = f"""
 WITH parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS part,
-        generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+        generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
     lines AS (SELECT *, trim(part, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM parts),
     bad AS (SELECT line, min(doc_id) AS first FROM lines WHERE length(line) >= {MIN_CHARS} GROUP BY line
         HAVING count(DISTINCT source) >= {SITES}),
-    marked AS (SELECT l.doc_id, l.at, l.part, b.line IS NOT NULL AS gone FROM lines l
+    marked AS (SELECT l.doc_id, l.pos, l.part, b.line IS NOT NULL AS gone FROM lines l
         LEFT JOIN bad b ON l.line = b.line AND l.doc_id <> b.first),
     kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-        coalesce(string_agg(part, chr(10) ORDER BY at) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
+        coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, md5(text) AS text_md5 FROM kept"""
