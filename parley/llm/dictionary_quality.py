@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.llm.spans import distinct, word_spans
 
 SAMPLE = 3000
-PIECE = 4096
+PIECE = 512
 NEAR = 4
 BLOCK_BYTES = 8_000_000
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -119,11 +119,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
     return w
 
 
+def moved(curve: np.ndarray, y: np.ndarray, share: float | None) -> np.ndarray:
+    """The curve for a share of label 1 other than that of ``y``, which it was fitted on."""
+    if share is not None and 0 < share < 1 and 0 < y.mean() < 1:
+        curve = curve.copy()
+        curve[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return curve
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int,
-                   id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+                   id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[bytes, int]], float | None]:
     """At most ``limit`` (text, label) rows of each label, by a hash of the id: the documented bound of the fit.
 
-    ``keep`` is a condition on ``_id`` that names the rows which may be learnt from. Repeated ids count once.
+    ``keep`` is a condition on ``_id`` that names the rows which may be learnt from. Repeated ids count once. The
+    second result is the share of label 1 among all such rows, sampled or not (None: there are none).
     """
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
              .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & keep).dropDuplicates(["_id"]))
@@ -131,12 +140,13 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     picked = [known.where(F.col("_y") == y).orderBy(rank, "_id").limit(limit) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_t"))
     rows = texts.join(picked[0].union(picked[1]), "_id").dropDuplicates(["_id"]).orderBy(rank, "_id").collect()
-    return [(bytes(r["_t"] or b""), r["_y"]) for r in rows]
+    return [(bytes(r["_t"] or b""), r["_y"]) for r in rows], known.agg(F.avg("_y")).first()[0]
 
 
-def fit(rows: list[tuple[bytes, int]], size: int = 48_000, level: int = 3) -> Dictionaries:
+def fit(rows: list[tuple[bytes, int]], share: float | None = None, size: int = 48_000, level: int = 3) -> Dictionaries:
     """Dictionaries from two thirds of the rows, the calibrating curve from the rest.
 
+    ``share`` is the part of good rows among all labelled ones; the sample may hold another, so the curve is moved.
     Without rows of both labels the score is the same for all texts: the share of good rows, 0.5 for none.
     """
     part = [k % 3 == 2 for k in range(len(rows))]
@@ -147,16 +157,16 @@ def fit(rows: list[tuple[bytes, int]], size: int = 48_000, level: int = 3) -> Di
         texts = channel([t for t, _ in learn])
         for y in (1, 0):
             cut = [t[at: at + PIECE] for t, (_, label) in zip(texts, learn) if label == y
-                   for at in range(0, min(len(t), 4 * PIECE), PIECE)]
+                   for at in range(0, min(len(t), 16 * PIECE), PIECE)]
             blobs.append(_dictionary([c for c in cut if c], size))
     model = Dictionaries(blobs, [0.0, 0.0, 0.0], level)
     y = np.array([v for _, v in held], float)
     if len(y) == 0 or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        model.curve = [float(np.log(share / (1 - share))), 0.0, 0.0]
+        even = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+        model.curve = [float(np.log(even / (1 - even))), 0.0, 0.0]
         return model
     x = model.differences([t for t, _ in held])
-    model.curve = [float(v) for v in logistic(x, y)]
+    model.curve = [float(v) for v in moved(logistic(x, y), y, share)]
     return model
 
 
@@ -170,7 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str
     An empty table of documents gives an empty table; see ``fit`` for missing labels.
     """
     model = docs.sparkSession.sparkContext.broadcast(
-        fit(training_texts(docs, labels, label, keep, sample, id_col, text_col)))
+        fit(*training_texts(docs, labels, label, keep, sample, id_col, text_col)))
 
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(model.value.scores([bytes(t) if t is not None else b"" for t in texts]), dtype="float64")
