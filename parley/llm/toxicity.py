@@ -12,7 +12,8 @@ from parley.llm.spans import code_points, distinct, gather
 
 SAMPLE = 2000
 LANDMARKS = 160
-NEGATIVES = 30_000
+NEGATIVES = 60_000
+SURE = 8.0  # standard deviations
 DECAY = 0.6
 SYMBOLS = 64
 STEPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]  # places of the second and third character of a triple
@@ -229,7 +230,7 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, landmarks: in
         value = witness_value[bad_word]
         top = np.maximum.reduceat(value, head)
         top = np.repeat(top, np.diff(np.append(head, len(value))))
-        chosen = bad_word[((value == top) & (value > -2)) | (lift[bad_word] > 4)]  # 4 standard deviations
+        chosen = bad_word[((value == top) & (value > -2)) | (lift[bad_word] > SURE)]
         positive, times = np.unique(chosen, return_counts=True)
         x = np.concatenate((features[positive], features[negative])).astype(np.float64)
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
