@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from parley.llm.spans import code_points, distinct, gather, scramble
 
 SPACE = "▁"
 LONG = 48  # longer chunks are merged one by one with a heap; the result is the same
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 _U = np.uint64
 
 
@@ -313,28 +314,44 @@ def encode(docs: DataFrame, text_col: str = "text", key_col: str | None = "doc_i
                                    block_chars), schema)
 
 
+def _decode(out: pa.Schema, at: int, model: str):
+    def run(batches):
+        merger = Merger(model)
+        for batch in batches:
+            lists, texts = batch.column(at), []
+            for k in range(batch.num_rows):  # row by row: a batch of ids as Python numbers would be large
+                ids = lists[k].values
+                texts.append(merger.decode(ids.to_pylist()) if ids is not None and len(ids) else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=out)
+
+    return run
+
+
 def decode(df: DataFrame, ids_col: str = "piece_ids", model: str | None = None, out_col: str = "decoded") -> DataFrame:
     """The input's rows and columns with ``out_col``, the text of the ids; null and no ids give the empty text."""
     model = model or default_model()
     if out_col in df.columns:
         df = df.drop(out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
-    arrow, at = to_arrow_schema(schema), df.columns.index(ids_col)
-
-    def run(batches):
-        merger = Merger(model)
-        for batch in batches:
-            texts = [merger.decode(ids) if ids is not None and len(ids) else "" for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_decode(to_arrow_schema(schema), df.columns.index(ids_col), model), schema)
 
 
 def segmentation_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
                         seed: int = 17, variants: int = 4, model: str | None = None) -> DataFrame:
     """One row per document: id, ``n_pieces``, ``ids_hash`` of the ids, ``lossless`` (decoding gives the text back)."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    done = decode(encode(rows, "_text", "_id", dropout, seed, variants, model))
+    model = model or default_model()
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"),
+                       F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    fields = [*rows.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]
+    coded = to_arrow_schema(T.StructType(fields))
+    both = to_arrow_schema(T.StructType([*fields, T.StructField("decoded", T.StringType())]))
+    to_ids, to_text = _encode(coded, 1, 0, model, dropout, seed, variants, BLOCK_CHARS), _decode(both, 2, model)
+
+    def round_trip(batches):  # both in one task, as the texts need not come back
+        for batch in to_text(to_ids(batches)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pc.equal(batch.column(1), batch.column(3))],
+                                             names=["_id", "piece_ids", "lossless"])
+
+    done = rows.mapInArrow(round_trip, T.StructType([fields[0], fields[2], T.StructField("lossless", T.BooleanType())]))
     return done.select(F.col("_id").alias(id_col), F.size("piece_ids").alias("n_pieces"),
-                       F.lower(F.lpad(F.hex(F.xxhash64("piece_ids")), 16, "0")).alias("ids_hash"),
-                       (F.col("decoded") == F.coalesce("_text", F.lit(""))).alias("lossless"))
+                       F.lower(F.lpad(F.hex(F.xxhash64("piece_ids")), 16, "0")).alias("ids_hash"), "lossless")

@@ -8,7 +8,7 @@ import numpy as np
 
 _U = np.uint64
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have an inverse modulo 2**64
-_WINDOW = 1 << 19
+_WINDOW = 1 << 17
 
 
 def code_points(text: str) -> np.ndarray:
@@ -44,7 +44,7 @@ def hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
         to = max(at + 1, int(np.searchsorted(ends, low + _WINDOW, "right")))
         s, e = starts[at:to] - low, ends[at:to] - low
         n = int(e.max()) if len(e) else 0
-        power, inverse = _powers(1 << max(19, (n + 1).bit_length()), base)
+        power, inverse = _powers(1 << max(18, (n + 1).bit_length()), base)
         x = symbols[low: low + n].astype(_U)
         x = (x + _U(1)) * _U(0xD6E8FEB86659FD93 + 2 * which)
         x ^= x >> _U(29)
