@@ -69,13 +69,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = (site_lines(docs, id_col, text_col, site_col, min_chars).select("line", F.col("id").alias("_id"))
             .join(bad, "line").where(~F.col("_id").eqNullSafe(F.col("first")))
             .groupBy("_id").agg(F.collect_set("line").alias("_bad")))
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(
-        hits, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
-    parts = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
+    # The input's columns travel in one struct, so that their names cannot clash with those in use here.
+    row = F.col("_row").getField
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).join(
+        hits, row(id_col).eqNullSafe(F.col("_id")), "left")
+    parts = F.split(row(text_col).cast("string"), "\n")
     kept = F.filter(parts, lambda x: ~(_counted(x, min_chars) & F.array_contains(F.col("_bad"), _key(x))))
-    text = F.when(F.col("_bad").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_bad").isNull() | F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(parts) - F.size(kept))
-    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
+    text = F.when(F.col("_bad").isNull(), row(text_col)).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("_bad").isNull() | row(text_col).isNull(), 0).otherwise(F.size(parts) - F.size(kept))
+    out = [(text if c == text_col else row(c)).alias(c) for c in columns]
     return joined.select(*out, *([removed.cast("int").alias(removed_col)] if removed_col else []))
 
 
