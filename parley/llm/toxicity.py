@@ -80,12 +80,17 @@ def framed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return out, offsets
 
 
-def spread(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Words (rows) as dense rows over all triples; for landmarks only."""
-    out = np.zeros((len(offsets) - 1, SYMBOLS**3), np.float32)
-    for word, triple, weight in triples(symbols, offsets):
-        np.add.at(out, (word, triple), weight)
-    return out / np.maximum(norms(symbols, offsets), 1e-9)[:, None]
+def spread(symbols: np.ndarray, offsets: np.ndarray):
+    """``(place, rows)``: words as rows over the triples that occur in them; triple t stands in column ``place[t]``,
+    the last column is that of all triples which no word has."""
+    found = list(triples(symbols, offsets))
+    used = np.unique(np.concatenate([t for _, t, _ in found]))
+    place = np.full(SYMBOLS**3, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    out = np.zeros((len(offsets) - 1, len(used) + 1), np.float32)
+    for word, triple, weight in found:
+        np.add.at(out, (word, place[triple]), weight)
+    return place, out / np.maximum(norms(symbols, offsets), 1e-9)[:, None].astype(np.float32)
 
 
 def norms(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,13 +100,13 @@ def norms(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def project(symbols: np.ndarray, offsets: np.ndarray, columns: np.ndarray) -> np.ndarray:
+def project(symbols: np.ndarray, offsets: np.ndarray, columns: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """Kernel sums of words with combinations of landmarks given as (triples, n) columns."""
     total = np.zeros((len(offsets) - 1, columns.shape[1]))
     for word, triple, weight in triples(symbols, offsets):
         if len(word):
             head = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            total[word[head]] += np.add.reduceat(columns[triple], head, axis=0) * weight
+            total[word[head]] += np.add.reduceat(columns[triple if place is None else place[triple]], head, axis=0) * weight
     return total / np.maximum(norms(symbols, offsets), 1e-9)[:, None]
 
 
@@ -205,11 +210,11 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, landmarks: in
     toxic_words = toxic_words[lift[toxic_words] > 0]
     clean_words = np.argsort(-clean, kind="stable")[: max(1, landmarks - len(toxic_words))]
     marks = np.unique(np.concatenate((toxic_words, clean_words)))
-    dense = spread(*framed(lowered, s[marks], e[marks]))
+    place, dense = spread(*framed(lowered, s[marks], e[marks]))
     values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     good = values > 1e-6
     half = vectors[:, good] / np.sqrt(values[good])  # Nyström: features are kernel values times this
-    columns = (dense.T @ half).astype(np.float32)
+    columns = dense.T @ half.astype(np.float32)
     symbols, offsets = framed(lowered, s, e)
     # Clean words: the most frequent ones and as many others; the bound is NEGATIVES.
     frequent = np.argsort(-clean, kind="stable")[: NEGATIVES // 2]
@@ -218,10 +223,12 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, landmarks: in
     used = np.union1d(negative, np.flatnonzero(lift > 1))
     witness_value = np.full(n, -2.0)
     witness_value[used] = lift[used]
-    features = np.zeros((n, columns.shape[1]), np.float32)
+    row = np.full(n, -1)
+    row[used] = np.arange(len(used))
+    features = np.zeros((len(used), columns.shape[1]), np.float32)
     for at in range(0, len(used), 5_000):
         chars, ends_ = gather(symbols, offsets, used[at: at + 5_000])
-        features[used[at: at + 5_000]] = project(chars, ends_, columns)
+        features[at: at + 5_000] = project(chars, ends_, columns, place)
     w, b = np.zeros(columns.shape[1]), -1.0
     order = np.argsort(owner[bad], kind="stable")
     bad_owner, bad_word = owner[bad][order], word[bad][order]
@@ -232,14 +239,14 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, landmarks: in
         top = np.repeat(top, np.diff(np.append(head, len(value))))
         chosen = bad_word[((value == top) & (value > -2)) | (lift[bad_word] > SURE)]
         positive, times = np.unique(chosen, return_counts=True)
-        x = np.concatenate((features[positive], features[negative])).astype(np.float64)
+        x = np.concatenate((features[row[positive]], features[row[negative]])).astype(np.float64)
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         weight = np.concatenate((np.minimum(times, 50) / np.minimum(times, 50).sum(),
                                  np.minimum(clean[negative], 50) / np.minimum(clean[negative], 50).sum())) * len(negative)
         w, b = linear_svm(x, y, weight)
         witness_value = np.full(n, -2.0)
-        witness_value[used] = features[used] @ w + b
-    machine = Machine((columns @ w).astype(np.float32)[:, None], float(b), np.zeros(4))
+        witness_value[used] = features @ w + b
+    machine = Machine((columns @ w).astype(np.float32)[place][:, None], float(b), np.zeros(4))
     fitted = machine.features([t for t, h in zip(texts, held) if h])
     machine.curve = moved(logistic(fitted, label[held].astype(float)), label[held], share)
     return machine
