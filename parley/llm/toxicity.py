@@ -160,14 +160,15 @@ class Machine:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30):
     """Weights and bias of a linear machine with squared hinge loss, by Newton steps on the points within the margin."""
-    x = np.column_stack((x, np.ones(len(x))))
+    x = np.column_stack((x, np.ones(len(x), x.dtype)))  # single precision, to keep the driver small
     w = np.zeros(x.shape[1])
     reg = ridge * np.eye(len(w))
     reg[-1, -1] = 1e-8
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        a = x[on] * weight[on][:, None]
-        new = np.linalg.solve(a.T @ x[on] + reg * weight.sum(), a.T @ y[on])
+        on = y * (x @ w.astype(x.dtype)) < 1
+        near = x[on]
+        a = near * weight[on][:, None].astype(x.dtype)
+        new = np.linalg.solve((a.T @ near).astype(np.float64) + reg * weight.sum(), a.T @ y[on])
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -239,7 +240,7 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, landmarks: in
         top = np.repeat(top, np.diff(np.append(head, len(value))))
         chosen = bad_word[((value == top) & (value > -2)) | (lift[bad_word] > SURE)]
         positive, times = np.unique(chosen, return_counts=True)
-        x = np.concatenate((features[row[positive]], features[row[negative]])).astype(np.float64)
+        x = np.concatenate((features[row[positive]], features[row[negative]]))
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         weight = np.concatenate((np.minimum(times, 50) / np.minimum(times, 50).sum(),
                                  np.minimum(clean[negative], 50) / np.minimum(clean[negative], 50).sum())) * len(negative)
