@@ -1,8 +1,7 @@
 """Bounded, case-insensitive term matching on lower-cased text.
 
-A term matches where a regex would find it between word boundaries. Terms made of word characters only are looked up
-in the set of distinct words of the text; phrases and terms with punctuation are confirmed by a literal pattern, but
-only in texts which hold all their words; ``*`` stands for any run of word characters.
+A term matches where a regex would find it between word boundaries; ``*`` stands for any run of word characters. The
+matcher tries a term's pattern only in texts which hold all its whole words.
 """
 
 from __future__ import annotations
@@ -65,40 +64,21 @@ def is_plain_word(term: str) -> bool:
     return bool(t) and all(is_word_char(ch) for ch in t)
 
 
-def term_found(term: str, lowered: Column, known: Column) -> Column:
-    """Whether ``term`` occurs in ``lowered``; ``known`` holds those rule words which the text contains."""
-    t = clean_term(term)
-    if is_plain_word(t):
-        return F.array_contains(known, t)
-    found = None
-    for w in dict.fromkeys(term_words(t)):
-        test = F.array_contains(known, w)
-        found = test if found is None else found & test
-    if "*" in t:
-        for part in t.split("*"):
-            if part:
-                test = F.contains(lowered, F.lit(part))
-                found = test if found is None else found & test
-    confirm = F.rlike(lowered, F.lit(term_pattern(t)))
-    return confirm if found is None else found & confirm
-
-
-def term_near(a: str, b: str, gap: int, lowered: Column) -> Column:
+def near_pattern(a: str, b: str, gap: int) -> str:
     """``a`` and ``b``, in either order, with at most ``gap`` words between them."""
     not_word = f"[^{WORD_CLASS}]"
     between = f"{not_word}+(?:{_WORD}+{not_word}+){{0,{gap}}}"
     pa, pb = term_pattern(a), term_pattern(b)
-    return F.rlike(lowered, F.lit(pa + between + pb)) | F.rlike(lowered, F.lit(pb + between + pa))
+    return f"{pa}{between}{pb}|{pb}{between}{pa}"
 
 
-def term_word_positions(term: str, lowered: Column) -> Column:
-    """For every occurrence, the number of white-space words that start before it.
+def pattern_word_positions(pattern: Column, lowered: Column) -> Column:
+    """For every occurrence of a term's pattern, the number of white-space words that start before it.
 
     One pass over the pieces between the occurrences; it carries the number of words so far and whether the text so
     far ends inside a word.
     """
-    pattern = F.lit(term_pattern(term))
-    pairs = F.arrays_zip(F.split(lowered, term_pattern(term), -1).alias("piece"),
+    pairs = F.arrays_zip(F.split(lowered, pattern, -1).alias("piece"),
                          F.regexp_extract_all(lowered, pattern, F.lit(0)).alias("mark"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("at"))
 
@@ -117,7 +97,7 @@ def term_word_positions(term: str, lowered: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["at"])
 
 
-def within_distance(left: Column, right: Column, n: int) -> Column:
+def within_distance(left: Column, right: Column, n: int | Column) -> Column:
     """Whether some entry of ``left`` and some entry of ``right`` are at most ``n`` apart.
 
     In the merged order the closest such pair stands side by side, so neighbours are all there is to compare.

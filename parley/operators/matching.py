@@ -1,36 +1,38 @@
 """Rule matching: text against boolean rules.
 
-The rule list is configuration: it is read once, checked for its size and turned into expressions, so classifying is
-one projection over the texts - no shuffle, no join, and the same plan for a batch and for a stream. Per text, the
-words are cut once and intersected with the words of all rules; everything else works on that short intersection.
+The rule list is configuration: it is read once and becomes constants of the plan, so classifying is one projection
+over the texts for any number of rules - no shuffle, no join, no id, and the same plan for a batch and for a stream.
 
-Rule lists above ``MAX_INLINE_RULES`` go through ``classify_by_join``, where the plain rules are a join between the
-word runs of the texts and the terms.
+A text is decided by looking up, never by trying all rules: its words lead to the terms which contain them, the terms
+that occur lead to the rules which ask for them, and only those rules are decided. The expressions are the same for
+one rule and for many; only the constants grow.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
+from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
-from parley.functions.once import once
 from parley.functions.terms import (
     clean_term,
-    term_found,
-    term_near,
+    is_plain_word,
+    is_word_char,
+    near_pattern,
+    pattern_word_positions,
     term_pattern,
-    term_word_positions,
     term_words,
     within_distance,
 )
 from parley.functions.text import SPEAKERS, as_text, has_speaker_label, speaker_text, word_tokens, words
 from parley.operators.rules import rules_from_dicts, score_rules
 
-MAX_INLINE_RULES = 2_000
-
 
 @dataclass
 class Rule:
@@ -77,84 +79,166 @@ def _in_order(rows) -> list[Rule]:
     return sorted((Rule(**row.asDict()) for row in rows), key=lambda r: (-r.score, r.ordinal))
 
 
-def read_rules(rules: DataFrame, limit: int = MAX_INLINE_RULES) -> list[Rule] | None:
-    """The rules in order on the driver, or None if there are more than ``limit``."""
-    rows = scored_rules(rules).select(*_FIELDS).limit(limit + 1).collect()
-    return None if len(rows) > limit else _in_order(rows)
-
-
-def _vocabulary(rules: list[Rule]) -> list[str]:
-    seen: dict[str, None] = {}
-    for rule in rules:
-        for term in [*rule.terms, *rule.exclude_if]:
-            seen.update(dict.fromkeys(term_words(term)))
-    return list(seen)
-
-
-def _fold(rule: Rule, found, near) -> Column:
-    """Left to right: each operator joins what came before with the next term; a missing operator means AND."""
-    state = found(rule.terms[0])
-    for i in range(1, len(rule.terms)):
-        op = rule.operators[i - 1].upper() if i - 1 < len(rule.operators) else "AND"
-        if op == "OR":
-            state = state | found(rule.terms[i])
-        elif op in ("NOT", "NOT LIKE"):
-            state = state & ~found(rule.terms[i])
-        elif op == "NEAR":
-            state = state & found(rule.terms[i]) & near(rule.terms[i - 1], rule.terms[i], rule.proximity or 5)
-        else:
-            state = state & found(rule.terms[i])
-    return state
-
-
-def rule_condition(rule: Rule, text: Column, lowered: Column, known: Column) -> Column:
-    """The rule as one boolean expression. Position and speaker look at the first term only."""
-
-    def near(a, b, n):
-        if n <= 5:
-            return term_near(a, b, n, lowered)
-        return within_distance(term_word_positions(a, lowered), term_word_positions(b, lowered), n)
-
-    test = _fold(rule, lambda t: term_found(t, lowered, known), near)
-    for term in rule.exclude_if:
-        if clean_term(term):
-            test = test & ~term_found(term, lowered, known)
-    first = "(?i)" + term_pattern(rule.terms[0])
-    if rule.position in ("START", "END"):
-        all_words, n = words(text), rule.within_words
-        tail = F.slice(all_words, F.greatest(F.size(all_words) - n, F.lit(0)) + 1, F.lit(n))
-        window = F.slice(all_words, 1, n) if rule.position == "START" else tail
-        test = test & F.rlike(F.array_join(window, " "), F.lit(first))
-    who = (rule.sent_by or "").lower()
-    if who in SPEAKERS:
-        test = test & (~has_speaker_label(text) | F.rlike(speaker_text(text, who), F.lit(first)))
-    return test
-
-
-def _with_words(df: DataFrame, text_col: str, rules: list[Rule]) -> DataFrame:
-    """Add text, lower-cased text and the rule words it contains."""
-    vocabulary = _vocabulary(rules)
-    listed = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    return (df.withColumn("__text", as_text(text_col)).withColumn("__low", F.lower("__text"))
-            .withColumn("__known", F.array_intersect(word_tokens(F.col("__low")), listed)))
+def read_rules(rules: DataFrame) -> list[Rule]:
+    """The rules in order on the driver. A rule list is configuration, written by people; it does not grow with the data."""
+    return _in_order(scored_rules(rules).select(*_FIELDS).collect())
+
+
+def _constant(value, schema: str) -> Column:
+    """A nested value as one constant of the plan (folded by the optimizer, so its size adds no code)."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+PREFIX = 3
+
+
+def _key(term: str) -> str | None:
+    """What a text must have to hold the term: a whole word, or a word that begins with ``abc`` (written ``abc*``);
+    None if neither can be told."""
+    if is_plain_word(term):
+        return term
+    whole = term_words(term)
+    if whole:
+        return max(whole, key=len)
+    run = re.match(r"\w*", term).group()
+    return run[:PREFIX] + "*" if len(run) >= PREFIX and all(is_word_char(c) for c in run) else None
+
+
+class Index:
+    """The constants: keys to terms, terms, terms to rules, rules."""
+
+    def __init__(self, rules: list[Rule]):
+        number: dict[str, int] = {}
+
+        def no(term):
+            return number.setdefault(clean_term(term), len(number))
+
+        entries, of_term = [], defaultdict(list)
+        for place, r in enumerate(rules):
+            terms = [no(t) for t in r.terms]
+            for t in dict.fromkeys(terms):
+                of_term[t].append(place)
+            ops = [(r.operators[i].upper() if i < len(r.operators) else "AND") for i in range(len(terms) - 1)]
+            gap = r.proximity or 5
+            pairs = [(r.terms[i], r.terms[i + 1]) if op == "NEAR" else None for i, op in enumerate(ops)]
+            entries.append({
+                "terms": terms, "ops": ["NOT" if op == "NOT LIKE" else op for op in ops], "gap": gap,
+                "near": [near_pattern(*p, gap) if p and gap <= 5 else None for p in pairs],
+                "far": [[term_pattern(t) for t in p] if p and gap > 5 else None for p in pairs],
+                "without": [no(t) for t in r.exclude_if if clean_term(t)], "first": term_pattern(r.terms[0]),
+                "position": r.position if r.position in ("START", "END") else None, "n": r.within_words,
+                "who": (r.sent_by or "").lower() if (r.sent_by or "").lower() in SPEAKERS else None})
+        self.rules = entries
+        self.of_term = [of_term[t] for t in range(len(number))]
+        self.terms, self.loose, keyed = [], [], defaultdict(list)
+        for t, i in number.items():
+            plain, key = is_plain_word(t), _key(t)
+            self.terms.append({"words": [] if plain else [w for w in dict.fromkeys(term_words(t)) if w != key],
+                               "parts": [x for x in t.split("*") if x] if "*" in t else [],
+                               "pattern": None if plain else term_pattern(t)})
+            (self.loose if key is None else keyed[key]).append(i)
+        self.prefixes = any(k.endswith("*") for k in keyed)
+        self.size = 2 * len(keyed) + 1
+        self.buckets = [[] for _ in range(self.size)]
+        for key, terms in keyed.items():
+            self.buckets[zlib.crc32(key.encode()) % self.size].append({"k": key, "t": terms})
+
+    def found(self, tokens: Column, lowered: Column) -> Column:
+        """Numbers of the terms which a text holds; ``tokens`` are its distinct words."""
+        buckets = _constant(self.buckets, "array<array<struct<k:string,t:array<int>>>>")
+        terms = _constant(self.terms, "array<struct<words:array<string>,parts:array<string>,pattern:string>>")
+
+        def asked(key):
+            bucket = F.get(buckets, (F.crc32(key) % self.size).cast("int"))
+            return F.flatten(F.transform(F.filter(bucket, lambda e: e["k"] == key), lambda e: e["t"]))
+
+        keys = tokens
+        if self.prefixes:
+            starts = F.transform(F.filter(tokens, lambda w: F.length(w) >= PREFIX), lambda w: F.substring(w, 1, PREFIX))
+            keys = F.concat(keys, F.transform(F.array_distinct(starts), lambda x: F.concat(x, F.lit("*"))))
+
+        def occurs(t):
+            e = F.get(terms, t)
+            return (F.forall(e["words"], lambda w: F.array_contains(tokens, w))
+                    & F.forall(e["parts"], lambda x: F.contains(lowered, x))
+                    & (e["pattern"].isNull() | F.rlike(lowered, e["pattern"])))
+
+        candidates = F.flatten(F.transform(keys, asked))
+        if self.loose:
+            candidates = F.concat(candidates, _constant(self.loose, "array<int>"))
+        return F.filter(candidates, occurs)
+
+    def matching(self, found: Column, text: Column, lowered: Column) -> Column:
+        """Places (from 0) of the rules which hold, in no order."""
+        of_term = _constant(self.of_term, "array<array<int>>")
+        rules = _constant(self.rules, "array<struct<terms:array<int>,ops:array<string>,gap:int,near:array<string>,"
+                                      "far:array<array<string>>,without:array<int>,first:string,position:string,n:int,"
+                                      "who:string>>")
+        # A rule can hold only if one of its terms occurs: the first fold is a term, and only OR sets it again.
+        asked = F.array_distinct(F.flatten(F.transform(found, lambda t: F.get(of_term, t))))
+        return F.filter(asked, lambda place: self._holds(F.get(rules, place), found, text, lowered))
+
+    def _holds(self, r: Column, found: Column, text: Column, lowered: Column) -> Column:
+        near = any(x for e in self.rules for x in e["near"])
+        far = any(x for e in self.rules for x in e["far"])
+
+        def step(state, i):
+            """Left to right: each operator joins what came before with the next term."""
+            has, op = F.array_contains(found, F.get(r["terms"], i)), F.get(r["ops"], i - 1)
+            both = state & has
+            if near:
+                pattern = F.get(r["near"], i - 1)
+                both = both & (pattern.isNull() | F.rlike(lowered, pattern))
+            if far:
+                pair = F.get(r["far"], i - 1)
+                at = [pattern_word_positions(F.get(pair, F.lit(k)), lowered) for k in (0, 1)]
+                both = both & F.when(pair.isNull(), F.lit(True)).otherwise(within_distance(*at, r["gap"]))
+            return F.when(i == 0, has).when(op == "OR", state | has).when(op == "NOT", state & ~has).otherwise(both)
+
+        test = (F.aggregate(F.sequence(F.lit(0), F.size(r["terms"]) - 1), F.lit(False), step)
+                & ~F.arrays_overlap(r["without"], found))
+        first = F.concat(F.lit("(?i)"), r["first"])
+        if any(e["position"] for e in self.rules):
+            cut, n = words(text), r["n"]
+            window = F.when(r["position"] == "START", F.slice(cut, F.lit(1), n)).otherwise(
+                F.slice(cut, F.greatest(F.size(cut) - n, F.lit(0)) + 1, n))
+            test = test & (r["position"].isNull() | F.rlike(F.array_join(window, " "), first))
+        for who in SPEAKERS:
+            if any(e["who"] == who for e in self.rules):
+                test = test & (r["who"].isNull() | (r["who"] != who) | ~has_speaker_label(text)
+                               | F.rlike(speaker_text(text, who), first))
+        return test
+
+
+def _generated(df: DataFrame, rules: list[Rule], text_col: str, result, name: str) -> DataFrame:
+    """Add ``result(places of the rules which hold)``.
+
+    The value comes from a generator: a filter on it stays above and does not evaluate it again, and a filter on the
+    table's own columns goes below, down to the scan.
+    """
+    index = Index(rules)
+    text, low = F.col("__text"), F.col("__low")
+    rows = df.withColumn("__text", as_text(text_col)).withColumn("__low", F.lower("__text"))
+    rows = rows.withColumn("__tokens", F.array_distinct(word_tokens(low)))
+    rows = rows.withColumn("__found", index.found(F.col("__tokens"), low))
+    value = result(index.matching(F.col("__found"), text, low))
+    return (rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+            .drop("__text", "__low", "__tokens", "__found"))
 
 
 def with_best_rank(df: DataFrame, rules: list[Rule], text_col: str, out: str = "__rank") -> DataFrame:
     """Add the position (from 1) of the first matching rule, null without a match."""
-    prepared = _with_words(df, text_col, rules)
-    tests = [F.when(rule_condition(r, F.col("__text"), F.col("__low"), F.col("__known")), F.lit(i))
-             for i, r in enumerate(rules, 1)]
-    best = once(F.coalesce(*tests)) if tests else F.lit(None).cast("int")
-    return prepared.withColumn(out, best).drop("__text", "__low", "__known")
+    if not rules:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    return _generated(df, rules, text_col, lambda places: F.array_min(places) + 1, out)
 
 
 def _rule_table(rules: list[Rule]) -> Column:
     """All rules as one constant array; looking up an entry costs the same for every size."""
-    def entry(r: Rule):
-        return F.struct(F.lit(r.l1).alias("l1"), F.lit(r.l2).alias("l2"), F.lit(r.l3).alias("l3"),
-                        F.lit(r.l4).alias("l4"), F.lit(r.rule_id).alias("id"), F.lit(r.score).alias("score"),
-                        F.lit(r.detail).alias("detail"), F.lit(r.sentiment).cast("string").alias("sentiment"))
-    return F.array(*[entry(r) for r in rules])
+    return _constant([{"l1": r.l1, "l2": r.l2, "l3": r.l3, "l4": r.l4, "id": r.rule_id, "score": r.score,
+                       "detail": r.detail, "sentiment": r.sentiment} for r in rules],
+                     "array<struct<l1:string,l2:string,l3:string,l4:string,id:string,score:int,detail:string,"
+                     "sentiment:string>>")
 
 
 def _result_columns(rule: Column, with_sentiment: bool) -> dict[str, Column]:
@@ -175,19 +259,14 @@ def _attach(df: DataFrame, rules: list[Rule], with_sentiment: bool) -> DataFrame
     return df.withColumns(_result_columns(rule, with_sentiment)).drop("__rank")
 
 
-def classify(df: DataFrame, rules: DataFrame | list[dict], text_col: str, id_col: str | None = None,
-             with_sentiment: bool = False) -> DataFrame:
+def classify(df: DataFrame, rules: DataFrame | list[dict], text_col: str, with_sentiment: bool = False) -> DataFrame:
     """Append the result columns of the best rule: l1..l4, confidence, matched_rule, match_score, match_detail.
 
     The best rule is the matching one with the highest score, the earlier one among equals. Texts without a match
-    are Uncategorized. Operators are folded row by row, so a result never depends on the other rows of a batch.
+    are Uncategorized. Every row is decided on its own, so a result never depends on other rows, ids or partitions.
     """
     table = rules_from_dicts(df.sparkSession, rules) if isinstance(rules, list) else rules
     listed = read_rules(table)
-    if listed is None:
-        if id_col is None:
-            raise ValueError("a rule list of this size needs id_col")
-        return classify_by_join(df, table, text_col, id_col, with_sentiment)
     return _attach(with_best_rank(df, listed, text_col), listed, with_sentiment)
 
 
@@ -195,133 +274,11 @@ def rule_hits_all(df: DataFrame, rules: DataFrame | list[dict], text_col: str, i
     """Every matching rule of every text, one row each, with its place among the hits of the text."""
     table = rules_from_dicts(df.sparkSession, rules) if isinstance(rules, list) else rules
     listed = read_rules(table)
-    if listed is None:
-        return _hits_by_join(df, table, text_col, id_col)
-    hits = _inline_hits(df, listed, text_col, id_col)
-    rule = F.get(_rule_table(listed), F.col("place") - 1)
-    return hits.select(id_col, "hit_no", rule["id"].alias("rule_id"), rule["score"].alias("score"),
-                       rule["detail"].alias("detail"), *[rule[c].alias(c) for c in ("l1", "l2", "l3", "l4")])
-
-
-def _inline_hits(df: DataFrame, rules: list[Rule], text_col: str, id_col: str) -> DataFrame:
-    """(id, hit_no, place of the rule in the list, counted from 1)."""
-    prepared = _with_words(df.select(id_col, text_col), text_col, rules)
-    tests = [F.when(rule_condition(r, F.col("__text"), F.col("__low"), F.col("__known")), F.lit(i))
-             for i, r in enumerate(rules, 1)]
-    return (prepared.select(id_col, once(F.array_compact(F.array(*tests))).alias("places"))
-            .select(id_col, F.posexplode("places").alias("pos", "place"))
-            .select(id_col, (F.col("pos") + 1).alias("hit_no"), "place"))
-
-
-# --- long rule lists ------------------------------------------------------------------------------------------------
-
-_PLAIN_OPS = ["AND", "OR", "NOT", "NOT LIKE"]
-
-
-def _split(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rules which are a matter of which terms occur, and the others (wildcards, NEAR, position, speaker, odd terms)."""
-    simple_term = r"^[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}](.*[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}])?$"
-
-    def simple(array):
-        return F.forall(array, lambda t: F.rlike(F.trim(t), F.lit(simple_term)) & ~F.contains(t, F.lit("*")))
-
-    plain = (F.forall("operators", lambda o: F.upper(o).isin(_PLAIN_OPS)) & simple(F.col("terms"))
-             & simple(F.col("exclude_if")) & (F.col("position").isNull() | ~F.col("position").isin("START", "END"))
-             & (F.col("sent_by").isNull() | ~F.lower("sent_by").isin(*SPEAKERS)))
-    return scored.where(plain), scored.where(~plain)
-
-
-_PIECES = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
-
-
-def _word_runs(df: DataFrame, text_col: str, id_col: str, lengths: list[int]) -> DataFrame:
-    """(__id, __term): distinct stretches of a text that start and end with a whole word, of these numbers of words."""
-    low = F.lower(as_text(text_col))
-    pieces = F.regexp_extract_all(low, F.lit(_PIECES), F.lit(0))
-    starts_with_word = F.rlike(low, F.lit(r"^[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"))
-    cut = df.select(F.col(id_col).alias("__id"), once(
-        F.when(starts_with_word, pieces).otherwise(F.slice(pieces, 2, F.size(pieces)))).alias("__p"))
-    n_words = F.floor((F.size("__p") + 1) / 2).cast("int")
-
-    def of_length(k):
-        return F.when(n_words >= k, F.transform(F.sequence(F.lit(0), n_words - k), lambda i: F.array_join(
-            F.slice("__p", i * 2 + 1, F.lit(k * 2 - 1)), ""))).otherwise(F.array().cast("array<string>"))
-
-    return cut.select("__id", F.explode(F.array_distinct(F.concat(*[of_length(k) for k in lengths]))).alias("__term"))
-
-
-def _plain_hits(df: DataFrame, plain: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(__id, score, ordinal) of the plain rules which hold; ids, terms and ordinals are shuffled, never a text."""
-    needed = plain.select("ordinal", F.posexplode("terms").alias("no", "__term")).unionByName(
-        plain.select("ordinal", F.lit(-1).alias("no"), F.explode("exclude_if").alias("__term")))
-    needed = needed.withColumn("__term", F.lower(F.trim("__term"))).where("__term <> ''")
-    # A few distinct numbers of words.
-    lengths = [r.k for r in needed.select(F.size(word_tokens(F.col("__term"))).alias("k")).distinct().collect()]
-    runs = _word_runs(df, text_col, id_col, sorted(lengths) or [1])
-    # A pair of text and rule has as many rows as the rule has terms.
-    hits = runs.join(needed, "__term").groupBy("__id", "ordinal").agg(F.collect_set("no").alias("nos"))
-    held = hits.join(plain.select("ordinal", "score", "terms", "operators"), "ordinal")
-
-    def step(state, i):
-        has = F.array_contains("nos", i)
-        op = F.upper(F.coalesce(F.get("operators", i - 1), F.lit("AND")))
-        return (F.when(i == 0, has).when(op == "OR", state | has)
-                .when(op.isin("NOT", "NOT LIKE"), state & ~has).otherwise(state & has))
-
-    holds = F.aggregate(F.sequence(F.lit(0), F.size("terms") - 1), F.lit(False), step)
-    return held.where(holds & ~F.array_contains("nos", -1)).select("__id", "score", "ordinal")
-
-
-def _details(scored: DataFrame) -> DataFrame:
-    """(__ordinal, __rule): the result fields of every rule."""
-    detail = F.array_join(F.flatten(F.transform("terms", lambda t, i: F.when(
-        (i > 0) & (i <= F.size("operators")), F.array(F.get("operators", i - 1), t)).otherwise(F.array(t)))), " ")
-    return scored.select(F.col("ordinal").alias("__ordinal"), F.struct(
-        F.col("rule_id").alias("id"), "score", detail.alias("detail"), "l1", "l2", "l3", "l4", "sentiment")
-        .alias("__rule"))
-
-
-def _hits_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    scored = scored_rules(rules)
-    plain, special = _split(scored)
-    hits = _plain_hits(df, plain, text_col, id_col).select("__id", F.col("ordinal").alias("__ordinal"))
-    others = _in_order(special.select(*_FIELDS).collect())
-    if others:
-        ordinals = F.array(*[F.lit(r.ordinal).cast("long") for r in others])
-        inline = _inline_hits(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), others, "__t",
-                              "__id")
-        hits = hits.unionByName(inline.select("__id", F.get(ordinals, F.col("place") - 1).alias("__ordinal")))
-    r = F.col("__rule")
-    place = F.row_number().over(Window.partitionBy("__id").orderBy(r["score"].desc(), "__ordinal"))
-    return (hits.join(_details(scored), "__ordinal").withColumn("hit_no", place)
-            .select(F.col("__id").alias(id_col), "hit_no", r["id"].alias("rule_id"), r["score"].alias("score"),
-                    r["detail"].alias("detail"), *[r[c].alias(c) for c in ("l1", "l2", "l3", "l4")]))
-
-
-def classify_by_join(df: DataFrame, rules: DataFrame, text_col: str, id_col: str,
-                     with_sentiment: bool = False) -> DataFrame:
-    """``classify`` for long rule lists; same result.
-
-    Word runs of the texts are joined with the terms of the plain rules; the rest of the rules is evaluated in place.
-    ``id_col`` must be unique.
-    """
-    scored = scored_rules(rules)
-    plain, special = _split(scored)
-    others = _in_order(special.select(*_FIELDS).collect())
-
-    def key(score, ordinal):
-        return F.struct((-score).cast("long").alias("a"), ordinal.cast("long").alias("b"))
-
-    best_plain = (_plain_hits(df, plain, text_col, id_col).groupBy("__id")
-                  .agg(F.min(key(F.col("score"), F.col("ordinal"))).alias("__plain")))
-    if others:
-        keys = F.array(*[key(F.lit(r.score), F.lit(r.ordinal)) for r in others])
-        out = with_best_rank(df, others, text_col, "__special").withColumn(
-            "__special", F.get(keys, F.col("__special") - 1))
-    else:
-        out = df.withColumn("__special", F.lit(None).cast("struct<a:bigint,b:bigint>"))
-    out = (out.join(best_plain, out[id_col] == best_plain["__id"], "left").drop("__id")
-           .withColumn("__ordinal", F.least("__plain", "__special")["b"])
-           .join(_details(scored), "__ordinal", "left"))
-    return out.withColumns(_result_columns(F.col("__rule"), with_sentiment)).drop(
-        "__plain", "__special", "__ordinal", "__rule")
+    places = F.array().cast("array<int>").alias("__places")
+    rows = df.select(id_col, text_col)
+    rows = _generated(rows, listed, text_col, F.array_sort, "__places") if listed else rows.select("*", places)
+    rule = F.get(_rule_table(listed), F.col("place"))
+    return (rows.select(id_col, F.posexplode("__places").alias("pos", "place"))
+            .select(id_col, (F.col("pos") + 1).alias("hit_no"), rule["id"].alias("rule_id"),
+                    rule["score"].alias("score"), rule["detail"].alias("detail"),
+                    *[rule[c].alias(c) for c in ("l1", "l2", "l3", "l4")]))

@@ -20,17 +20,15 @@ from parley.operators.scorers import (
     with_language,
 )
 from parley.operators.shaping import passthrough_result
-from parley.session import spread
 
 
 def classify_run(df: DataFrame, rules, id_col: str, text_col: str, mode: str | None = "hash",
                  profile: str = "validated") -> DataFrame:
     """Redact, classify the redacted text, keep all input columns; ``mode=None`` leaves the text as it is."""
-    rows = spread(df)
     if mode is None:
-        return passthrough_result(classify(rows, rules, text_col, id_col), id_col, text_col)
-    redacted = pii_columns(rows, text_col, profile, mode)
-    return passthrough_result(classify(redacted, rules, "redacted_text", id_col), id_col, text_col)
+        return passthrough_result(classify(df, rules, text_col), id_col, text_col)
+    redacted = pii_columns(df, text_col, profile, mode)
+    return passthrough_result(classify(redacted, rules, "redacted_text"), id_col, text_col)
 
 
 FULL_COLUMNS = [
@@ -49,7 +47,7 @@ def full_run(df: DataFrame, packs, polarity: dict[str, float], id_col: str, text
 
     There is no machine translation, so the translated text is the redacted text.
     """
-    rows = pii_columns(spread(df.select(id_col, text_col)), text_col, profile, mode)
+    rows = pii_columns(df.select(id_col, text_col), text_col, profile, mode)
     rows = classify_keyword_first(rows, packs, "redacted_text")
     rows = proximity_themes(rows, "redacted_text")
     rows = sentiment_bands(rows, "redacted_text", polarity)
@@ -69,7 +67,7 @@ def full_run(df: DataFrame, packs, polarity: dict[str, float], id_col: str, text
 def topics_run(df: DataFrame, id_col: str, transcript_col: str, polarity: dict[str, float],
                valence: dict[str, float], style: str = "v1") -> DataFrame:
     """Consumer text, language gate, topic, subtopic, sentiment, overrides; blank results behind the gate."""
-    rows = spread(df.select(id_col, transcript_col)).withColumn(
+    rows = df.select(id_col, transcript_col).withColumn(
         "Consumer_Text", consumer_text(F.col(transcript_col), "simple" if style == "v1" else "multi"))
     rows = with_language(rows, "Consumer_Text")
     rows = classify_subtopics(classify_topics(rows, "Consumer_Text", style), "Consumer_Text", style)

@@ -51,13 +51,3 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         target.getFileSystem(conf).delete(target, True)
         if path in made:
             made.remove(path)
-
-
-def spread(df):
-    """Give a table that comes in fewer pieces than there are cores to every core.
-
-    Small inputs often are one Parquet row group. A large input has more pieces than cores and is left alone, so no
-    text is ever shuffled for this at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df

@@ -131,12 +131,50 @@ def test_against_brute_force_and_between_strategies(spark):
     one = {r.id: r.matched_rule for r in M.classify(df.coalesce(1), rules, "t").collect()}
     assert one == expected
     table = rules_from_dicts(spark, rules)
-    joined = {r.id: r.matched_rule for r in M.classify_by_join(df, table, "t", "id").collect()}
-    assert joined == expected
+    as_table = {r.id: r.matched_rule for r in M.classify(df, table, "t").collect()}
+    assert as_table == expected
     all_hits = {(r.id, r.rule_id) for r in M.rule_hits_all(df, rules, "t", "id").collect()}
     assert all_hits == {(i, r["rule_id"]) for i, t in texts for r in rules if _brute(r, t)}
-    by_join = {(r.id, r.rule_id) for r in M._hits_by_join(df, table, "t", "id").collect()}
-    assert by_join == all_hits
+
+
+def test_every_row_is_decided_on_its_own(spark):
+    rules = [dict(rule_id="A", terms=["aa"], l1="A"), dict(rule_id="B", terms=["bb"], l1="B")]
+    df = spark.createDataFrame([(1, "aa"), (1, "bb"), (None, "aa"), (None, None)], "id int, t string")
+    assert sorted(r.l1 for r in M.classify(df, rules, "t").collect()) == ["A", "A", "B", "Uncategorized"]
+    assert M.classify(df.where("false"), rules, "t").collect() == []
+    assert {r.l1 for r in M.classify(df, [], "t").collect()} == {"Uncategorized"}
+    assert M.rule_hits_all(df, [], "t", "id").collect() == []
+
+
+def test_wildcards_and_marks(spark):
+    terms = ["over*", "*over", "o*r", "ab* cd", "#", "case #", "é*", "x.y", "naïve*", "overch*e"]
+    texts = ["overcharge", "hangover", "or", "abx cd", "a#b", "a # b", "see case #5", "été", "x.y", "xzy", "naïvety",
+             "over", "Overcharge", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r.id, r.rule_id) for r in
+           M.rule_hits_all(df, [dict(rule_id=t, terms=[t]) for t in terms], "t", "id").collect()}
+    want = {(i, t) for i, x in enumerate(texts) for t in terms
+            if re.search(r"\b" + r"\w*".join(re.escape(p) for p in t.split("*")) + r"\b", x.lower())}
+    assert got == want
+
+
+def test_long_mixed_list(spark):
+    rules, texts = _random_rules(11, 2_500)
+    df = spark.createDataFrame(texts, "id int, t string")
+    expected = {}
+    for i, t in texts:
+        hits = [(-_score(r), n) for n, r in enumerate(rules) if _brute(r, t)]
+        expected[i] = rules[min(hits)[1]]["rule_id"] if hits else ""
+    assert {r.id: r.matched_rule for r in M.classify(df, rules, "t").collect()} == expected
+
+
+def test_plan_of_a_classification(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "aa")], "id int, lang string, t string").write.parquet(str(tmp_path / "d"))
+    out = M.classify(spark.read.parquet(str(tmp_path / "d")), [dict(rule_id="A", terms=["aa", "b*"], operators=["OR"], l1="A")], "t")
+    plan = out.where("lang = 'en' and l1 = 'A'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan
+    assert "Exchange" not in plan and "Join" not in plan and "from_json" not in plan
+    assert plan.count("array_min") == 1
 
 
 def test_terms():

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parley.operators.matching import classify
 from parley.operators.shaping import passthrough_result
 from parley.operators.transcripts import build_transcripts
-from parley.session import spread
 from workload.seed import SEED_RULES
 
 LABELS = {"user": "Customer", "assistant": "Agent"}
@@ -19,8 +18,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+FEW_SPLITS = 8  # scans with fewer splits are under a gigabyte; whatever the cluster, a larger one is never shuffled
+
+
 def docs(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    """The documents; a small table, often one Parquet row group, is dealt out to all cores."""
+    rows = table(spark, sf, "documents")
+    return rows.repartition(spark.sparkContext.defaultParallelism) if rows.rdd.getNumPartitions() < FEW_SPLITS else rows
 
 
 def results(spark, sf, rules=None, with_sentiment: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
 from parley.functions.text import word_tokens
-from parley.operators.matching import classify, classify_by_join, rule_hits_all
+from parley.operators.matching import classify, rule_hits_all
 from parley.operators.rules import rules_from_dicts
 from parley.operators.scorers import (
     apply_overrides,
@@ -95,12 +95,11 @@ def _(spark, sf):
 
 @query("classify_by_join", f"{_RES} SELECT {_OUT} FROM res")
 def _(spark, sf):
-    out = classify_by_join(docs(spark, sf).select("doc_id", "text"), rules_from_dicts(spark, SEED_RULES), "text",
-                           "doc_id")
-    return out.drop("text")
+    # The rules as a table; no id takes part.
+    return classify(docs(spark, sf).select("doc_id", "text"), rules_from_dicts(spark, SEED_RULES), "text").drop("text")
 
 
-# A rule list too long for expressions: the words of the benchmark texts, so it grows with them.
+# A long rule list: the words of the benchmark texts.
 _BENCH_WORDS = f"""w AS (SELECT DISTINCT w FROM (SELECT unnest({S.word_tokens('lower(text)')}) AS w FROM benchmark)),
     {S.prepared()}, h AS (SELECT doc_id, w, 10 + 10 AS score FROM (SELECT doc_id, unnest(list_distinct(toks)) AS w
       FROM prep) JOIN w USING (w))"""
@@ -120,7 +119,7 @@ def _(spark, sf):
         F.array().cast("array<string>").alias("exclude_if"), F.col("w").alias("l1"), F.lit("NA").alias("l2"),
         F.lit("NA").alias("l3"), F.lit("NA").alias("l4"), F.lit("words").alias("source"),
         F.lit(None).cast("string").alias("sentiment"), F.col("no").cast("long").alias("ordinal"))
-    out = classify_by_join(docs(spark, sf).select("doc_id", "text"), rules, "text", "doc_id")
+    out = classify(docs(spark, sf).select("doc_id", "text"), rules, "text")
     return out.select("doc_id", "l1", "match_score")
 
 
