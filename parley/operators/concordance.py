@@ -58,12 +58,22 @@ def _offsets(pieces: Column, marks: Column) -> Column:
     return F.aggregate(F.arrays_zip(pieces.alias("piece"), marks.alias("mark")), zero, step, lambda acc: acc["out"])
 
 
+def _never_empty(marks: Column) -> Column:
+    """A match without characters has no keyword to show, and the pieces between the matches would not line up."""
+    return F.when(F.exists(marks, lambda m: m == ""),
+                  F.raise_error(F.lit("the pattern matches the empty string; it must match some character"))
+                  ).otherwise(marks)
+
+
 def kwic_matches(rows: DataFrame, pattern: str, context: int, keep: list[str], text_col: str = "Original_Text",
                  with_offset: bool = False) -> DataFrame:
-    """One row per match: the ``keep`` columns, match_no, Left, KW, Right (and Match_Position)."""
+    """One row per match: the ``keep`` columns, match_no, Left, KW, Right (and Match_Position).
+
+    A pattern which matches the empty string somewhere is an error.
+    """
     text = as_text(text_col)
     found = (rows.select(*keep, text.alias("__text")).where(F.rlike("__text", F.lit(pattern)))
-             .withColumns({"__marks": once(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))),
+             .withColumns({"__marks": once(_never_empty(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))),
                            "__pieces": once(F.split("__text", pattern, -1))}))
     left = _contexts(F.col("__pieces"), F.col("__marks"), context, True)
     right = F.reverse(_contexts(F.reverse("__pieces"), F.reverse("__marks"), context, False))

@@ -12,16 +12,15 @@ _TEXT = (T.StringType,)
 _NUMERIC = (T.NumericType,)
 
 
-def validate_input(df: DataFrame, required: list[str], text_col: str, id_col: str, max_rows: int = 50_000,
-                   min_avg_chars: float = 10, sample: int = 100) -> DataFrame:
-    """One row per check: check, ok, value. ``min_avg_chars`` looks at the first texts by id only, as a warning."""
+def validate_input(df: DataFrame, required: list[str], text_col: str, max_rows: int = 50_000,
+                   min_avg_chars: float = 10) -> DataFrame:
+    """One row per check: check, ok, value; one aggregate over the whole table."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
         return df.sparkSession.createDataFrame([("columns_present", False, float(len(missing)))],
                                                "check string, ok boolean, value double")
-    totals = df.agg(F.count("*").alias("n"), F.count_if(F.col(text_col).isNull()).alias("nulls"))
-    first = (df.where(F.col(text_col).isNotNull()).orderBy(id_col).limit(sample)
-             .agg(F.avg(F.length(F.col(text_col).cast("string"))).alias("chars")))
+    totals = df.agg(F.count("*").alias("n"), F.count_if(F.col(text_col).isNull()).alias("nulls"),
+                    F.avg(F.length(F.col(text_col).cast("string"))).alias("chars"))
     n, nulls = F.col("n"), F.col("nulls")
     checks = [
         ("columns_present", F.lit(True), F.lit(0.0)),
@@ -34,7 +33,7 @@ def validate_input(df: DataFrame, required: list[str], text_col: str, id_col: st
     ]
     rows = F.array(*[F.struct(F.lit(name).alias("check"), ok.alias("ok"), v.cast("double").alias("value"))
                      for name, ok, v in checks])
-    return totals.crossJoin(first).select(F.inline(rows))
+    return totals.select(F.inline(rows))
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -73,18 +72,12 @@ def _kind(t: T.DataType) -> str:
     return "number" if isinstance(t, T.NumericType) else "other"
 
 
-def infer_column_roles(df: DataFrame, order_col: str, sample: int = 20, min_avg: float = 30) -> DataFrame:
-    """Which columns look like an id, a text, a company; text length is judged on a bounded first sample."""
+def infer_column_roles(df: DataFrame, min_avg: float = 30) -> DataFrame:
+    """Which columns look like an id, a text, a company; one aggregate over the whole table."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, _TEXT)]
-    distinct = df.agg(F.count("*").alias("n"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"d_{i}")
-                                                 for i, c in enumerate(df.columns)])
-    lengths = None
-    for i, c in enumerate(df.columns):
-        if c in texts:
-            one = (df.where(F.col(f"`{c}`").isNotNull()).orderBy(order_col).select(F.col(f"`{c}`").alias("v"))
-                   .limit(sample).agg(F.avg(F.length("v")).alias(f"l_{i}")))
-            lengths = one if lengths is None else lengths.crossJoin(one)
-    facts = distinct if lengths is None else distinct.crossJoin(lengths)
+    facts = df.agg(F.count("*").alias("n"),
+                   *[F.count_distinct(F.col(f"`{c}`")).alias(f"d_{i}") for i, c in enumerate(df.columns)],
+                   *[F.avg(F.length(F.col(f"`{c}`"))).alias(f"l_{i}") for i, c in enumerate(df.columns) if c in texts])
     rows = []
     for i, c in enumerate(df.columns):
         named_id = any(h in c.lower() for h in ID_HINTS)
@@ -97,20 +90,15 @@ def infer_column_roles(df: DataFrame, order_col: str, sample: int = 20, min_avg:
     return facts.select(F.inline(F.array(*rows)))
 
 
-def infer_measure_columns(df: DataFrame, order_col: str, sample: int = 30, min_share: float = 0.3) -> DataFrame:
-    """Which columns can be measured: numbers by type or by parsing, dates by type or by a first sample."""
-    parsed, dates = [F.count("*").alias("n")], None
+def infer_measure_columns(df: DataFrame, min_share: float = 0.3) -> DataFrame:
+    """Which columns can be measured: numbers and dates by type or by parsing; a text column is a date if all its
+    values are. One aggregate over the whole table."""
+    facts = [F.count("*").alias("n")]
     texts = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, _TEXT)]
     for i, c in texts:
-        parsed.append(F.count(F.col(f"`{c}`").try_cast("double"))
-                      .alias(f"p_{i}"))
-        one = (df.where(F.col(f"`{c}`").isNotNull()).orderBy(order_col).select(F.col(f"`{c}`").alias("v"))
-               .limit(sample).agg((F.count("*") > 0).alias("any"),
-                                  F.coalesce(F.bool_and(F.col("v").try_cast("timestamp").isNotNull()), F.lit(False))
-                                  .alias(f"t_{i}")).drop("any"))
-        dates = one if dates is None else dates.crossJoin(one)
-    facts = df.agg(*parsed)
-    facts = facts if dates is None else facts.crossJoin(dates)
+        v = F.col(f"`{c}`")
+        is_date = F.bool_and(F.when(v.isNotNull(), v.try_cast("timestamp").isNotNull()))
+        facts += [F.count(v.try_cast("double")).alias(f"p_{i}"), F.coalesce(is_date, F.lit(False)).alias(f"t_{i}")]
     rows = []
     for i, f in enumerate(df.schema.fields):
         if isinstance(f.dataType, _TEXT):
@@ -119,4 +107,4 @@ def infer_measure_columns(df: DataFrame, order_col: str, sample: int = 30, min_s
         else:
             numeric, date = F.lit(isinstance(f.dataType, _NUMERIC)), F.lit(_kind(f.dataType) == "date")
         rows.append(F.struct(F.lit(f.name).alias("column"), numeric.alias("numeric"), date.alias("date")))
-    return facts.select(F.inline(F.array(*rows)))
+    return df.agg(*facts).select(F.inline(F.array(*rows)))

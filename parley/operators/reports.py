@@ -163,8 +163,8 @@ AUDIT_COLUMNS = ["Conversation_ID", "Category", "Subcategory", "L3", "L4", "conf
                  "match_score", "match_detail"]
 
 
-def audit(out: DataFrame, category: str | None = None, band: str | None = None, n: int | None = 300) -> DataFrame:
-    """Classification details, by category and band (High > .7, Medium .3 to .7 closed, Low < .3), first ``n``."""
+def audit(out: DataFrame, category: str | None = None, band: str | None = None, n: int | None = None) -> DataFrame:
+    """Classification details, by category and band (High > .7, Medium .3 to .7 closed, Low < .3); all rows, or the first ``n``."""
     s = F.col("match_score")
     tests = {"High": s > 70, "Medium": (s >= 30) & (s <= 70), "Low": s < 30}
     rows = out if category is None else out.where(F.col("Category") == category)

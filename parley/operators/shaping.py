@@ -28,8 +28,8 @@ def export_projection(out: DataFrame) -> DataFrame:
     return out.select(*[c for c in EXPORT_COLUMNS if c in out.columns])
 
 
-def sanitize_text(df: DataFrame, fmt: str = "csv", max_chars: int | None = 5_000) -> DataFrame:
-    """Line breaks to ``' | '``, cells capped after that; in CSV double quotes become single ones."""
+def sanitize_text(df: DataFrame, fmt: str = "csv", max_chars: int | None = None) -> DataFrame:
+    """Line breaks to ``' | '``, cells cut to ``max_chars`` after that if it is given; in CSV double quotes become single ones."""
     def clean(name):
         c = F.regexp_replace(F.col(name), r"\r\n|\r|\n", " | ")
         if max_chars is not None:

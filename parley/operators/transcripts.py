@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TURNS_PER_PART = 1_000
-
 
 def build_transcripts(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str,
-                      labels: dict[str, str], style: str = "lines", turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """One labelled transcript per conversation: columns ``conv_col``, part, transcript.
+                      labels: dict[str, str], style: str = "lines") -> DataFrame:
+    """One labelled transcript per conversation: columns ``conv_col``, transcript.
 
-    Roles without a label are left out. A conversation longer than ``turns_per_part`` turns goes on in further parts,
-    so that no task ever has to hold a conversation of any length. Styles: ``lines`` (label per line), ``simple``
+    Roles without a label are left out. A transcript is one text cell, so a task holds no more than the cell which it
+    writes; conversations are independent of each other. Styles: ``lines`` (label per line), ``simple``
     (segments split by ``|``), ``stamped`` and ``bracket`` (with times counted from the turn number).
     """
     said = turns.where(F.col(role_col).isin(*labels))
@@ -31,8 +29,7 @@ def build_transcripts(turns: DataFrame, conv_col: str, turn_col: str, role_col:
     else:
         line = F.concat(label, F.lit(": "), body)
     joiner = {"lines": "\n", "simple": " | ", "stamped": " | ", "bracket": " "}[style]
-    part = F.floor(F.col(turn_col) / turns_per_part)
-    return (said.groupBy(conv_col, part.alias("part"))
+    return (said.groupBy(conv_col)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("t"), line.alias("line")))).alias("ls"))
-            .select(conv_col, "part", F.array_join(F.transform("ls", lambda s: s["line"]), joiner)
+            .select(conv_col, F.array_join(F.transform("ls", lambda s: s["line"]), joiner)
                     .alias("transcript")))

@@ -31,6 +31,17 @@ def _read(spark: SparkSession, path, multiline: bool) -> DataFrame:
                      F.monotonically_increasing_id().alias("group_no"))
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(industry, kind) of every pack file, also of those without entries; contents are not read.
+
+    A file without a single byte counts as absent.
+    """
+    pattern = r"/(?:industry=)?([^/]+)/(?:kind=)?(rules|keywords)\.json(?:/|$)"
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.select(F.regexp_extract("path", pattern, 1).alias("industry"),
+                        F.regexp_extract("path", pattern, 2).alias("kind")).where("kind <> '' and not startswith(industry, '.')")
+
+
 def _groups(df: DataFrame) -> DataFrame:
     s = F.col("set")
     return df.where(~F.col("unreadable")).select(
@@ -44,14 +55,14 @@ def _groups(df: DataFrame) -> DataFrame:
 def load_packs(spark: SparkSession, folder: str, multiline: bool = True) -> DataFrame:
     """All packs below ``folder``: ``<industry>/rules.json`` and ``<industry>/keywords.json``.
 
-    An industry counts only if it has both files and both are valid. ``group_no`` keeps the order inside a file.
+    An industry counts only if it has both files and both are valid; a file may be an empty list. ``group_no`` keeps the order inside a file.
     With ``multiline=False`` the files hold one document per line.
     """
     raw = _read(spark, f"{folder}/*/*.json", multiline)
-    usable = (raw.where("kind <> ''").groupBy("industry")
-              .agg(F.count_distinct("kind").alias("kinds"), F.count_if("unreadable").alias("bad"))
-              .where("kinds = 2 and bad = 0 and not startswith(industry, '.')").select("industry"))
-    return _groups(raw).join(usable, "industry", "left_semi")
+    usable = (_files(spark, f"{folder}/*/*.json").groupBy("industry")
+              .agg(F.count_distinct("kind").alias("kinds")).where("kinds = 2").select("industry"))
+    broken = raw.where("kind <> '' and unreadable").select("industry").distinct()
+    return _groups(raw).join(usable, "industry", "left_semi").join(broken, "industry", "left_anti")
 
 
 def load_packs_merged(spark: SparkSession, rules_path: str, keywords_path: str, multiline: bool = True) -> DataFrame:
@@ -72,7 +83,9 @@ def pack_inventory(spark: SparkSession, folder: str, expected: DataFrame, multil
     counts = raw.groupBy("industry").agg(
         F.count_if(good & (F.col("kind") == "rules")).alias("rules"),
         F.count_if(good & (F.col("kind") == "keywords")).alias("keywords"),
-        F.count_distinct("kind").alias("kinds"), F.count_if(~good).alias("bad"))
+        F.count_if(~good).alias("bad"))
+    files = _files(spark, f"{folder}/*/*.json").groupBy("industry").agg(F.count_distinct("kind").alias("kinds"))
+    counts = files.join(counts, "industry", "left")
     status = (F.when(F.col("bad") > 0, "invalid").when(F.col("kinds") == 2, "valid").otherwise("missing"))
     return (expected.select("industry", F.lit(True).alias("expected")).distinct().join(counts, "industry", "full")
             .select("industry", F.coalesce("expected", F.lit(False)).alias("expected"),

@@ -17,24 +17,30 @@ def read_table(spark: SparkSession, path: str, schema=None, multiline: bool | No
     """Read CSV, Parquet or JSON, chosen by the extension of the path; any other extension is refused.
 
     A ``.json`` file is one array document unless ``multiline`` is False; ``.ndjson`` and ``.jsonl`` files hold one
-    document per line and can be split between tasks. With a ``schema`` the data is not scanned for types first.
+    document per line and can be split between tasks. CSV can be split too, unless ``multiline`` says that cells hold
+    line breaks; then a file is one task. With a ``schema`` the data is not scanned for types first.
     """
     ext = extension(path)
     if ext not in FORMATS:
         raise ValueError(f"unsupported format: {ext or path}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if ext == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=True, quote='"', escape='"')
+        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=bool(multiline), quote='"', escape='"')
     if ext == "parquet":
         return reader.parquet(path)
     return reader.json(path, multiLine=(ext == "json") if multiline is None else multiline)
 
 
-def read_csv_unique_names(spark: SparkSession, path: str) -> DataFrame:
-    """CSV whose header may repeat a name; the header is read as data, so no name is changed by the reader."""
-    header = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"').first()
+def read_csv_unique_names(spark: SparkSession, path: str, schema=None, multiline: bool = False) -> DataFrame:
+    """CSV whose header may repeat a name; the header is read as data, so no name is changed by the reader.
+
+    ``schema`` gives the types in order (its names do not count); ``multiline`` as in ``read_table``.
+    """
+    header = spark.read.csv(path, header=False, multiLine=multiline, quote='"', escape='"').first()
     names = unique_names([c if c is not None else f"_c{i}" for i, c in enumerate(header)])
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, quote='"', escape='"').toDF(*names)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.csv(path, header=True, inferSchema=schema is None, multiLine=multiline, quote='"',
+                      escape='"').toDF(*names)
 
 
 def write_table(df: DataFrame, fmt: str, path: str, mode: str = "errorifexists") -> str:

@@ -12,10 +12,12 @@ from parley.operators.concordance import kwic, kwic_options
 from parley.operators.ordering import running_total
 from parley.operators.quantiles import exact_quantiles
 from parley.operators.rules import pack_rules
+from parley.operators.concordance import kwic_options
+from parley.operators.profiling import infer_column_roles, infer_measure_columns, validate_input
 from parley.operators.shaping import sanitize_text, unique_names
 from parley.operators.transcripts import build_transcripts
 from parley.sources.packs import load_company_map, load_packs, load_packs_merged, pack_inventory
-from parley.sources.tables import read_table
+from parley.sources.tables import read_csv_unique_names, read_table
 
 
 @pytest.mark.parametrize("style,text,expected", [
@@ -39,12 +41,12 @@ def test_speaker_text(spark):
     assert (row.a, row.c) == ("hello more bye", "yes no")
 
 
-def test_long_conversation_is_cut_into_parts(spark):
-    turns = spark.range(25).select(F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+def test_one_transcript_whatever_the_turn_numbers(spark):
+    turns = spark.range(990, 1015).select(F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("user").alias("role"),
                                    F.col("id").cast("string").alias("text"))
-    rows = build_transcripts(turns, "c", "turn", "role", "text", {"user": "Customer"}, turns_per_part=10).collect()
-    said = " ".join(r.transcript for r in sorted(rows, key=lambda r: r.part)).split("Customer: ")
-    assert len(rows) == 3 and [s.strip() for s in said[1:]] == [str(i) for i in range(25)]
+    rows = build_transcripts(turns, "c", "turn", "role", "text", {"user": "Customer"}).collect()
+    assert len(rows) == 1
+    assert [s.strip() for s in rows[0].transcript.split("Customer: ")[1:]] == [str(i) for i in range(990, 1015)]
 
 
 def test_packs(spark, tmp_path):
@@ -58,14 +60,20 @@ def test_packs(spark, tmp_path):
     (tmp_path / "p" / "Bad").mkdir()
     for kind in ("rules", "keywords"):
         (tmp_path / "p" / "Bad" / f"{kind}.json").write_text("[{")
+    for name, text in {"No rules": "[]", "Blank": ""}.items():
+        (tmp_path / "p" / name).mkdir()
+        (tmp_path / "p" / name / "rules.json").write_text(text)
+        (tmp_path / "p" / name / "keywords.json").write_text(json.dumps(keys))
     packs = load_packs(spark, str(tmp_path / "p"))
-    assert {r.industry for r in packs.collect()} == {"Bank"}
+    assert {r.industry for r in packs.collect()} == {"Bank", "No rules"}
+    packs = packs.where("industry = 'Bank'")
     got = [(r.rule_id, r.terms, r.l1, r.l3) for r in pack_rules(packs).orderBy("ordinal").collect()]
     assert got == [("BAN-0001", ["cancel"], "C", "T"), ("BAN-0002", ["cancel plan"], "C", "T"),
                    ("BAN-0003", ["bill"], "B", "NA")]
     expected = spark.createDataFrame([("Bank",), ("Health",)], "industry string")
     status = {r.industry: r.status for r in pack_inventory(spark, str(tmp_path / "p"), expected).collect()}
-    assert status == {"Bank": "valid", "Shop": "missing", "Bad": "invalid", "Health": "missing"}
+    assert status == {"Bank": "valid", "Shop": "missing", "Bad": "invalid", "Health": "missing",
+                      "No rules": "valid", "Blank": "missing"}
     (tmp_path / "rules.json").write_text(json.dumps([dict(rules[0], domain="Bank"), rules[0]]))
     (tmp_path / "keywords.json").write_text(json.dumps(keys))
     merged = load_packs_merged(spark, str(tmp_path / "rules.json"), str(tmp_path / "keywords.json"))
@@ -84,7 +92,11 @@ def test_formats(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": 1},\n {"a": 2}]')
     assert sorted(r.a for r in read_table(spark, str(tmp_path / "a.json")).collect()) == [1, 2]
     (tmp_path / "a.csv").write_text('id,t\n1,"x\ny ""q"""\n')
-    assert read_table(spark, str(tmp_path / "a.csv")).first().t == 'x\ny "q"'
+    assert read_table(spark, str(tmp_path / "a.csv"), multiline=True).first().t == 'x\ny "q"'
+    (tmp_path / "b.csv").write_text("id,t,id\n1,x,2\n")
+    assert read_csv_unique_names(spark, str(tmp_path / "b.csv")).dtypes == [("id", "int"), ("t", "string"), ("id_1", "int")]
+    typed = read_csv_unique_names(spark, str(tmp_path / "b.csv"), schema="a long, b string, c double")
+    assert typed.dtypes == [("id", "bigint"), ("t", "string"), ("id_1", "double")] and typed.first().id_1 == 2.0
     with pytest.raises(ValueError):
         read_table(spark, "a.xlsx")
     assert unique_names(["a", "b", "a", "a"]) == ["a", "b", "a_1", "a_2"]
@@ -95,7 +107,23 @@ def test_sanitize(spark):
     assert sanitize_text(df, "csv").first().t == "a | b | c | 'd'"
     assert sanitize_text(df, "parquet").first().t == 'a | b | c | "d"'
     long = spark.createDataFrame([("\n" * 4000,)], "t string")
-    assert len(sanitize_text(long, "parquet").first().t) == 5000
+    assert len(sanitize_text(long, "parquet").first().t) == 12000
+    assert len(sanitize_text(long, "parquet", max_chars=5000).first().t) == 5000
+
+
+def test_profiles_look_at_all_rows(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 200, "2024-01-01").otherwise("x" * 100).alias("t"))
+    assert {r.column: r.date for r in infer_measure_columns(df).collect()} == {"id": False, "t": False}
+    assert {r.column: r.text_like for r in infer_column_roles(df).collect()} == {"id": False, "t": True}
+    assert {r.check: r.value for r in validate_input(df, ["id"], "t").collect()}["long_enough"] == 82.0
+
+
+def test_keyword_patterns_must_match_characters(spark):
+    df = spark.createDataFrame([("1", "abc xbc", "C", "S", "NA", "NA")],
+                               "Conversation_ID string, Original_Text string, Category string, Subcategory string, L3 string, L4 string")
+    assert [r.Match_Position for r in kwic_options(df, "x+", regex=True).collect()] == [4]
+    with pytest.raises(Exception, match="empty string"):
+        kwic_options(df, "x*", regex=True).collect()
 
 
 def test_quantiles_of_large_and_small_groups(spark):

@@ -1,11 +1,13 @@
 """Rule matching and the scoring classifiers."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
 from parley.functions.text import word_tokens
 from parley.operators.matching import classify, rule_hits_all
-from parley.operators.rules import rules_from_dicts
+from parley.operators.rules import pack_rules, rules_from_dicts, union_rules
 from parley.operators.scorers import (
     apply_overrides,
     classify_keyword_first,
@@ -18,10 +20,12 @@ from parley.operators.scorers import (
     sentiment_bands,
     sentiment_hybrid,
 )
+from parley.session import new_path
+from parley.sources.packs import load_packs
 from workload import sql as S
 from workload.data import docs, table, transcripts
 from workload.q_text import TURNS
-from workload.seed import SEED_GROUPS, SEED_RULES, SPEAKER_RULES
+from workload.seed import PACK_GROUPS, PACK_RULES, SEED_GROUPS, SEED_RULES, SPEAKER_RULES
 
 QUERIES, ORACLE = {}, {}
 
@@ -99,6 +103,18 @@ def _(spark, sf):
     return classify(docs(spark, sf).select("doc_id", "text"), rules_from_dicts(spark, SEED_RULES), "text").drop("text")
 
 
+# A pack of 320 rules read from its files, and the custom rules behind it.
+@query("classify_pack", f"WITH {S.classified(PACK_RULES + SEED_RULES)} SELECT {_OUT} FROM res")
+def _(spark, sf):
+    folder = new_path(spark, "pack")
+    for kind, groups in (("rules", PACK_GROUPS), ("keywords", [])):
+        spark.createDataFrame([(json.dumps(groups),)], "value string").write.text(f"{folder}/Demo/{kind}.json")
+    rules = union_rules(pack_rules(load_packs(spark, folder), "Demo"),
+                        rules_from_dicts(spark, SEED_RULES))
+    return classify(docs(spark, sf), rules, "text").select(
+        "doc_id", "l1", "l2", "l3", "l4", "confidence", "matched_rule", "match_score", "match_detail")
+
+
 # A long rule list: the words of the benchmark texts.
 _BENCH_WORDS = f"""w AS (SELECT DISTINCT w FROM (SELECT unnest({S.word_tokens('lower(text)')}) AS w FROM benchmark)),
     {S.prepared()}, h AS (SELECT doc_id, w, 10 + 10 AS score FROM (SELECT doc_id, unnest(list_distinct(toks)) AS w

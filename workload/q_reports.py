@@ -114,7 +114,7 @@ on_docs("confidence_bands", """SELECT CASE WHEN match_score <= 30 THEN 'Low' WHE
 _AUDIT = """SELECT doc_id AS "Conversation_ID", "Category", "Subcategory", "L3", "L4", confidence, matched_rule,
     match_score, match_detail FROM res"""
 on_docs("audit_filter", f"{_AUDIT} WHERE match_score BETWEEN 30 AND 70 ORDER BY doc_id LIMIT 300",
-        lambda out: R.audit(out, band="Medium"))
+        lambda out: R.audit(out, band="Medium", n=300))
 on_docs("audit_category", f"{_AUDIT} WHERE \"Category\" = 'Technical'",
         lambda out: R.audit(out, category="Technical", n=None))
 _MINE = "\"Category\" IN ('Billing', 'Technical', 'Uncategorized')"

@@ -114,15 +114,14 @@ def _(spark, sf):
 
 
 @query("validate_input", """WITH t AS (SELECT count(*) n, count(*) FILTER (text IS NULL) nulls FROM documents),
-    f AS (SELECT avg(length(text)) chars FROM (SELECT text FROM documents WHERE text IS NOT NULL
-          ORDER BY doc_id LIMIT 100))
+    f AS (SELECT avg(length(text)) chars FROM documents)
     SELECT 'columns_present' AS "check", true AS ok, 0.0::DOUBLE AS value
     UNION ALL SELECT 'not_empty', n > 0, n FROM t UNION ALL SELECT 'row_limit', n <= 50000, n FROM t
     UNION ALL SELECT 'not_all_null', nulls < n, nulls FROM t
     UNION ALL SELECT 'mostly_filled', nulls <= n * 0.5, nulls FROM t
     UNION ALL SELECT 'long_enough', chars >= 10, chars FROM f""")
 def _(spark, sf):
-    return validate_input(table(spark, sf, "documents"), ["doc_id", "text"], "text", "doc_id")
+    return validate_input(table(spark, sf, "documents"), ["doc_id", "text"], "text")
 
 
 def _profile_sql(col, kind, src):
@@ -148,11 +147,10 @@ def _roles_sql():
     parts = []
     for c, is_text in cols:
         named = "true" if any(h in c for h in ID_HINTS) else f"count(DISTINCT {c})::DOUBLE / count(*) > 0.8"
-        sample = (f"(SELECT avg(length(v)) > 30 FROM (SELECT {c} AS v FROM {src} WHERE {c} IS NOT NULL "
-                  f"ORDER BY c_custkey LIMIT 20))" if is_text else "false")
+        long = f"avg(length({c})) > 30" if is_text else "false"
         comp = "true" if any(h in c for h in COMPANY_HINTS) else "false"
         parts.append(f"SELECT col AS \"column\", i AS id_like, t AS text_like, co AND NOT i AND NOT t AS company_like "
-                     f"FROM (SELECT '{c}' AS col, {named} AS i, {sample} AS t, {comp} AS co FROM {src})")
+                     f"FROM (SELECT '{c}' AS col, {named} AS i, {long} AS t, {comp} AS co FROM {src})")
     return " UNION ALL ".join(parts)
 
 
@@ -161,7 +159,7 @@ def _(spark, sf):
     c = table(spark, sf, "customer").withColumn(
         "note", F.concat(F.lit("Customer of segment "), "c_mktsegment", F.lit(" with balance "),
                          F.col("c_custkey").cast("string")))
-    return infer_column_roles(c, "c_custkey")
+    return infer_column_roles(c)
 
 
 @query("infer_measure_columns", """SELECT * FROM (VALUES ('o_orderkey', true, false), ('o_custkey', true, false),
@@ -170,12 +168,12 @@ def _(spark, sf):
     UNION ALL SELECT 'price_text', count(try_cast(CAST(o_totalprice AS VARCHAR) AS DOUBLE)) > count(*) * 0.3, false
       FROM orders
     UNION ALL SELECT 'date_text', false, bool_and(try_cast(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP) IS NOT NULL)
-      FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 30)""")
+      FROM orders""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
     return infer_measure_columns(o.withColumns({
         "price_text": F.col("o_totalprice").cast("string"),
-        "date_text": F.date_format("o_orderdate", "yyyy-MM-dd")}), "o_orderkey")
+        "date_text": F.date_format("o_orderdate", "yyyy-MM-dd")}))
 
 
 # --- packs: one rule group per supplier, one keyword group per customer, industries are the regions ------------------
@@ -324,7 +322,7 @@ _CLEAN = "substr(regexp_replace({c}, '\\r\\n|\\r|\\n', ' | ', 'g'), 1, 5000)"
 @query("sanitize_text", f"""SELECT doc_id, replace({_CLEAN.format(c='text')}, '"', '''') AS text,
     replace({_CLEAN.format(c='source')}, '"', '''') AS source FROM documents""")
 def _(spark, sf):
-    return sanitize_text(docs(spark, sf).select("doc_id", "text", "source"), "csv")
+    return sanitize_text(docs(spark, sf).select("doc_id", "text", "source"), "csv", max_chars=5_000)
 
 
 _RES = f"WITH {S.classified(SEED_RULES, extra=', lang, source, n_chars')}"

@@ -71,7 +71,7 @@ def _(spark, sf):
         speaker_text(t, "agent").alias("agent"))
 
 
-@query("build_transcripts", f"""WITH {TURNS} SELECT conv_id, 0::BIGINT AS part, array_to_string(list(
+@query("build_transcripts", f"""WITH {TURNS} SELECT conv_id, array_to_string(list(
     CASE role WHEN 'user' THEN 'Customer: ' ELSE 'Agent: ' END || text ORDER BY turn), chr(10)) AS transcript
     FROM t WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
 def _(spark, sf):

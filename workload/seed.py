@@ -51,3 +51,12 @@ SEED_GROUPS = [
     {"kind": "keywords", "group_no": 1, "conditions": ["der die", "nicht"], "l1": "International", "l2": "German",
      "l3": "NA", "l4": "NA", "sentiment": "neutral"},
 ]
+
+# A pack of the usual size: groups by the beginning of a word, with the word itself, as a prefix and in phrases.
+PACK_GROUPS = [{"conditions": [w for tail in ("re", "ed", "ble", "on", "tion", "in", "ea", "ing", "or", "al")
+                               for w in (head + tail, f"{head}{tail}*", f"{head}{tail} the", f"the {head}{tail}")],
+                "set": {"category": "Pack", "subcategory": head, "sentiment": "neutral"}}
+               for head in ("th", "er", "sh", "at", "an", "on", "in", "tr")]
+PACK_RULES = [{"rule_id": f"DEM-{no:04d}", "terms": [c], "l1": "Pack", "l2": g["set"]["subcategory"],
+               "sentiment": "neutral"}
+              for no, (g, c) in enumerate(((g, c) for g in PACK_GROUPS for c in g["conditions"]), 1)]
