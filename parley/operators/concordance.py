@@ -73,8 +73,8 @@ def kwic_matches(rows: DataFrame, pattern: str, context: int, keep: list[str], t
     """
     text = as_text(text_col)
     found = (rows.select(*keep, text.alias("__text")).where(F.rlike("__text", F.lit(pattern)))
-             .withColumns({"__marks": once(_never_empty(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))),
-                           "__pieces": once(F.split("__text", pattern, -1))}))
+             .withColumn("__marks", once(_never_empty(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))))
+             .withColumn("__pieces", once(F.split("__text", pattern, -1))))
     left = _contexts(F.col("__pieces"), F.col("__marks"), context, True)
     right = F.reverse(_contexts(F.reverse("__pieces"), F.reverse("__marks"), context, False))
     cols = [left.alias("Left"), F.col("__marks").alias("KW"), right.alias("Right")]

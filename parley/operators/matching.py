@@ -10,7 +10,6 @@ one rule and for many; only the constants grow.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections import defaultdict
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
+from parley.functions.once import constant, once
 from parley.functions.terms import (
     clean_term,
     is_plain_word,
@@ -84,11 +84,6 @@ def read_rules(rules: DataFrame) -> list[Rule]:
     return _in_order(scored_rules(rules).select(*_FIELDS).collect())
 
 
-def _constant(value, schema: str) -> Column:
-    """A nested value as one constant of the plan (folded by the optimizer, so its size adds no code)."""
-    return F.from_json(F.lit(json.dumps(value)), schema)
-
-
 PREFIX = 3
 
 
@@ -145,8 +140,8 @@ class Index:
 
     def found(self, tokens: Column, lowered: Column) -> Column:
         """Numbers of the terms which a text holds; ``tokens`` are its distinct words."""
-        buckets = _constant(self.buckets, "array<array<struct<k:string,t:array<int>>>>")
-        terms = _constant(self.terms, "array<struct<words:array<string>,parts:array<string>,pattern:string>>")
+        buckets = constant(self.buckets, "array<array<struct<k:string,t:array<int>>>>")
+        terms = constant(self.terms, "array<struct<words:array<string>,parts:array<string>,pattern:string>>")
 
         def asked(key):
             bucket = F.get(buckets, (F.crc32(key) % self.size).cast("int"))
@@ -165,13 +160,13 @@ class Index:
 
         candidates = F.flatten(F.transform(keys, asked))
         if self.loose:
-            candidates = F.concat(candidates, _constant(self.loose, "array<int>"))
+            candidates = F.concat(candidates, constant(self.loose, "array<int>"))
         return F.filter(candidates, occurs)
 
     def matching(self, found: Column, text: Column, lowered: Column) -> Column:
         """Places (from 0) of the rules which hold, in no order."""
-        of_term = _constant(self.of_term, "array<array<int>>")
-        rules = _constant(self.rules, "array<struct<terms:array<int>,ops:array<string>,gap:int,near:array<string>,"
+        of_term = constant(self.of_term, "array<array<int>>")
+        rules = constant(self.rules, "array<struct<terms:array<int>,ops:array<string>,gap:int,near:array<string>,"
                                       "far:array<array<string>>,without:array<int>,first:string,position:string,n:int,"
                                       "who:string>>")
         # A rule can hold only if one of its terms occurs: the first fold is a term, and only OR sets it again.
@@ -222,8 +217,7 @@ def _generated(df: DataFrame, rules: list[Rule], text_col: str, result, name: st
     rows = rows.withColumn("__tokens", F.array_distinct(word_tokens(low)))
     rows = rows.withColumn("__found", index.found(F.col("__tokens"), low))
     value = result(index.matching(F.col("__found"), text, low))
-    return (rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
-            .drop("__text", "__low", "__tokens", "__found"))
+    return (rows.withColumn(name, once(value)).drop("__text", "__low", "__tokens", "__found"))
 
 
 def with_best_rank(df: DataFrame, rules: list[Rule], text_col: str, out: str = "__rank") -> DataFrame:
@@ -235,7 +229,7 @@ def with_best_rank(df: DataFrame, rules: list[Rule], text_col: str, out: str = "
 
 def _rule_table(rules: list[Rule]) -> Column:
     """All rules as one constant array; looking up an entry costs the same for every size."""
-    return _constant([{"l1": r.l1, "l2": r.l2, "l3": r.l3, "l4": r.l4, "id": r.rule_id, "score": r.score,
+    return constant([{"l1": r.l1, "l2": r.l2, "l3": r.l3, "l4": r.l4, "id": r.rule_id, "score": r.score,
                        "detail": r.detail, "sentiment": r.sentiment} for r in rules],
                      "array<struct<l1:string,l2:string,l3:string,l4:string,id:string,score:int,detail:string,"
                      "sentiment:string>>")

@@ -10,6 +10,8 @@ ACCURACY = 10_000
 SMALL = 10_000
 # Parts a bracket is cut into, so that its values are ranked by many tasks.
 BINS = 1_000
+# Parts of a group in the join with its brackets.
+SALTS = 32
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +35,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     base = base.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
     margin = 10.0 / ACCURACY
     edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = base.groupBy(*keys).agg(F.percentile_approx("__v", edges, ACCURACY).alias("__e"),
+    sketch = (base.groupBy(*keys) if groups else base).agg(F.percentile_approx("__v", edges, ACCURACY).alias("__e"),
                                      F.min("__v").alias("__min"), F.max("__v").alias("__max"),
                                      F.count("*").alias("__n"))
     small = F.col("__n") <= SMALL
@@ -44,7 +46,14 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     # One row per quantile and value inside the bracket; all values below it are one counter in bin -1.
     lo, hi, v = F.col("s.lo"), F.col("s.hi"), F.col("__v")
     part = F.least(F.floor(F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)) * BINS), F.lit(BINS - 1))
-    counted = (_join_on(base, sketch, keys).select(*keys, "__v", "__n", F.explode(spans).alias("s")).where(v <= hi)
+    if groups:
+        # Where the sketch is too large to be sent to all tasks, the values of one group still go to many of them.
+        salted = base.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int"))
+        spread = sketch.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        bracketed = _join_on(salted, spread, [*keys, "__salt"])
+    else:
+        bracketed = base.crossJoin(F.broadcast(sketch.drop(*keys)))  # one row
+    counted = (bracketed.select(*keys, "__v", "__n", F.explode(spans).alias("s")).where(v <= hi)
                .groupBy(*keys, F.col("s.q").alias("q"), "__n", F.when(v >= lo, v).alias("v"),
                         F.when(v >= lo, part).otherwise(-1).alias("bin"))
                .agg(F.count("*").alias("c")))

@@ -278,7 +278,8 @@ def sentiment_hybrid(df: DataFrame, text_col: str, polarity: dict[str, float], v
     """Five labels from mean polarity and summed valence; '' below three characters, neutral below three words."""
     lim, wt = fv.SENTIMENT_LIMITS, fv.SENTIMENT_WEIGHTS
     scored = (_tokenized(df, text_col)
-              .withColumns({"__p": once(_weights("__tokens", polarity)), "__v": once(_weights("__tokens", valence))})
+              .withColumn("__p", once(_weights("__tokens", polarity)))
+              .withColumn("__v", once(_weights("__tokens", valence)))
               .withColumn("__s", once(_mean(F.col("__p")) * wt["polarity"] + _sum(F.col("__v")) / 5.0 * wt["valence"])))
     s, text = F.col("__s"), as_text(text_col)
     return scored.withColumn(
