@@ -8,6 +8,7 @@ import pytest
 from parley.functions.terms import term_pattern, term_words
 from parley.operators import matching as M
 from parley.operators.rules import rules_from_dicts
+from parley.plans.runs import classify_run
 
 CASES = [
     (dict(terms=["billing", "overcharge*"], operators=["AND"]), "I was overcharged on my billing", True),
@@ -177,6 +178,15 @@ def test_plan_of_a_classification(spark, tmp_path):
     assert plan.count("array_min") == 1
 
 
+def test_plan_of_a_run(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "aa"), (2, "de", "aa")], "id int, lang string, t string").write.parquet(str(tmp_path / "d"))
+    out = classify_run(spark.read.parquet(str(tmp_path / "d")), [dict(rule_id="A", terms=["aa"], l1="A")], "id", "t")
+    kept = out.where("lang = 'en' and Category = 'A'")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and plan.count("array_min") == 1
+    assert [r.Conversation_ID for r in kept.collect()] == [1]
+
+
 def test_terms():
     assert term_words("cancel* my plan") == ["my", "plan"]
     assert term_words("case #") == ["case"]

@@ -8,7 +8,7 @@ from parley.plans.runs import FULL_COLUMNS, SHORT_COLUMNS, classify_run, full_ru
 from parley.session import new_path
 from parley.streaming.classify_stream import category_trend_stream, run_to_parquet, stream_classify
 from workload import sql as S
-from workload.data import CONSUMER, results, table, transcripts
+from workload.data import CONSUMER, docs, results, table, transcripts
 from workload.q_classify import (
     BAD,
     BANDS,
@@ -121,7 +121,7 @@ _RUN_SQL = f"""WITH {_RED}, x AS (SELECT doc_id, r, {S.count_of(S.VALIDATED, '*'
 
 @query("classify_run", _RUN_SQL)
 def _(spark, sf):
-    out = classify_run(table(spark, sf, "documents"), SEED_RULES, "doc_id", "text")
+    out = classify_run(docs(spark, sf), SEED_RULES, "doc_id", "text")
     return out.drop("pii_counts", "source", "n_chars")
 
 
@@ -139,7 +139,7 @@ _FULL_SQL = f"""WITH {S.redaction(S.FULL)}, x AS (SELECT doc_id, text AS origina
 
 
 def _full(spark, sf):
-    out = full_run(table(spark, sf, "documents"), SEED_GROUPS, lexicons(spark, sf)[0], "doc_id", "text")
+    out = full_run(docs(spark, sf), SEED_GROUPS, lexicons(spark, sf)[0], "doc_id", "text")
     return out.withColumn("Sentiment_Score", F.round("Sentiment_Score", 9))
 
 
