@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.session import materialize
+
 SITES = 5
 MIN_CHARS = 16
+HOT_LINES = 1000
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -31,23 +34,43 @@ def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_c
     return parts.where(_counted(F.col("text"), min_chars)).select(_key(F.col("text")).alias("line"), "site", "id")
 
 
+def _dealt(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """``lines`` with ``hit``, the row that ``table`` (``line``, ``n``, its rows among ``lines``, and more) has for its
+    line; lines that it does not hold are left out.
+
+    Lines of a thousandth or more of all rows that ``table`` counts, which are a thousand lines at most, are broadcast;
+    their rows are then dealt by a hash of their own, so that a line of a third of all rows goes to every task.
+    """
+    row = F.struct(*[F.col(c) for c in table.columns if c != "line"]).alias("hit")
+    parts = table.withColumn("_hot", F.col("n") >= F.lit(table.agg(F.sum("n")).first()[0] or 0) / HOT_LINES)
+    hot = parts.where("_hot").select(F.col("line").alias("_line"), row.alias("_hit"))
+    rest = parts.where(~F.col("_hot")).select(F.col("line").alias("_key"), row)
+    spare = F.struct(F.xxhash64(*lines.columns).alias("h"), F.lit(0).cast("long").alias("g"))
+    met = lines.join(F.broadcast(hot), F.col("line") == F.col("_line"), "left")
+    met = met.withColumn("_key", F.when(F.col("_hit").isNull(), F.col("line")).otherwise(spare))
+    return (met.join(rest, "_key", "left").withColumn("hit", F.coalesce("_hit", "hit"))
+            .where(F.col("hit").isNotNull()).select(*lines.columns, "hit"))
+
+
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
                 sites: int = SITES, min_chars: int = MIN_CHARS, rsd: float = 0.1) -> DataFrame:
-    """Lines that stand on ``sites`` or more different sites: ``line`` and ``first``, the smallest id that holds it.
+    """Lines that stand on ``sites`` or more different sites: ``line``, ``n``, how often it stands in ``docs``, and
+    ``first``, the smallest id that holds it.
 
     A HyperLogLog sketch of the sites of each line is built and merged by one aggregation, so a line that a third of
     all documents hold costs each task one row. Estimates of more than twice the threshold decide; estimates from
-    half of it to twice it are near, and those lines' sites are counted exactly (distinct pairs of line and site).
+    half of it to twice it are near, and those lines' sites are counted exactly (distinct pairs of line and site,
+    aggregated before and after the shuffle).
     """
     lines = site_lines(docs, id_col, text_col, site_col, min_chars)
-    spread = (lines.groupBy("line").agg(F.approx_count_distinct("site", rsd).alias("estimate"),
-                                        F.min("id").alias("first"))
-              .where(F.col("estimate") >= sites / 2))
-    sure = spread.where(F.col("estimate") > 2 * sites).select("line", "first")
-    near = spread.where(F.col("estimate") <= 2 * sites).select("line", "first")
-    exact = (lines.select("line", "site").join(near.select("line"), "line", "left_semi").distinct()
-             .groupBy("line").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("line"))
-    return sure.unionByName(near.join(exact, "line", "left_semi"))
+    spread = materialize(
+        lines.groupBy("line").agg(F.approx_count_distinct("site", rsd).alias("estimate"), F.min("id").alias("first"),
+                                  F.count(F.lit(1)).alias("n")).where(F.col("estimate") >= sites / 2), "line-spread")
+    sure = spread.where(F.col("estimate") > 2 * sites).select("line", "n", "first")
+    near = spread.where(F.col("estimate") <= 2 * sites).select("line", "n", "first")
+    exact = (_dealt(lines.select("line", "site").distinct(), near.select("line", "n")).groupBy("line")
+             .agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("line"))
+    return materialize(sure.unionByName(near.join(exact, "line", "left_semi")), "boilerplate")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
@@ -66,8 +89,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     columns = [c for c in docs.columns if c != removed_col]
     bad = boilerplate(docs, id_col, text_col, site_col, sites, min_chars, rsd)
-    hits = (site_lines(docs, id_col, text_col, site_col, min_chars).select("line", F.col("id").alias("_id"))
-            .join(bad, "line").where(~F.col("_id").eqNullSafe(F.col("first")))
+    hits = (_dealt(site_lines(docs, id_col, text_col, site_col, min_chars).select("line", F.col("id").alias("_id")), bad)
+            .where(~F.col("_id").eqNullSafe(F.col("hit.first")))
             .groupBy("_id").agg(F.collect_set("line").alias("_bad")))
     # The input's columns travel in one struct, so that their names cannot clash with those in use here.
     row = F.col("_row").getField
