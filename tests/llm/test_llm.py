@@ -7,18 +7,21 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, norm
 from parley.llm import queries as Q
 from parley.llm.contamination import contained_items, shingles, words_of
-from parley.llm.dictionary_quality import quality_scores, remainder
+from parley.llm.dictionary_quality import SAMPLE, quality_scores, remainder, training_texts
+from parley.llm.dictionary_quality import fit as fit_quality
 from parley.llm.lattice import embedding_links, minimal_vectors, nearest_e8
 from parley.llm.line_spread import dedup_lines
 from parley.llm.piece_dropout import Merger, decode, default_model, encode
 from parley.llm.preferences import format_preferences
 from parley.llm.simhash import simhash_groups
+from parley.llm.spans import scramble
 from parley.llm.token_counts import token_counts
 from parley.llm.toxicity import toxicity_scores
 from parley.llm.url_rules import judge_urls, match, mine
@@ -175,8 +178,6 @@ def test_contained(spark, edge):
 
 @pytest.mark.parametrize("score, label, n, r", [(toxicity_scores, "toxic", 5, 0), (quality_scores, "quality", 4, 2)])
 def test_classifiers(spark, edge, score, label, n, r):
-    from pyspark.sql import functions as F
-
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, labels, remainder(F.col("_id"), n) != r).join(labels, "doc_id").collect()
@@ -205,10 +206,103 @@ def test_pieces(spark, edge):
     assert encode(edge.limit(0)).collect() == []
 
 
-def test_pipeline(spark):
-    docs = table(spark, "documents")
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and all(r.lossless for r in rows) and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+ODD_ROWS = [(1, None, None, None, None, 1, 0, "x"), (None, "one two three four five six", "en", "s1", 27, 2, 0, "y"),
+            (2, "", "en", None, 0, 3, 0, None), (3, "w " * 40_000, "en", "s2", 80_000, None, None, "z"),
+            (4, "the same text\nin two rows", "de", "s3", 25, 4, 0, "z"),
+            (4, "the same text\nin two rows", "de", "s3", 25, 4, 0, "z"),
+            (5, "é日😀 ▁ <|endoftext|>\r\n\x00x", "fr", "s4", None, 5, 0, "")]
+ODD_SCHEMA = ("doc_id long, text string, lang string, source string, n_chars int, _id long, _good int, `_removed.x y` string")
+
+
+def test_stages_on_odd_rows(spark):
+    docs = spark.createDataFrame(ODD_ROWS, ODD_SCHEMA)
+    given = docs.collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF)
+        assert rows.columns == docs.columns, name
+        # Stages take whole rows away, or lines from texts; here no line stands on enough sites.
+        assert all(r in given for r in rows.collect()), name
         assert stage(spark, docs.limit(0), SF).count() == 0
+    assert sorted(map(str, corpus_pipeline.lines(spark, docs, SF).collect())) == sorted(map(str, given))
+    near = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "3", "4", "4", "5", "None"]  # 2 is as empty as 1
+    last = corpus_pipeline.segment(spark, docs, SF).collect()
+    assert len(last) == len(ODD_ROWS) and all(r.lossless for r in last)
+
+
+def agenda(merger, text, key, variants):
+    """Pieces of one text by the definition: per chunk, take the best candidate that is still there, leftmost first."""
+    if not text:
+        return []
+    text = " " + text
+    cut = [k for k in range(len(text)) if k == 0 or (text[k] == " " and text[k - 1] != " ")
+           or merger.alone[ord(text[k])] or merger.alone[ord(text[k - 1])]]
+    seed, out = xxhash.xxh64_intdigest(str(key).encode(), merger.seed), []
+    for place, (a, b) in enumerate(zip(cut, cut[1:] + [len(text)])):
+        mixed = scramble(np.array([place], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        variant = int(mixed[0] % np.uint64(variants))
+        parts = [(k, k + 1, int(merger.symbol[ord(text[a + k])])) for k in range(b - a)]
+        gone = {}
+        while True:
+            best = None
+            for k in range(len(parts) - 1):
+                (s, m, x), (_, e, y) = parts[k], parts[k + 1]
+                made = merger.table.get((x << 20) | y, -1) if x >= 0 and y >= 0 else -1
+                if made < 0:
+                    continue
+                if (s, m, e, made) not in gone:
+                    gone[s, m, e, made] = merger.dropped(*(np.array([v]) for v in (variant, s, m, e, made)))[0]
+                if not gone[s, m, e, made] and (best is None or merger.score[made] > best[0]):
+                    best = (merger.score[made], k, (s, e, made))
+            if best is None:
+                break
+            parts[best[1]: best[1] + 2] = [best[2]]
+        for s, e, x in parts:
+            out += [x] if x >= 0 else [merger.bytes[c] for c in text[a + s: a + e].encode()]
+    return out
+
+
+def test_dropout_by_definition(spark):
+    texts = [r.text[:400] for r in table(spark, "documents").limit(25).collect()] + ["x" * 130 + " tail", "日本 ﬁ \n▁é", " a  b "]
+    merger = Merger(default_model(), 0.3, 17)
+    ids, at = merger.encode(texts, list(range(len(texts))), 4)
+    assert [ids[at[k]: at[k + 1]].tolist() for k in range(len(texts))] == [agenda(merger, t, k, 4) for k, t in enumerate(texts)]
+
+
+def lines_by_hand(docs):
+    """``(doc_id, text)`` without lines of 16 characters or more that five sources or more hold."""
+    sites, first = {}, {}
+    for i, t, source in docs:
+        for line in {x.strip(" \t\r\x0b\x0c") for x in t.split("\n")}:
+            if len(line) >= 16:
+                sites.setdefault(line, set()).add(source)
+                first[line] = min(first.get(line, i), i)
+    return [(i, "\n".join(x for x in t.split("\n") if len(sites.get(x.strip(" \t\r\x0b\x0c"), ())) < 5
+                          or first[x.strip(" \t\r\x0b\x0c")] == i)) for i, t, _ in docs]
+
+
+def test_pipeline_by_hand(spark):
+    """All five stages against loops over all rows; only the fitted classifier and the piece merger are shared."""
+    docs = [(r.doc_id, r.text, r.source) for r in table(spark, "documents").collect()]
+    model = fit_quality(*training_texts(table(spark, "documents"), table(spark, "labels"), "quality",
+                                        remainder(F.col("_id"), 4) != 2, SAMPLE))
+    good = [d for d in docs if model.scores([d[1].encode()])[0] >= 0.7]
+    assert 0 < len(good) < len(docs)
+    left = lines_by_hand(good)
+    assert left != [d[:2] for d in good]
+    prints = {i: fingerprint_by_hand(t) for i, t in left}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    one = roots(sorted(prints), near)
+    kept = [(i, t) for i, t in left if one[i] == i]
+    assert len(kept) < len(left)
+    items = [set(shingles(words_of(r.text))) for r in table(spark, "benchmark").collect()]
+    clean = [(i, t) for i, t in kept if not any(q and len(q & set(shingles(words_of(t)))) >= 0.8 * len(q) for q in items)]
+    assert len(clean) < len(kept)
+    merger = Merger(default_model(), 0.1, 17)
+    want = {}
+    for i, t in clean:
+        ids, _ = merger.encode([t], [i], 4)
+        assert merger.decode(ids.tolist()) == t
+        want[i] = len(ids)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert len(rows) == len(want) and {r.doc_id: r.n_pieces for r in rows} == want and all(r.lossless for r in rows)
