@@ -7,6 +7,7 @@ which cannot match away from the expensive pattern; it never changes the result.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from typing import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
-from parley.functions.once import once
+from parley.functions.once import constant, once
 
 MODES = ("hash", "mask", "token", "remove")
 
@@ -202,19 +203,24 @@ def with_hardened_redaction(df, text_col: str, mode: str = "hash", redacted_col:
 def with_names_redacted(df, id_col: str, text_col: str, names, name_col: str, mode: str = "hash"):
     """Redact the words which a table of names holds; adds ``redacted_text`` and ``names_found``.
 
-    The words of each text are joined with the table, so the table may be of any size; only ids and matched names
-    take part in the shuffle until they are joined back.
+    The list of names is configuration: it is read once and becomes a constant of the plan, a table by a hash of the
+    name. Every text looks up its own words there: no shuffle, no join, and each row is decided on its own, so
+    ``id_col`` may repeat or be null.
     """
     from parley.functions.text import word_tokens
 
-    listed = names.select(F.col(name_col).alias("__name")).where("__name <> ''").distinct()
-    spoken = df.select(F.col(id_col).alias("__id"),
-                       F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("__name"))
-    per_text = (spoken.join(listed, "__name", "left_semi").groupBy("__id")
-                .agg(F.sort_array(F.collect_list("__name")).alias("names_found")))
-    out = df.join(per_text, df[id_col] == per_text["__id"], "left").drop("__id")
-    found = F.coalesce("names_found", F.array().cast("array<string>"))
-    return out.withColumn("names_found", found).withColumn("redacted_text", F.when(
-        F.size(found) == 0, F.col(text_col)).otherwise(F.aggregate(
-            longest_first(found), F.col(text_col),
-            lambda acc, m: F.replace(acc, m, token_for("NAME", m, mode)))))
+    listed = [r[0] for r in names.select(F.col(name_col).cast("string").alias("n")).where("n <> ''").distinct().collect()]
+    buckets = [[] for _ in range(2 * len(listed) + 1)]
+    for name in sorted(listed):
+        buckets[zlib.crc32(name.encode()) % len(buckets)].append(name)
+    table = constant(buckets, "array<array<string>>")
+
+    def is_name(word):
+        return F.array_contains(F.get(table, F.pmod(F.crc32(word), F.lit(len(buckets))).cast("int")), word)
+
+    text = F.col(text_col)
+    said = F.coalesce(F.array_distinct(word_tokens(text)), F.array().cast("array<string>"))
+    found = F.col("names_found")
+    return (df.withColumn("names_found", once(F.sort_array(F.filter(said, is_name))))
+            .withColumn("redacted_text", F.when(F.size(found) == 0, text).otherwise(F.aggregate(
+                longest_first(found), text, lambda acc, m: F.replace(acc, m, token_for("NAME", m, mode))))))

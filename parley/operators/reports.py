@@ -30,9 +30,22 @@ def _named(col: str) -> Column:
 
 
 def _with_total(counts: DataFrame, by: list[str] | None = None, count: str = "Count") -> DataFrame:
-    """Add ``__total``, the sum of the counts. The counts are one row per category value, so this moves next to
-    nothing, and the data behind them is read once."""
-    return counts.withColumn("__total", F.sum(count).over(Window.partitionBy(*(by or [F.lit(1)]))))
+    """Add ``__total``, the sum of the counts per ``by``, or of all: one row, met by a join. The counts are one row per
+    category value, and both sides read the same shuffled ones."""
+    if by:
+        return counts.withColumn("__total", F.sum(count).over(Window.partitionBy(*by)))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum(count).alias("__total"))))
+
+
+def _counted(test: Column) -> Column:
+    """The test, to be made after the total is known. Made before, it would go down to the scan on one side of the
+    join, and the data would have to be read, and classified, for each side."""
+    return F.when(F.col("__total") > 0, test)
+
+
+def _with_total_of_few(counts: DataFrame) -> DataFrame:
+    """The same for counts of a fixed set of values, such as bands: a handful of rows."""
+    return counts.withColumn("__total", F.sum("Count").over(Window.partitionBy(F.lit(1))))
 
 
 # --- counts and shares ----------------------------------------------------------------------------------------------
@@ -48,7 +61,7 @@ def level_table(out: DataFrame, level: str, parent: str | None = None, blank: st
     """Count and share of all rows per value (and parent value); ``blank`` values are left out of the result only."""
     keys = [parent, level] if parent else [level]
     counts = out.groupBy(*keys).agg(F.count("*").alias("Count"))
-    return (_with_total(counts).where(F.col(level) != blank)
+    return (_with_total(counts).where(_counted(F.col(level) != blank))
             .withColumn("Pct", pct(F.col("Count"), F.col("__total"))).drop("__total"))
 
 
@@ -56,7 +69,7 @@ def level_table_of_parent(out: DataFrame, level: str, parents: list[str]) -> Dat
     """Share of the full parent path (its rows without a value included) and of all rows."""
     counts = out.groupBy(*parents, level).agg(F.count("*").alias("Count"))
     of_parent = F.sum("Count").over(Window.partitionBy(*parents))
-    return (_with_total(counts).withColumn("ParentTotal", of_parent).where(F.col(level) != NOT_AVAILABLE)
+    return (_with_total(counts).withColumn("ParentTotal", of_parent).where(_counted(F.col(level) != NOT_AVAILABLE))
             .withColumns({"PctOfTotal": pct(F.col("Count"), F.col("__total")),
                           "PctOfParent": pct(F.col("Count"), F.col("ParentTotal"))}).drop("__total"))
 
@@ -198,7 +211,7 @@ def path_distribution(rows: DataFrame, depth: int) -> DataFrame:
     keys = LEVELS[:depth]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("Count"))
     counts = _with_total(counts)
-    kept = counts.where(F.col(keys[-1]) != NOT_AVAILABLE) if depth > 1 else counts
+    kept = counts.where(_counted(F.col(keys[-1]) != NOT_AVAILABLE)) if depth > 1 else counts
     return (kept.withColumn("Pct", pct(F.col("Count"), F.col("__total")))
             .drop("__total"))
 
@@ -329,11 +342,12 @@ def metric_trend_by_group(out: DataFrame, level: str, date: str, metric: str, pe
 
 def category_trend(out: DataFrame, date: str, level: str, period: str, n: int = 7) -> DataFrame:
     """Counts per period of the ``n`` most frequent values."""
-    counts = _dated(out.where(_named(level)), date, period).groupBy("Period", level).agg(F.count("*").alias("Count"))
+    rows = out.where(_named(level) & F.col(level).isNotNull())  # as the join below demands, so that both sides read alike
+    counts = _dated(rows, date, period).groupBy("Period", level).agg(F.count("*").alias("Count"))
     # One row per period and value from here on.
-    place = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.col("__total").desc(), level))
-    return (_with_total(counts, [level]).withColumn("__place", place).where(F.col("__place") <= n)
-            .drop("__total", "__place"))
+    top = (counts.groupBy(level).agg(F.sum("Count").alias("__all")).orderBy(F.col("__all").desc(), level).limit(n)
+           .select(level))
+    return counts.join(F.broadcast(top), level).select(counts.columns)
 
 
 def split_date(out: DataFrame, date: str) -> DataFrame:
@@ -355,12 +369,8 @@ def top_movers(out: DataFrame, date: str, level: str, split: str, n: int = 10) -
     base = F.when(F.col("Period_1") == 0, 1).otherwise(F.col("Period_1"))
     moved = counts.withColumns({"Change": change, "ChangePct": F.bround(change * 100.0 / base, 1)})
     # One row per value from here on; a value may be among the gains and among the losses.
-    whole = Window.partitionBy(F.lit(1))
-    gain = F.row_number().over(whole.orderBy(F.col("Change").desc(), level)) <= n
-    loss = F.row_number().over(whole.orderBy(F.col("Change"), F.col(level).desc())) <= n
-    sides = F.array_compact(F.array(F.when(F.col("__gain"), "gain"), F.when(F.col("__loss"), "loss")))
-    return (moved.withColumns({"__gain": gain, "__loss": loss}).withColumn("Side", F.explode(sides))
-            .drop("__gain", "__loss"))
+    gain = moved.orderBy(F.col("Change").desc(), level).limit(n).withColumn("Side", F.lit("gain"))
+    return gain.union(moved.orderBy("Change", F.col(level).desc()).limit(n).withColumn("Side", F.lit("loss")))
 
 
 # --- narrative ------------------------------------------------------------------------------------------------------
@@ -375,16 +385,18 @@ def narrative_facts(out: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum("points").alias("points"), F.sum("low").alias("low"),
         F.grouping("Category").alias("g"))
     cat, named = F.col("g") == 0, F.col("Category") != UNCATEGORIZED
-    by_size = F.struct((-F.col("n")).alias("m"), F.col("Category").alias("c"))
+    # With all the figures, so that this side of the join below reads the same shuffled counts as the other.
+    by_size = F.struct((-F.col("n")).alias("m"), F.col("Category").alias("c"), "points", "low")
     sub = F.struct((-F.col("n")).alias("m"), F.col("Subcategory").alias("c"))
     total = both.agg(
         F.sum(F.when(cat, F.col("n"))).alias("records"),
         F.coalesce(F.sum(F.when(cat & named, F.col("n"))), F.lit(0)).alias("categorized"),
         F.count_if(cat & named).alias("categories"), F.sum(F.when(cat, F.col("points"))).alias("points"),
         F.sum(F.when(cat, F.col("low"))).alias("low"),
-        F.slice(F.array_sort(F.collect_list(F.when(cat & named, by_size))), 1, 3).alias("top"),
         F.min(F.when(~cat & (F.col("Subcategory") != NOT_AVAILABLE), sub)).alias("sub"))
-    facts = total.select(
+    three = (both.where(cat & named).select(by_size.alias("t")).orderBy("t").limit(3)
+             .agg(F.array_sort(F.collect_list("t")).alias("top")))
+    facts = total.crossJoin(F.broadcast(three)).select(
         "*", F.get("top", F.lit(0))["c"].alias("top_category"), (-F.get("top", F.lit(0))["m"]).alias("top_n"),
         F.aggregate("top", F.lit(0).cast("long"), lambda a, t: a - t["m"]).alias("top3"),
         F.col("sub.c").alias("top_sub"))
@@ -427,7 +439,7 @@ def sentiment_dist(rows: DataFrame, sentiment: str = "sentiment", score: str | N
     if score:
         aggs.append(F.bround(F.avg(F.col(score).cast("decimal(18,9)")).cast("double"), 6).alias("AvgScore"))
     counts = rows.groupBy(sentiment).agg(*aggs)
-    return (_with_total(counts).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
+    return (_with_total_of_few(counts).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
             .drop("__total"))
 
 
@@ -440,15 +452,24 @@ def language_share(rows: DataFrame, language: str = "language") -> DataFrame:
     """English against other languages."""
     kind = F.when(F.col(language) == "en", "English").otherwise("Foreign")
     counts = rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("Count"))
-    return (_with_total(counts).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
+    return (_with_total_of_few(counts).withColumn("Pct", pct(F.col("Count"), F.col("__total")))
             .drop("__total"))
 
 
 def analytics_sql(out: DataFrame, view: str = "results") -> DataFrame:
-    """Register the results for SQL and return the standard summary."""
+    """Register the results for SQL and return the standard summary, from one read of them."""
     out.createOrReplaceTempView(view)
+    # The row of no records keeps the totals of an empty table.
     return out.sparkSession.sql(f"""
-        select 'l1' as kind, Category as name, count(*) as n from {view} group by Category
-        union all select 'total', 'total_records', count(*) from {view}
-        union all select 'total', 'unique_l1_categories', count(distinct Category) from {view}
-        union all select 'total', 'unique_l2_categories', count(distinct Subcategory) from {view}""")
+        with pairs as (
+            select Category, Subcategory, count(*) as n from {view} group by Category, Subcategory
+            union all select cast(null as string), cast(null as string), 0L),
+        sums as (
+            select Category, grouping(Category) as total, sum(n) as n, count(distinct Category) as l1,
+                count(distinct Subcategory) as l2
+            from pairs group by grouping sets ((Category), ()))
+        select inline(if(total = 0, array(struct('l1' as kind, Category as name, n as n)), array(
+            struct('total' as kind, 'total_records' as name, n as n),
+            struct('total' as kind, 'unique_l1_categories' as name, l1 as n),
+            struct('total' as kind, 'unique_l2_categories' as name, l2 as n))))
+        from sums where total = 1 or n > 0""")

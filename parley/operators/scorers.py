@@ -337,19 +337,34 @@ def min_length_gate(df: DataFrame, text_col: str, language_col: str, result_cols
     return df.withColumns({c: F.when(ok, F.col(c)).otherwise("") for c in result_cols})
 
 
+def _pieces(text: str, lengths: str) -> Column:
+    """The different substrings of a text which have one of the lengths."""
+    size = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(
+        F.filter(lengths, lambda n: n <= size),
+        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col(text), at, n)))))
+
+
 def detect_industry(df: DataFrame, company_col: str, companies: DataFrame, out: str = "industry") -> DataFrame:
     """Add the industry of the first listed company which equals, contains or is contained in the name.
 
-    ``companies`` (industry_no, industry, company_no, company) is configuration; it becomes a constant array, so no
-    pair of tables is compared row against row. Null without a match.
+    ``companies`` (industry_no, industry, company_no, company) may be of any size. Each different name is decided
+    once: its substrings that are as long as some company are joined with the companies, and it is joined with the
+    substrings of companies that are as long as some name. Equal strings meet, no name is held against all companies.
+    Null without a match; blank names and blank companies match nothing.
     """
-    rows = sorted(_bounded(companies.select("industry_no", "company_no", "industry", "company"), MAX_LIST,
-                           "company map"))
-    if not rows:
-        return df.withColumn(out, F.lit(None).cast("string"))
-    listed = F.array(*[F.struct(F.lit(r.company.lower()).alias("c"), F.lit(r.industry).alias("i")) for r in rows])
-    name = F.trim(F.lower(F.col(company_col)))
-    hits = F.filter(listed, lambda m: (F.trim(m["c"]) == F.col("__name")) | F.contains(m["c"], F.col("__name"))
-                    | F.contains(F.col("__name"), m["c"]))
-    return (df.withColumn("__name", name).withColumn("__hit", once(F.get(hits, F.lit(0))))
-            .withColumn(out, F.col("__hit.i")).drop("__name", "__hit"))
+    place = F.min(F.struct("industry_no", "company_no", "industry")).alias("place")
+    listed = (companies.withColumn("c", F.lower("company")).where(F.trim("c") != "").groupBy("c").agg(place))
+    names = df.select(F.trim(F.lower(F.col(company_col))).alias("name")).where("name <> ''").distinct()
+
+    def lengths(rows, text):  # one row: the different lengths of short strings
+        return F.broadcast(rows.agg(F.collect_set(F.length(text)).alias("lengths")))
+
+    inside = (names.crossJoin(lengths(listed, "c")).select("name", F.explode(_pieces("name", "lengths")).alias("c"))
+              .join(listed, "c").select("name", "place"))
+    around = (listed.crossJoin(lengths(names, "name")).select("place", F.explode(_pieces("c", "lengths")).alias("name"))
+              .groupBy("name").agg(F.min("place").alias("place")).join(names, "name").select("name", "place"))
+    best = (inside.unionByName(around).groupBy(F.col("name").alias("__name"))
+            .agg(F.min("place")["industry"].alias("__industry")))
+    return (df.join(best, F.trim(F.lower(df[company_col])) == best["__name"], "left")
+            .withColumn(out, F.col("__industry")).drop("__name", "__industry"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,15 +26,24 @@ def stream_classify(source: DataFrame, rules, id_col: str, text_col: str, sink:
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def category_trend_stream(source: DataFrame, ts_col: str, level: str, window: str = "1 day",
-                          watermark: str = "1 day") -> DataFrame:
-    """Counts per window and value; a window is given out once the watermark has passed it, later rows are dropped."""
-    timed = source.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    return (timed.where(~F.col(level).isin(NOT_AVAILABLE, UNCATEGORIZED)).withWatermark(ts_col, watermark)
-            .groupBy(F.window(ts_col, window).alias("w"), level).agg(F.count("*").alias("Count"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), level, "Count"))
+def category_trend_stream(source: DataFrame, ts_col: str, level: str, window: str, sink: str,
+                          checkpoint: str) -> StreamingQuery:
+    """Count all files that have arrived per window and value; run again for the next files, read with ``trend_table``.
 
+    Each micro-batch writes its own counts, a few rows, to a folder of its own, and writes it anew if it is run again.
+    So every window is there as soon as its rows are, no row is too late, and the order of files does not matter; no
+    state is kept.
+    """
+    def count(rows: DataFrame, batch: int) -> None:
+        (rows.where(~F.col(level).isin(NOT_AVAILABLE, UNCATEGORIZED))
+         .groupBy(F.window(F.col(ts_col).cast("timestamp"), window).alias("w"), level).agg(F.count("*").alias("Count"))
+         .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), level, "Count")
+         .write.mode("overwrite").parquet(f"{sink}/batch={batch}"))
 
-def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    return (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    return (source.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def trend_table(spark: SparkSession, sink: str, level: str) -> DataFrame:
+    """Counts per window and value of all batches so far."""
+    return spark.read.parquet(sink).groupBy("window_start", level).agg(F.sum("Count").alias("Count"))

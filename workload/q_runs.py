@@ -6,7 +6,7 @@ from parley import fixed_values as fv
 from parley.operators import history as H
 from parley.plans.runs import FULL_COLUMNS, SHORT_COLUMNS, classify_run, full_run, topics_run
 from parley.session import new_path
-from parley.streaming.classify_stream import category_trend_stream, run_to_parquet, stream_classify
+from parley.streaming.classify_stream import category_trend_stream, stream_classify, trend_table
 from workload import sql as S
 from workload.data import CONSUMER, docs, results, table, transcripts
 from workload.q_classify import (
@@ -201,10 +201,9 @@ def _(spark, sf):
 
 
 @query("stream_category_trend", """SELECT date_trunc('day', ts) AS window_start, event_type AS "Category", count(*) AS "Count"
-    FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY
-      <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+    FROM events GROUP BY 1, 2""")
 def _(spark, sf):
     sink, check = new_path(spark, "trend"), new_path(spark, "trend-checkpoint")
     events = _stream(spark, sf, "events").withColumnRenamed("event_type", "Category")
-    run_to_parquet(category_trend_stream(events, "ts", "Category"), sink, check).awaitTermination()
-    return spark.read.parquet(sink)
+    category_trend_stream(events, "ts", "Category", "1 day", sink, check).awaitTermination()
+    return trend_table(spark, sink, "Category")
