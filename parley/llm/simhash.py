@@ -18,11 +18,11 @@ TILE = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The majority, bit by bit, of the XXH64 values (seed 42) of the shingles; signed as Spark's long."""
+def shingle_digests(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 values (seed 42) of the shingles of a text; none of a text without words."""
     w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at space and \t to \r only
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(w)
     if len(w) <= words:
         spans = [(0, len(line))]
@@ -31,7 +31,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = zip(starts[: len(w) - words + 1].tolist(), ends[words - 1:].tolist())
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[s:e], 42) for s, e in spans], dtype="<u8")
+    return np.array([digest(line[s:e], 42) for s, e in spans], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The majority, bit by bit, of the XXH64 values (seed 42) of the shingles; signed as Spark's long."""
+    h = shingle_digests(text, words)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at: at + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
