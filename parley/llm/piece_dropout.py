@@ -31,8 +31,9 @@ class Merger:
     """The pieces and merges of one model file, and segmentation with dropout.
 
     A candidate merge is a place (start, middle, end of the two symbols, in characters of its chunk) and the piece it
-    makes. It is skipped for good if a hash of seed, variant, place and piece falls below ``dropout``. Candidates are
-    processed by score, the leftmost first among equals, as without dropout.
+    makes. It is skipped for good if a hash of seed, variant, place and piece falls below ``dropout``. The variant is a
+    64-bit key of the document and of the chunk's place in it, so every occurrence of a word is dealt anew. Candidates
+    are processed by score, the leftmost first among equals, as without dropout.
     """
 
     def __init__(self, model: str, dropout: float = 0.1, seed: int = 0):
@@ -116,21 +117,24 @@ class Merger:
         out[(a < 0) | (b < 0)] = -1
         return out
 
-    def _scores(self, sym, nxt, start, middle, end, variant):
+    def _scores(self, sym, nxt, start, middle, end, chunk, variants, seen):
         """Piece and score of candidates; those that make no piece or are dropped have no score."""
         made = self.lookup(sym, nxt)
         on = np.flatnonzero(made >= 0)
         score = np.full(len(made), -np.inf, np.float32)
-        if self.dropout > 0 and len(on):
-            on = on[~self.dropped(variant[on], start[on], middle[on], end[on], made[on])]
+        if seen is not None:
+            seen.append((chunk[on], start[on], middle[on], end[on], made[on]))
+        if self.dropout > 0 and variants is not None and len(on):
+            on = on[~self.dropped(variants[chunk[on]], start[on], middle[on], end[on], made[on])]
         score[on] = self.score[made[on]]
         return made, score
 
-    def merge_all(self, sym: np.ndarray, offsets: np.ndarray, variants: np.ndarray):
+    def merge_all(self, sym: np.ndarray, offsets: np.ndarray, variants: np.ndarray | None, seen: list | None = None):
         """Final symbols, their chunk and their start, of many short chunks at once.
 
         ``sym`` holds the characters of all chunks one behind the other. In every round each chunk makes its best
-        merge; chunks without one are done and leave.
+        merge; chunks without one are done and leave. Without ``variants`` nothing is skipped; ``seen`` receives the
+        candidates that were looked at (chunk, start, middle, end, piece).
         """
         size = offsets[1:] - offsets[:-1]
         chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)
@@ -139,7 +143,7 @@ class Merger:
         score = np.full(len(sym), -np.inf, np.float32)
         made = np.full(len(sym), -1, np.int32)
         at = np.flatnonzero(chunk[1:] == chunk[:-1])
-        made[at], score[at] = self._scores(sym[at], sym[at + 1], start[at], start[at + 1], end[at + 1], variants[chunk[at]])
+        made[at], score[at] = self._scores(sym[at], sym[at + 1], start[at], start[at + 1], end[at + 1], chunk[at], variants, seen)
         done, alive = [], np.ones(len(sym), bool)
         head = None
         while len(sym):
@@ -172,7 +176,7 @@ class Merger:
             left = np.concatenate((first[first >= 0], hit[inner]))
             right = behind[left]
             made[left], score[left] = self._scores(sym[left], sym[right], start[left], start[right], end[right],
-                                                   variants[chunk[left]])
+                                                   chunk[left], variants, seen)
         sym, chunk, start = (np.concatenate(x) for x in zip(*done)) if done else (sym, sym, sym)
         order = np.argsort(chunk, kind="stable")
         return sym[order], chunk[order], start[order]
@@ -208,6 +212,29 @@ class Merger:
         starts = [k for k in range(n) if alive[k]]
         return [sym[k] for k in starts], starts
 
+    def undropped(self, points: np.ndarray, offsets: np.ndarray, of: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """Whether an occurrence, of chunk ``of`` and with its own variant, skips none of the candidates that its chunk
+        has without dropout, so that it is segmented as without dropout. Long chunks are not looked at (False)."""
+        size = offsets[1:] - offsets[:-1]
+        short = np.flatnonzero(size <= LONG)
+        flat, ends = gather(self.symbol[points], offsets, short)
+        seen: list = []
+        self.merge_all(flat, ends, None, seen)
+        chunk, start, middle, end, made = (np.concatenate(x) for x in zip(*seen)) if seen else [np.zeros(0, np.int64)] * 5
+        order = np.argsort(chunk, kind="stable")
+        chunk = short[chunk[order]]
+        cells = np.concatenate(([0], np.cumsum(np.bincount(chunk, minlength=len(size)))))
+        start, middle, end, made = (x[order] for x in (start, middle, end, made))
+        same = size[of] <= LONG
+        left, number = np.flatnonzero(same), 0
+        while len(left):  # one more candidate of each; those that skip it leave
+            more = left[cells[of[left]] + number < cells[of[left] + 1]]
+            c = cells[of[more]] + number
+            gone = more[self.dropped(variants[more], start[c], middle[c], end[c], made[c])]
+            same[gone] = False
+            left, number = more[same[more]], number + 1
+        return same
+
     def segment(self, points: np.ndarray, offsets: np.ndarray, variants: np.ndarray):
         """Piece ids, and their offsets, of chunks given by their characters; what is no piece is spelled in bytes."""
         sym = self.symbol[points]
@@ -242,8 +269,12 @@ class Merger:
         cut[edges[:-1][edges[:-1] < len(points)]] = True
         return np.flatnonzero(cut)
 
-    def encode(self, texts: list[str], keys: list, variants: int):
-        """Piece ids of texts, and their offsets. Equal chunks of equal variant are segmented once."""
+    def encode(self, texts: list[str], keys: list, variants: int = 0):
+        """Piece ids of texts, and their offsets.
+
+        Every occurrence of a chunk has its own variant; those which skip nothing of what the chunk's segmentation
+        without dropout looks at share that one. With ``variants`` above 0 there are only so many for each chunk.
+        """
         lead = [" " + t if t else "" for t in texts]
         points = code_points("".join(lead))
         edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lead), np.int64, len(lead)))))
@@ -255,13 +286,25 @@ class Merger:
         doc = np.searchsorted(edges, starts, "right") - 1
         seeds = np.array([xxhash.xxh64_intdigest(str(k).encode("utf-8", "surrogatepass"), self.seed) for k in keys], _U)
         place = np.arange(len(starts)) - np.searchsorted(starts, edges[:-1])[doc]
-        variant = (scramble(place.astype(_U) * _U(0x9E3779B97F4A7C15) + seeds[doc]) % _U(max(1, variants))).astype(np.int64)
-        pair, index = np.unique(of * max(1, variants) + variant, return_inverse=True)
-        value = seen[pair // max(1, variants)]
+        variant = scramble(place.astype(_U) * _U(0x9E3779B97F4A7C15) + seeds[doc])
+        if self.dropout <= 0:
+            value, index, own = seen, of, np.zeros(len(seen), _U)
+        elif variants > 0:
+            pair, index = np.unique(of * variants + (variant % _U(variants)).astype(np.int64), return_inverse=True)
+            value, own = seen[pair // variants], (pair % variants).astype(_U)
+        else:
+            chars, offsets = gather(points, np.append(starts, len(points)), seen)
+            same = self.undropped(chars, offsets, of, variant)
+            # The first of the occurrences that share one is segmented for all of them.
+            lead_of = np.full(len(seen), -1)
+            shared = np.flatnonzero(same)[::-1]
+            lead_of[of[shared]] = shared
+            value = np.union1d(np.flatnonzero(~same), lead_of[lead_of >= 0])
+            index, own = np.searchsorted(value, np.where(same, lead_of[of], np.arange(len(of)))), variant[value]
         size = ends[value] - starts[value]
         chars, offsets = gather(points, np.append(starts, len(points)), value)
         assert len(chars) == size.sum()
-        ids, at = self.segment(chars, offsets, (pair % max(1, variants)).astype(_U))
+        ids, at = self.segment(chars, offsets, own)
         ids, at = gather(ids, at, index)
         return ids, at[np.searchsorted(starts, edges)]
 
@@ -294,12 +337,12 @@ def _encode(out: pa.Schema, text_at: int, key_at: int, model: str, dropout: floa
 
 
 def encode(docs: DataFrame, text_col: str = "text", key_col: str | None = "doc_id", dropout: float = 0.1,
-           seed: int = 17, variants: int = 4, model: str | None = None, out_col: str = "piece_ids",
+           seed: int = 17, variants: int = 0, model: str | None = None, out_col: str = "piece_ids",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The input's rows and columns with ``out_col``, the piece ids of the text (array of int).
 
-    Words are segmented in one of ``variants`` ways, by a keyed hash of the row's ``key_col`` (null: the word None;
-    no key column: the text) and the place of the word. ``dropout`` 0 gives the model's own segmentation.
+    Each candidate merge of each word is skipped by a hash keyed by the row's ``key_col`` (null: the word None; no key
+    column: the text) and the place of the word. ``variants`` above 0 leaves each word only so many ways. ``dropout`` 0 gives the model's own segmentation.
     Null and empty texts have no pieces. The same key, text and seed always give the same ids, so repeated rows agree.
     A column already named ``out_col`` is replaced. Very long texts and words are processed whole. An empty table
     gives an empty table.
@@ -337,7 +380,7 @@ def decode(df: DataFrame, ids_col: str = "piece_ids", model: str | None = None,
 
 
 def segmentation_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
-                        seed: int = 17, variants: int = 4, model: str | None = None) -> DataFrame:
+                        seed: int = 17, variants: int = 0, model: str | None = None) -> DataFrame:
     """One row per document: id, ``n_pieces``, ``ids_hash`` of the ids, ``lossless`` (decoding gives the text back)."""
     model = model or default_model()
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"),
