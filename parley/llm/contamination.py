@@ -16,6 +16,7 @@ CONTAINMENT = 0.8
 HASHES = 48
 ITEMS_PER_BLOCK = 20_000
 BLOCK_BYTES = 8_000_000
+EXACT = 8  # items of no more shingles are looked up by their shingles, without MinHash
 _U = np.uint64
 
 
@@ -70,16 +71,18 @@ def _every(part: np.ndarray, step: int) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """The partition of an item of n different shingles: 8 for up to 8, 16 for up to 16, and so on."""
-    return max(8, 1 << (n - 1).bit_length())
+    """The partition of an item of n different shingles: 16 for up to 16, 32 for up to 32, and so on."""
+    return max(2 * EXACT, 1 << (n - 1).bit_length())
 
 
 class Items:
-    """Test items as a search index: one part for each size, banded by one MinHash value each."""
+    """Test items as a search index: one part for each size, banded by one MinHash value each; items of up to ``EXACT``
+    shingles by as many of their rarest shingles as no document that contains them can lack."""
 
     def __init__(self, rows: list[tuple], containment: float, count: int, n: int):
         self.count, self.n, self.sets, self.short, self.parts = count, n, {}, {}, {}
         entries: dict[int, list] = {}
+        few: list[tuple[int, np.ndarray, int]] = []
         for at, (item, text) in enumerate(rows):
             w = words_of(text)
             found = frozenset(shingles(w, n))
@@ -91,7 +94,19 @@ class Items:
                 continue
             data = np.frombuffer(b" ".join(w), np.uint8)
             h = np.unique(shingle_hashes(data, np.array([0, len(data)]), n)[0])
+            if len(found) <= EXACT:
+                few.append((at, h, len(found) - self.sets[at][2] + 1))
+                continue
             entries.setdefault(size_class(len(found)), []).append((at, minima(h, np.array([0]), count)[0]))
+        self.few = None
+        if few:
+            value, times = np.unique(np.concatenate([h for _, h, _ in few]), return_counts=True)
+            rarest = [(at, h[np.argsort(times[np.searchsorted(value, h)], kind="stable")[:n]]) for at, h, n in few]
+            keys, ats = np.concatenate([h for _, h in rarest]), np.repeat([a for a, _ in rarest], [len(h) for _, h in rarest])
+            seen = np.zeros(1 << 24, bool)
+            seen[keys & _U(0xFFFFFF)] = True
+            order = np.argsort(keys, kind="stable")
+            self.few = (seen, keys[order], ats[order])
         for size, rows_ in sorted(entries.items()):
             ats = np.array([a for a, _ in rows_])
             values = np.stack([s for _, s in rows_])
@@ -105,12 +120,19 @@ class Items:
         return (values & np.uint32(0xFFFFFF)) ^ (np.arange(self.count, dtype=np.uint32) * np.uint32(0x51ED27) & np.uint32(0xFFFFFF))
 
     def candidates(self, h: np.ndarray, part: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) where the item shares a MinHash value with a window of the document.
+        """(document, item) where the item shares a MinHash value with a window of the document, or one of a short
+        item's rarest shingles is in the document.
 
         In the part of size U, windows are two neighbouring blocks of U shingles: an item of up to U shingles lies
         in one window wherever it stands, and fills a fair part of it however long the document is.
         """
         found: set[tuple[int, int]] = set()
+        if self.few and len(h):
+            seen, keys, ats = self.few
+            hit = np.flatnonzero(seen[h & _U(0xFFFFFF)])
+            low, high = (np.searchsorted(keys, h[hit], side) for side in ("left", "right"))
+            for r, a, b in zip(part[hit].tolist(), low.tolist(), high.tolist()):
+                found.update((r, int(i)) for i in ats[a:b])
         low, size, doc = None, 0, None
         for of in self.parts if len(h) else ():
             if low is None:
@@ -174,9 +196,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
     An item is contained if at least ``containment`` of its different word shingles are in the document. Items are
     the query set: they are sent to the tasks in blocks of ``items_per_block`` at most (short texts, so a block is
-    bounded), and the documents are read once for each block, without a shuffle. An item that is contained shares at
-    least a fifth of its window's shingles, so ``values`` = 48 MinHash values miss it with a probability below 0.0001;
-    shorter and fuller overlaps are missed far less often.
+    bounded), and the documents are read once for each block, without a shuffle. Items of up to 8 different shingles are
+    looked up by shingles and never missed. A longer item that is contained has a similarity of 0.19 or more with its
+    window, so ``values`` = 48 MinHash values miss it with a probability below 0.0001; fuller overlaps far less often.
 
     Null and empty documents contain nothing; null and empty items are in no document; an item of fewer words than a
     shingle is one shingle, which only a document of the same few words has. Repeated documents and items give
