@@ -5,11 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 from parley.llm.contamination import CONTAINED_SQL, contained_items
 from parley.llm.dictionary_quality import quality_digest
+from parley.llm.divergence import DIVERGENCE_SQL, rules_digest
+from parley.llm.fill_in_middle import MIDDLE_SQL, middle_digest
 from parley.llm.lattice import embedding_links
 from parley.llm.line_spread import LINES_SQL, line_digest
 from parley.llm.piece_dropout import segmentation_digest
 from parley.llm.preferences import PREFERENCES_SQL, preference_digest
 from parley.llm.simhash import simhash_groups
+from parley.llm.spelling_variants import VARIANTS_SQL, spelling_variants
 from parley.llm.token_counts import token_counts
 from parley.llm.toxicity import toxicity_digest
 from parley.llm.url_rules import judge_urls
@@ -59,8 +62,22 @@ def op10_piece_dropout(spark, sf):
     return segmentation_digest(table(spark, sf, "documents"))
 
 
+def op11_fill_in_middle(spark, sf):
+    return middle_digest(table(spark, sf, "documents"))
+
+
+def op12_spelling_variants(spark, sf):
+    return spelling_variants(table(spark, sf, "documents"))
+
+
+def op13_divergence(spark, sf):
+    return rules_digest(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_preferences, op2_token_counts, op3_simhash, op4_line_spread, op5_lattice, op6_url_rules, op7_toxicity,
-    op8_contamination, op9_dictionary_quality, op10_piece_dropout)} | {"pipeline": corpus_pipeline.run}
+    op8_contamination, op9_dictionary_quality, op10_piece_dropout,
+    op11_fill_in_middle, op12_spelling_variants, op13_divergence)} | {"pipeline": corpus_pipeline.run}
 # None of the others can be written in SQL; tests/llm holds them against brute force.
-ORACLE = {"op1_preferences": PREFERENCES_SQL, "op4_line_spread": LINES_SQL, "op8_contamination": CONTAINED_SQL}
+ORACLE = {"op1_preferences": PREFERENCES_SQL, "op4_line_spread": LINES_SQL, "op8_contamination": CONTAINED_SQL,
+          "op11_fill_in_middle": MIDDLE_SQL, "op12_spelling_variants": VARIANTS_SQL, "op13_divergence": DIVERGENCE_SQL}
