@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import types as T
+
 from parley.operators.shaping import unique_names
+from parley.sources.quoted_csv import has_open_lines, header_of, read_quoted_csv
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "ndjson": "json", "jsonl": "json"}
 
@@ -17,29 +20,42 @@ def read_table(spark: SparkSession, path: str, schema=None, multiline: bool | No
     """Read CSV, Parquet or JSON, chosen by the extension of the path; any other extension is refused.
 
     A ``.json`` file is one array document unless ``multiline`` is False; ``.ndjson`` and ``.jsonl`` files hold one
-    document per line and can be split between tasks. CSV can be split too, unless ``multiline`` says that cells hold
-    line breaks; then a file is one task. With a ``schema`` the data is not scanned for types first.
+    document per line and can be split between tasks. CSV can be split too: whether cells hold line breaks is found out
+    by counting quotes, and if so records are put together from lines (``sources/quoted_csv.py``). ``multiline`` False
+    says that no cell does, and saves the count; True leaves it to Spark's reader, which takes one task a file. With a
+    ``schema`` the data is not scanned for types first.
     """
     ext = extension(path)
     if ext not in FORMATS:
         raise ValueError(f"unsupported format: {ext or path}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if ext == "csv":
+        if multiline is None and has_open_lines(spark, path):
+            return read_quoted_csv(spark, path, unique_names(_header(spark, path)), _struct(schema))
         return reader.csv(path, header=True, inferSchema=schema is None, multiLine=bool(multiline), quote='"', escape='"')
     if ext == "parquet":
         return reader.parquet(path)
     return reader.json(path, multiLine=(ext == "json") if multiline is None else multiline)
 
 
-def read_csv_unique_names(spark: SparkSession, path: str, schema=None, multiline: bool = False) -> DataFrame:
+def _struct(schema) -> T.StructType | None:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    return [c if c is not None else f"_c{i}" for i, c in enumerate(header_of(spark, path))]
+
+
+def read_csv_unique_names(spark: SparkSession, path: str, schema=None, multiline: bool | None = None) -> DataFrame:
     """CSV whose header may repeat a name; the header is read as data, so no name is changed by the reader.
 
     ``schema`` gives the types in order (its names do not count); ``multiline`` as in ``read_table``.
     """
-    header = spark.read.csv(path, header=False, multiLine=multiline, quote='"', escape='"').first()
-    names = unique_names([c if c is not None else f"_c{i}" for i, c in enumerate(header)])
+    names, made = unique_names(_header(spark, path)), _struct(schema)
+    if multiline is None and has_open_lines(spark, path):
+        return read_quoted_csv(spark, path, names, made).toDF(*names)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.csv(path, header=True, inferSchema=schema is None, multiLine=multiline, quote='"',
+    return reader.csv(path, header=True, inferSchema=schema is None, multiLine=bool(multiline), quote='"',
                       escape='"').toDF(*names)
 
 

@@ -98,14 +98,14 @@ def _(spark, sf):
 @query("dedupe_csv_header", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS id_1 FROM supplier")
 def _(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    header = spark.range(1).select(F.lit(0).alias("o"), F.lit("id,name,id").alias("value"))
-    # One text file: the header line, then the rows.
-    lines = header.unionByName(s.select(F.lit(1).alias("o"), F.concat_ws(
+    # Four text files of rows dealt by key, each with the header in front.
+    header = spark.range(4).select(F.col("id").alias("p"), F.lit(0).alias("o"), F.lit("id,name,id").alias("value"))
+    lines = header.unionByName(s.select(F.pmod("s_suppkey", F.lit(4)).cast("bigint").alias("p"), F.lit(1).alias("o"), F.concat_ws(
         ",", F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), "s_name", F.lit('"')),
         F.col("s_acctbal").cast("string")).alias("value")))
     path = _folder(spark, "csv")
-    lines.repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)
-    return read_csv_unique_names(spark, path).select(F.col("id").cast("bigint"), "name", F.col("id_1").cast("double"))
+    lines.repartition("p").sortWithinPartitions("p", "o").select("p", "value").write.partitionBy("p").text(path)
+    return read_csv_unique_names(spark, f"{path}/*").select(F.col("id").cast("bigint"), "name", F.col("id_1").cast("double"))
 
 
 @query("limit_scope", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
