@@ -79,10 +79,8 @@ class Merger:
             raise ValueError("pieces with a blank behind a letter are not supported")
 
     def dropped(self, variant, start, middle, end, made):
-        x = scramble(np.asarray(variant, _U) * _U(0x9E3779B97F4A7C15) + _U(self.seed & (2**64 - 1)))
-        x = scramble(x ^ (np.asarray(start, _U) << _U(42) | np.asarray(middle, _U) << _U(21) | np.asarray(end, _U)))
-        x = scramble(x + np.asarray(made, _U))
-        return (x >> _U(11)).astype(np.float64) * 2.0**-53 < self.dropout
+        key = scramble(np.asarray(variant, _U) * _U(0x9E3779B97F4A7C15) + _U(self.seed & (2**64 - 1)))
+        return self._skips(key, *(np.asarray(x) for x in (start, middle, end, made)))
 
     def _fill(self, keys, made):
         """A hash table of the merges: each key at the first free place from its own on."""
@@ -117,71 +115,116 @@ class Merger:
         out[(a < 0) | (b < 0)] = -1
         return out
 
-    def _scores(self, sym, nxt, start, middle, end, chunk, variants, seen):
-        """Piece and score of candidates; those that make no piece or are dropped have no score."""
-        made = self.lookup(sym, nxt)
+    def pairs(self, sym, chunk_end):
+        """Piece and score of each symbol with the next one of its chunk; no score where they make no piece."""
+        made = np.full(len(sym), -1, np.int32)
+        at = np.flatnonzero(~chunk_end)
+        made[at] = self.lookup(sym[at], sym[at + 1])
+        score = np.full(len(sym), -np.inf, np.float32)
         on = np.flatnonzero(made >= 0)
-        score = np.full(len(made), -np.inf, np.float32)
-        if seen is not None:
-            seen.append((chunk[on], start[on], middle[on], end[on], made[on]))
-        if self.dropout > 0 and variants is not None and len(on):
-            on = on[~self.dropped(variants[chunk[on]], start[on], middle[on], end[on], made[on])]
         score[on] = self.score[made[on]]
         return made, score
 
-    def merge_all(self, sym: np.ndarray, offsets: np.ndarray, variants: np.ndarray | None, seen: list | None = None):
-        """Final symbols, their chunk and their start, of many short chunks at once.
+    def walk(self, sym: np.ndarray, offsets: np.ndarray, of: np.ndarray, variants: np.ndarray | None):
+        """Segmentations of occurrences: occurrence k is chunk ``of[k]`` (short), dealt by ``variants[k]``; without
+        variants nothing is skipped. ``sym`` holds the characters of all chunks one behind the other.
 
-        ``sym`` holds the characters of all chunks one behind the other. In every round each chunk makes its best
-        merge; chunks without one are done and leave. Without ``variants`` nothing is skipped; ``seen`` receives the
-        candidates that were looked at (chunk, start, middle, end, piece).
+        All occurrences of a chunk go down one decision tree, level by level. A node is a chunk, its segmentation so
+        far, the candidates skipped so far and so the next candidate, the best one left; its two edges are "taken" and
+        "skipped". Symbols and scores are worked out once a node, an occurrence costs one hash a node it visits, and
+        only edges that an occurrence takes are made. A node without a candidate is an end.
+
+        Returns ``ids, start, ends, of_end, skipped``: final symbols and their starts of all ends, the ends' offsets, the
+        end of each occurrence, and whether it skipped a candidate.
         """
-        size = offsets[1:] - offsets[:-1]
-        chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        start = (np.arange(len(sym)) - offsets[:-1][chunk]).astype(np.int32)
-        end = start + 1
-        score = np.full(len(sym), -np.inf, np.float32)
-        made = np.full(len(sym), -1, np.int32)
-        at = np.flatnonzero(chunk[1:] == chunk[:-1])
-        made[at], score[at] = self._scores(sym[at], sym[at + 1], start[at], start[at + 1], end[at + 1], chunk[at], variants, seen)
-        done, alive = [], np.ones(len(sym), bool)
-        head = None
-        while len(sym):
-            if head is None:
-                new = np.concatenate(([True], chunk[1:] != chunk[:-1]))
-                head, index = np.flatnonzero(new), np.arange(len(sym))
-                width = np.diff(np.append(head, len(sym)))
-                before, behind = np.where(new, -1, index - 1), np.where(np.append(new[1:], True), -1, index + 1)
-            best = np.maximum.reduceat(score, head)
+        width = offsets[1:] - offsets[:-1]
+        start = (np.arange(len(sym)) - np.repeat(offsets[:-1], width)).astype(np.int32)
+        last = np.zeros(len(sym), bool)
+        last[offsets[1:][width > 0] - 1] = True
+        made, score = self.pairs(sym, last)
+        sym, end = sym.astype(np.int32), start + 1
+        node, place = of.astype(np.int64), np.arange(len(of))  # of the occurrences still on their way
+        of_end, skipped = np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+        key = None
+        if variants is not None and self.dropout > 0:
+            key = scramble(variants.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(self.seed & (2**64 - 1)))
+        done, n_ends = [], 0
+        while len(width):
+            head = np.cumsum(width) - width
+            best = np.full(len(width), -np.inf, np.float32)
+            full = np.flatnonzero(width > 0)
+            if len(full):
+                best[full] = np.maximum.reduceat(score, head[full])
             live = best > -np.inf
-            if live.sum() < 0.7 * len(live) or not live.any():  # finished chunks leave, merged symbols with them
-                on = np.repeat(live, width)
-                out = alive & ~on
-                done.append((sym[out], chunk[out], start[out]))
-                on &= alive
-                sym, chunk, start, end, made, score = (x[on] for x in (sym, chunk, start, end, made, score))
-                alive, head = np.ones(len(sym), bool), None
-                continue
-            best[~live] = np.inf
-            hit = np.flatnonzero(score == np.repeat(best, width))
-            hit = hit[np.concatenate(([True], chunk[hit[1:]] != chunk[hit[:-1]]))]  # the leftmost of a chunk's best
-            right = behind[hit]
-            sym[hit], end[hit], alive[right], score[right] = made[hit], end[right], False, -np.inf
-            after = behind[right]
-            behind[hit] = after
-            score[hit] = -np.inf
-            inner = after >= 0
-            before[after[inner]] = hit[inner]
-            first = before[hit]
-            left = np.concatenate((first[first >= 0], hit[inner]))
-            right = behind[left]
-            made[left], score[left] = self._scores(sym[left], sym[right], start[left], start[right], end[right],
-                                                   chunk[left], variants, seen)
-        sym, chunk, start = (np.concatenate(x) for x in zip(*done)) if done else (sym, sym, sym)
-        order = np.argsort(chunk, kind="stable")
-        return sym[order], chunk[order], start[order]
-
-    def merge_one(self, sym: list[int], variant: int) -> tuple[list[int], list[int]]:
+            # Ends: their symbols leave, and so do the occurrences that are there.
+            out = np.flatnonzero(~live)
+            number = np.full(len(width), -1, np.int64)
+            number[out] = n_ends + np.arange(len(out))
+            gone = ~live[node]
+            of_end[place[gone]] = number[node[gone]]
+            n_ends += len(out)
+            at = np.repeat(~live, width)
+            done.append((sym[at], start[at], width[out]))
+            if not live.any():
+                break
+            node, place = node[~gone], place[~gone]
+            # The leftmost of a node's best candidates.
+            hit = np.flatnonzero(score == np.repeat(np.where(live, best, np.inf), width))
+            owner = np.repeat(np.arange(len(width)), width)[hit]
+            first = np.ones(len(hit), bool)
+            first[1:] = owner[1:] != owner[:-1]
+            hit, owner = hit[first], owner[first]
+            cand = np.full(len(width), -1, np.int64)
+            cand[owner] = hit
+            # Taken or skipped, occurrence by occurrence.
+            edge = 2 * node
+            if key is not None:
+                c = cand[node]
+                skip = self._skips(key[place], start[c], start[c + 1], end[c + 1], made[c])
+                skipped[place[skip]] = True
+                edge += skip
+            here = np.zeros(2 * len(width), bool)
+            here[edge] = True
+            edges = np.flatnonzero(here)
+            child = np.cumsum(here) - 1
+            node = child[edge]
+            # Children: the parent's symbols, with the candidate merged or its score gone.
+            parent = edges >> 1
+            (sym, start, end, made, score), offset = self._copies((sym, start, end, made, score), head, width, parent)
+            spot = offset + cand[parent] - head[parent]
+            width = width[parent].copy()
+            taken = np.flatnonzero(edges & 1 == 0)
+            score[spot[edges & 1 == 1]] = -np.inf
+            t = spot[taken]
+            sym[t], end[t] = made[t], end[t + 1]
+            stay = np.ones(len(sym), bool)
+            stay[t + 1] = False
+            # The next symbol of a merged one lies two on, as the one between is about to leave.
+            tail, lead = t + 2 < (offset + width)[taken], t > offset[taken]
+            score[t] = -np.inf
+            made[t] = -1
+            left, right = np.concatenate((t[tail], t[lead] - 1)), np.concatenate((t[tail] + 2, t[lead]))
+            new = self.lookup(sym[left], sym[right])
+            made[left] = new
+            score[left] = np.where(new >= 0, self.score[new], -np.inf)
+            width[taken] -= 1
+            sym, start, end, made, score = (x[stay] for x in (sym, start, end, made, score))
+        ids, start, size = (np.concatenate(x) for x in zip(*done)) if done else (sym, start, np.zeros(0, np.int64))
+        return ids, start, np.concatenate(([0], np.cumsum(size))), of_end, skipped
+
+    @staticmethod
+    def _copies(columns, head, width, pick):
+        size = width[pick]
+        offset = np.cumsum(size) - size
+        at = np.repeat(head[pick] - offset, size) + np.arange(int(size.sum()))
+        return tuple(x[at] for x in columns), offset
+
+    def _skips(self, key, start, middle, end, made):
+        x = scramble(key ^ (start.astype(_U) << _U(42) | middle.astype(_U) << _U(21) | end.astype(_U)))
+        x = scramble(x + made.astype(_U))
+        return (x >> _U(11)).astype(np.float64) * 2.0**-53 < self.dropout
+
+    def merge_one(self, sym: list[int], variant: int | None) -> tuple[list[int], list[int]]:
         """Final symbols and their starts of one long chunk, with an agenda on a heap."""
         sym = list(sym)
         n = len(sym)
@@ -195,7 +238,7 @@ class Merger:
                 return
             s, m, made = (np.array(x) for x in zip(*pairs))
             e = np.array([end[x] for x in m])
-            gone = (self.dropped(np.full(len(s), variant, np.uint64), s, m, e, made) if self.dropout > 0
+            gone = (self.dropped(np.full(len(s), variant, np.uint64), s, m, e, made) if self.dropout > 0 and variant is not None
                     else np.zeros(len(s), bool))
             for k in np.nonzero(~gone)[0]:
                 heapq.heappush(agenda, (-self.score[made[k]], int(s[k]), int(m[k]), int(e[k]), int(made[k])))
@@ -213,51 +256,52 @@ class Merger:
         return [sym[k] for k in starts], starts
 
     def undropped(self, points: np.ndarray, offsets: np.ndarray, of: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """Whether an occurrence, of chunk ``of`` and with its own variant, skips none of the candidates that its chunk
-        has without dropout, so that it is segmented as without dropout. Long chunks are not looked at (False)."""
+        """Whether an occurrence, of chunk ``of`` and with its own variant, skips none of the candidates on its way, so
+        that it is segmented as without dropout. Long chunks are not looked at (False)."""
         size = offsets[1:] - offsets[:-1]
         short = np.flatnonzero(size <= LONG)
         flat, ends = gather(self.symbol[points], offsets, short)
-        seen: list = []
-        self.merge_all(flat, ends, None, seen)
-        chunk, start, middle, end, made = (np.concatenate(x) for x in zip(*seen)) if seen else [np.zeros(0, np.int64)] * 5
-        order = np.argsort(chunk, kind="stable")
-        chunk = short[chunk[order]]
-        cells = np.concatenate(([0], np.cumsum(np.bincount(chunk, minlength=len(size)))))
-        start, middle, end, made = (x[order] for x in (start, middle, end, made))
-        same = size[of] <= LONG
-        left, number = np.flatnonzero(same), 0
-        while len(left):  # one more candidate of each; those that skip it leave
-            more = left[cells[of[left]] + number < cells[of[left] + 1]]
-            c = cells[of[more]] + number
-            gone = more[self.dropped(variants[more], start[c], middle[c], end[c], made[c])]
-            same[gone] = False
-            left, number = more[same[more]], number + 1
-        return same
-
-    def segment(self, points: np.ndarray, offsets: np.ndarray, variants: np.ndarray):
-        """Piece ids, and their offsets, of chunks given by their characters; what is no piece is spelled in bytes."""
+        out = size[of] <= LONG
+        out[out] = ~self.walk(flat, ends, np.searchsorted(short, of[out]), variants[out])[4]
+        return out
+
+    def segment(self, points: np.ndarray, offsets: np.ndarray, of: np.ndarray, variants: np.ndarray | None):
+        """Piece ids and their offsets of segmentations, and the segmentation of each occurrence (chunk ``of`` of those
+        given by their characters, dealt by ``variants``); what is no piece is spelled in bytes."""
         sym = self.symbol[points]
         size = offsets[1:] - offsets[:-1]
         short = np.flatnonzero(size <= LONG)
         flat, ends = gather(sym, offsets, short)
-        ids, chunk, start = self.merge_all(flat, ends, variants[short])
-        chunk = short[chunk]
-        for k in np.flatnonzero(size > LONG):
-            i, s = self.merge_one(sym[offsets[k]: offsets[k + 1]].tolist(), int(variants[k]))
-            ids, chunk, start = (np.concatenate(p) for p in ((ids, i), (chunk, np.full(len(i), k)), (start, s)))
-        order = np.argsort(chunk, kind="stable")
-        ids, chunk, start = ids[order], chunk[order], start[order]
+        few = size[of] <= LONG
+        near = np.flatnonzero(few)
+        ids, start, at, end, _ = self.walk(flat, ends, np.searchsorted(short, of[near]), None if variants is None else variants[near])
+        index = np.zeros(len(of), np.int64)
+        index[near] = end
+        # Where a segmentation's chunk begins, to find the characters that are no piece.
+        begin = np.zeros(len(at) - 1, np.int64)
+        begin[end] = offsets[of[near]]
+        ids, start, widths, begin = [ids], [start], [at[1:] - at[:-1]], [begin]
+        n = len(widths[0])
+        for k in np.flatnonzero(~few).tolist():
+            i, s = self.merge_one(sym[offsets[of[k]]: offsets[of[k] + 1]].tolist(), None if variants is None else int(variants[k]))
+            ids.append(np.array(i, np.int32))
+            start.append(np.array(s, np.int32))
+            widths.append(np.array([len(i)]))
+            begin.append(np.array([offsets[of[k]]]))
+            index[k], n = n, n + 1
+        ids, start, widths, begin = (np.concatenate(x) for x in (ids, start, widths, begin))
         odd = np.flatnonzero(ids < 0)
         if len(odd):
-            char = points[offsets[chunk[odd]] + start[odd]]
+            owner = np.repeat(np.arange(n), widths)
+            char = points[begin[owner[odd]] + start[odd]]
             spelled = {c: [self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in set(char.tolist())}
             times = np.ones(len(ids), np.int64)
             times[odd] = [len(spelled[c]) for c in char.tolist()]
             place = np.repeat(ids < 0, times)
-            ids, chunk = np.repeat(ids, times), np.repeat(chunk, times)
+            ids, owner = np.repeat(ids, times), np.repeat(owner, times)
             ids[place] = [i for c in char.tolist() for i in spelled[c]]
-        return ids, np.concatenate(([0], np.cumsum(np.bincount(chunk, minlength=len(size)))))
+            widths = np.bincount(owner, minlength=n)
+        return ids, np.concatenate(([0], np.cumsum(widths))), index
 
     def chunk_starts(self, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Where to cut: no merge reaches over these places. A blank starts a chunk with what follows it, and so does
@@ -272,8 +316,8 @@ class Merger:
     def encode(self, texts: list[str], keys: list, variants: int = 0):
         """Piece ids of texts, and their offsets.
 
-        Every occurrence of a chunk has its own variant; those which skip nothing of what the chunk's segmentation
-        without dropout looks at share that one. With ``variants`` above 0 there are only so many for each chunk.
+        Every occurrence of a chunk has its own variant; all of them share the chunk's decision tree (``walk``). With
+        ``variants`` above 0 there are only so many for each chunk.
         """
         lead = [" " + t if t else "" for t in texts]
         points = code_points("".join(lead))
@@ -287,24 +331,12 @@ class Merger:
         seeds = np.array([xxhash.xxh64_intdigest(str(k).encode("utf-8", "surrogatepass"), self.seed) for k in keys], _U)
         place = np.arange(len(starts)) - np.searchsorted(starts, edges[:-1])[doc]
         variant = scramble(place.astype(_U) * _U(0x9E3779B97F4A7C15) + seeds[doc])
-        if self.dropout <= 0:
-            value, index, own = seen, of, np.zeros(len(seen), _U)
-        elif variants > 0:
-            pair, index = np.unique(of * variants + (variant % _U(variants)).astype(np.int64), return_inverse=True)
-            value, own = seen[pair // variants], (pair % variants).astype(_U)
+        chars, offsets = gather(points, np.append(starts, len(points)), seen)
+        if self.dropout <= 0:  # all occurrences of a chunk are alike
+            ids, at, index = self.segment(chars, offsets, np.arange(len(seen)), None)
+            index = index[of]
         else:
-            chars, offsets = gather(points, np.append(starts, len(points)), seen)
-            same = self.undropped(chars, offsets, of, variant)
-            # The first of the occurrences that share one is segmented for all of them.
-            lead_of = np.full(len(seen), -1)
-            shared = np.flatnonzero(same)[::-1]
-            lead_of[of[shared]] = shared
-            value = np.union1d(np.flatnonzero(~same), lead_of[lead_of >= 0])
-            index, own = np.searchsorted(value, np.where(same, lead_of[of], np.arange(len(of)))), variant[value]
-        size = ends[value] - starts[value]
-        chars, offsets = gather(points, np.append(starts, len(points)), value)
-        assert len(chars) == size.sum()
-        ids, at = self.segment(chars, offsets, own)
+            ids, at, index = self.segment(chars, offsets, of, variant % _U(variants) if variants > 0 else variant)
         ids, at = gather(ids, at, index)
         return ids, at[np.searchsorted(starts, edges)]
 
