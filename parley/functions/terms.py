@@ -115,8 +115,8 @@ def pattern_word_positions(pattern: Column, lowered: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["at"])
 
 
-def within_distance(left: Column, right: Column, n: int | Column) -> Column:
-    """Whether some entry of ``left`` and some entry of ``right`` are at most ``n`` apart.
+def within_distance(left: Column, right: Column, n: int | Column, least: int = 0) -> Column:
+    """Whether some entry of ``left`` and some entry of ``right`` are at most ``n`` and at least ``least`` (0 or 1) apart.
 
     In the merged order the closest such pair stands side by side, so neighbours are all there is to compare.
     """
@@ -127,7 +127,7 @@ def within_distance(left: Column, right: Column, n: int | Column) -> Column:
     zero = F.struct(F.lit(0).alias("p"), F.lit(-1).alias("side"), F.lit(False).alias("near"))
 
     def step(acc, x):
-        close = (acc["side"] >= 0) & (acc["side"] != x["side"]) & (x["p"] - acc["p"] <= n)
+        close = (acc["side"] >= 0) & (acc["side"] != x["side"]) & (x["p"] - acc["p"] <= n) & (x["p"] - acc["p"] >= least)
         return F.struct(x["p"].alias("p"), x["side"].alias("side"), (acc["near"] | close).alias("near"))
 
     return F.aggregate(merged, zero, step, lambda acc: acc["near"])

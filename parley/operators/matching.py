@@ -4,12 +4,15 @@ The rule list is configuration: it is read once and becomes constants of the pla
 over the texts for any number of rules - no shuffle, no join, no id, and the same plan for a batch and for a stream.
 
 A text is decided by looking up, never by trying all rules: its words lead to the terms which contain them, the terms
-that occur lead to the rules which ask for them, and only those rules are decided. The expressions are the same for
-one rule and for many; only the constants grow.
+that occur lead to the rules which ask for them, and only those rules are decided. What rules ask about places is worked
+out once a text: where the terms stand that distances are asked of, and which terms stand in its first or last words or
+are said by a speaker. Rules then compare numbers. The expressions are the same for one rule and for many; only the
+constants grow.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -30,7 +33,7 @@ from parley.functions.terms import (
     term_words,
     within_distance,
 )
-from parley.functions.text import SPEAKERS, as_text, has_speaker_label, speaker_text, word_tokens, words
+from parley.functions.text import SPACE_CLASS, SPEAKERS, WORD_CLASS, as_text, has_speaker_label, speaker_text
 from parley.operators.rules import rules_from_dicts, score_rules
 
 
@@ -88,10 +91,14 @@ PREFIX = 3
 
 
 def _key(term: str) -> str | None:
-    """What a text must have to hold the term: a whole word, or a word that begins with ``abc`` (written ``abc*``);
-    None if neither can be told."""
+    """What a text must have to hold the term: two words in a row, a whole word, or a word that begins with ``abc``
+    (written ``abc*``); None if none of them can be told."""
     if is_plain_word(term):
         return term
+    runs = ["".join(g) for inside, g in itertools.groupby(term, lambda c: c == "*" or is_word_char(c)) if inside]
+    rows = [f"{a} {b}" for a, b in itertools.pairwise(runs) if "*" not in a + b]
+    if rows:
+        return max(rows, key=len)
     whole = term_words(term)
     if whole:
         return max(whole, key=len)
@@ -99,6 +106,11 @@ def _key(term: str) -> str | None:
     return run[:PREFIX] + "*" if len(run) >= PREFIX and all(is_word_char(c) for c in run) else None
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Index:
     """The constants: keys to terms, terms, terms to rules, rules."""
 
@@ -108,79 +120,191 @@ class Index:
         def no(term):
             return number.setdefault(clean_term(term), len(number))
 
-        entries, of_term = [], defaultdict(list)
+        entries, of_term, windows = [], defaultdict(list), {}
+        near_terms, wide_terms, self.speakers = set(), set(), []
         for place, r in enumerate(rules):
             terms = [no(t) for t in r.terms]
             for t in dict.fromkeys(terms):
                 of_term[t].append(place)
             ops = [(r.operators[i].upper() if i < len(r.operators) else "AND") for i in range(len(terms) - 1)]
-            gap = r.proximity or 5
-            pairs = [(r.terms[i], r.terms[i + 1]) if op == "NEAR" else None for i, op in enumerate(ops)]
+            gap, near, far = r.proximity or 5, [], []
+            for i, op in enumerate(ops):
+                pair = (r.terms[i], r.terms[i + 1]) if op == "NEAR" else None
+                plain = pair is not None and all(is_plain_word(t) for t in pair)
+                if plain:
+                    (near_terms if gap <= 5 else wide_terms).update((terms[i], terms[i + 1]))
+                near.append(near_pattern(*pair, gap) if pair and gap <= 5 and not plain else None)
+                far.append([term_pattern(t) for t in pair] if pair and gap > 5 and not plain else None)
+            who = (r.sent_by or "").lower() if (r.sent_by or "").lower() in SPEAKERS else None
+            if who and who not in self.speakers:
+                self.speakers.append(who)
+            window = None
+            if r.position in ("START", "END"):
+                window = windows.setdefault((r.position, r.within_words), len(windows))
             entries.append({
-                "terms": terms, "ops": ["NOT" if op == "NOT LIKE" else op for op in ops], "gap": gap,
-                "near": [near_pattern(*p, gap) if p and gap <= 5 else None for p in pairs],
-                "far": [[term_pattern(t) for t in p] if p and gap > 5 else None for p in pairs],
-                "without": [no(t) for t in r.exclude_if if clean_term(t)], "first": term_pattern(r.terms[0]),
-                "position": r.position if r.position in ("START", "END") else None, "n": r.within_words,
-                "who": (r.sent_by or "").lower() if (r.sent_by or "").lower() in SPEAKERS else None})
+                "terms": terms, "ops": ["NOT" if op == "NOT LIKE" else op for op in ops], "gap": gap, "near": near, "far": far,
+                "without": [no(t) for t in r.exclude_if if clean_term(t)], "window": window,
+                "who": self.speakers.index(who) if who else None})
         self.rules = entries
+        self.windows = [{"start": w == "START", "n": n} for w, n in windows]
+        # Terms for which windows, or what speakers say, have to be looked at.
+        self.in_window = sorted({e["terms"][0] for e in entries if e["window"] is not None})
+        self.spoken = sorted({e["terms"][0] for e in entries if e["who"] is not None})
         self.of_term = [of_term[t] for t in range(len(number))]
+        self.near, self.wide = bool(near_terms), bool(wide_terms)
         self.terms, self.loose, keyed = [], [], defaultdict(list)
         for t, i in number.items():
             plain, key = is_plain_word(t), _key(t)
-            self.terms.append({"words": [] if plain else [w for w in dict.fromkeys(term_words(t)) if w != key],
+            self.terms.append({"words": [] if plain else [w for w in dict.fromkeys(term_words(t)) if w not in (key or "").split(" ")],
                                "parts": [x for x in t.split("*") if x] if "*" in t else [],
-                               "pattern": None if plain else term_pattern(t)})
+                               "ends": self._ends(t), "literal": None if plain or "*" in t else t,
+                               "pattern": None if plain or self._ends(t) else term_pattern(t),
+                               "word": t if i in near_terms or i in wide_terms else None,
+                               "near": i in near_terms, "wide": i in wide_terms})
             (self.loose if key is None else keyed[key]).append(i)
         self.prefixes = any(k.endswith("*") for k in keyed)
         self.size = 2 * len(keyed) + 1
         self.buckets = [[] for _ in range(self.size)]
-        for key, terms in keyed.items():
-            self.buckets[zlib.crc32(key.encode()) % self.size].append({"k": key, "t": terms})
+        for key, terms in keyed.items():  # two words in a row are kept with the first of them
+            word, _, behind = key.partition(" ")
+            self.buckets[zlib.crc32(word.encode()) % self.size] += [{"k": word, "behind": behind or None, "t": t} for t in terms]
+
+    @staticmethod
+    def _ends(term: str) -> dict | None:
+        """For one word with one star: what it begins and ends with, and its least length."""
+        parts = term.split("*")
+        if len(parts) == 2 and any(parts) and all(is_word_char(c) for x in parts for c in x):
+            return {"a": parts[0], "b": parts[1], "n": len(term) - 1}
+        return None
+
+    def _terms(self) -> Column:
+        return constant(self.terms, "array<struct<words:array<string>,parts:array<string>,ends:struct<a:string,b:string,n:int>,"
+                                    "literal:string,pattern:string,word:string,near:boolean,wide:boolean>>")
 
     def found(self, tokens: Column, lowered: Column) -> Column:
-        """Numbers of the terms which a text holds; ``tokens`` are its distinct words."""
-        buckets = constant(self.buckets, "array<array<struct<k:string,t:array<int>>>>")
-        terms = constant(self.terms, "array<struct<words:array<string>,parts:array<string>,pattern:string>>")
+        """Numbers of the terms which a text holds; ``tokens`` are its words in order."""
+        return _let(F.array_distinct(tokens), lambda some: self._found(tokens, some, lowered))
+
+    def _found(self, in_order: Column, tokens: Column, lowered: Column) -> Column:
+        buckets = constant(self.buckets, "array<array<struct<k:string,behind:string,t:int>>>")
+        terms = self._terms()
 
-        def asked(key):
+        def asked(key, behind):
             bucket = F.get(buckets, (F.crc32(key) % self.size).cast("int"))
-            return F.flatten(F.transform(F.filter(bucket, lambda e: e["k"] == key), lambda e: e["t"]))
+            return F.transform(F.filter(bucket, lambda e: (e["k"] == key) & (e["behind"].isNull() | F.coalesce(
+                e["behind"] == behind, F.lit(False)))), lambda e: e["t"])
 
-        keys = tokens
+        if any(e["behind"] for b in self.buckets for e in b):
+            lists = F.transform(in_order, lambda w, i: asked(w, F.get(in_order, i + 1)))
+        else:
+            lists = F.transform(tokens, lambda w: asked(w, F.lit(None).cast("string")))
         if self.prefixes:
             starts = F.transform(F.filter(tokens, lambda w: F.length(w) >= PREFIX), lambda w: F.substring(w, 1, PREFIX))
-            keys = F.concat(keys, F.transform(F.array_distinct(starts), lambda x: F.concat(x, F.lit("*"))))
+            lists = F.concat(lists, F.transform(F.array_distinct(starts), lambda x: asked(F.concat(x, F.lit("*")), F.lit(None).cast("string"))))
+
+        def bounded(e):
+            """The first occurrence of a literal stands between word boundaries; the pattern is for those that do not."""
+            at, t = F.instr(lowered, e["literal"]), e["literal"]
+
+            def word(c):
+                return F.rlike(c, F.lit(f"[{WORD_CLASS}]"))
+
+            left = word(F.substring(lowered, at - 1, F.lit(1))) & (at > 1)
+            right = word(F.substring(lowered, at + F.length(t), F.lit(1)))
+            return (at > 0) & (left != word(F.substring(t, 1, 1))) & (right != word(F.substring(t, F.length(t), F.lit(1))))
 
         def occurs(t):
             e = F.get(terms, t)
+            ends = e["ends"]
             return (F.forall(e["words"], lambda w: F.array_contains(tokens, w))
                     & F.forall(e["parts"], lambda x: F.contains(lowered, x))
-                    & (e["pattern"].isNull() | F.rlike(lowered, e["pattern"])))
+                    & (ends.isNull() | F.exists(tokens, lambda w: F.startswith(w, ends["a"]) & F.endswith(w, ends["b"])
+                                                & (F.length(w) >= ends["n"])))
+                    & (e["literal"].isNull() | F.contains(lowered, e["literal"]))
+                    & (e["pattern"].isNull() | F.coalesce(bounded(e), F.lit(False)) | F.rlike(lowered, e["pattern"])))
 
-        candidates = F.flatten(F.transform(keys, asked))
+        candidates = F.array_distinct(F.flatten(lists))
         if self.loose:
             candidates = F.concat(candidates, constant(self.loose, "array<int>"))
         return F.filter(candidates, occurs)
 
-    def matching(self, found: Column, text: Column, lowered: Column) -> Column:
+    def places(self, found: Column, tokens: Column, lowered: Column) -> Column:
+        """Where those of the found words stand that distances are asked of: ``t``, ``at`` (numbers of the words, for
+        short distances) and ``wide`` (how many white-space words begin before it, for long ones)."""
+        terms = self._terms()
+
+        def at(word):
+            return F.filter(F.transform(tokens, lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
+
+        def inside(w, k, word):  # the words of a white-space word; its first one begins where it does, or behind a mark
+            cut = F.split(w, f"[^{WORD_CLASS}]+", -1)
+            return F.filter(F.transform(cut, lambda x, i: F.when(x == word, k + F.when(i > 0, 1).otherwise(0))), lambda i: i.isNotNull())
+
+        def wide(word, cut):
+            some = F.filter(F.transform(cut, lambda w, k: F.when(F.contains(w, word), F.struct(w.alias("w"), k.alias("k")))),
+                            lambda x: x.isNotNull())
+            return F.flatten(F.transform(some, lambda x: inside(x["w"], x["k"], word)))
+
+        none = F.array().cast("array<int>")
+
+        def each(asked, cut):
+            return F.transform(asked, lambda t: F.struct(
+                t.alias("t"),
+                (F.when(F.get(terms, t)["near"], at(F.get(terms, t)["word"])).otherwise(none) if self.near else none).alias("at"),
+                (F.when(F.get(terms, t)["wide"], wide(F.get(terms, t)["word"], cut)).otherwise(none) if self.wide else none).alias("wide")))
+
+        def cut_once(asked):
+            if not self.wide:
+                return each(asked, None)
+            needed = F.exists(asked, lambda t: F.get(terms, t)["wide"])
+            return _let(F.when(needed, _words(lowered)), lambda cut: each(asked, cut))
+
+        return _let(F.filter(found, lambda t: F.get(terms, t)["word"].isNotNull()), cut_once)
+
+    def _found_in(self, text: Column) -> Column:
+        return _let(F.lower(text), lambda low: _let(_tokens(low), lambda tokens: self.found(tokens, low)))
+
+    def found_in_windows(self, found: Column, text: Column) -> Column:
+        """For each window (first or last n words), the terms which it holds; worked out only where a rule may ask."""
+        windows = constant(self.windows, "array<struct<start:boolean,n:int>>")
+
+        def cut(all_words):
+            return F.transform(windows, lambda v: self._found_in(F.array_join(F.when(v["start"], F.slice(all_words, F.lit(1), v["n"])).otherwise(
+                F.slice(all_words, F.greatest(F.size(all_words) - v["n"], F.lit(0)) + 1, v["n"])), " ")))
+
+        return F.when(F.arrays_overlap(found, constant(self.in_window, "array<int>")), _let(_words(text), cut))
+
+    def found_by_speakers(self, found: Column, text: Column) -> Column:
+        """For each speaker that rules name, the terms in what they say; null for texts without labels."""
+        said = F.array(*[self._found_in(speaker_text(text, who)) for who in self.speakers])
+        return F.when(F.arrays_overlap(found, constant(self.spoken, "array<int>")) & has_speaker_label(text), said)
+
+    def matching(self, found: Column, lowered: Column, places: Column | None, windows: Column | None, said: Column | None) -> Column:
         """Places (from 0) of the rules which hold, in no order."""
         of_term = constant(self.of_term, "array<array<int>>")
         rules = constant(self.rules, "array<struct<terms:array<int>,ops:array<string>,gap:int,near:array<string>,"
-                                      "far:array<array<string>>,without:array<int>,first:string,position:string,n:int,"
-                                      "who:string>>")
+                                      "far:array<array<string>>,without:array<int>,window:int,who:int>>")
         # A rule can hold only if one of its terms occurs: the first fold is a term, and only OR sets it again.
         asked = F.array_distinct(F.flatten(F.transform(found, lambda t: F.get(of_term, t))))
-        return F.filter(asked, lambda place: self._holds(F.get(rules, place), found, text, lowered))
+        return F.filter(asked, lambda place: self._holds(F.get(rules, place), found, lowered, places, windows, said))
 
-    def _holds(self, r: Column, found: Column, text: Column, lowered: Column) -> Column:
+    def _holds(self, r: Column, found: Column, lowered: Column, places, windows, said) -> Column:
         near = any(x for e in self.rules for x in e["near"])
         far = any(x for e in self.rules for x in e["far"])
 
+        def of(t):
+            return F.get(F.filter(places, lambda p: p["t"] == t), F.lit(0))
+
         def step(state, i):
             """Left to right: each operator joins what came before with the next term."""
-            has, op = F.array_contains(found, F.get(r["terms"], i)), F.get(r["ops"], i - 1)
+            here, before = F.get(r["terms"], i), F.get(r["terms"], i - 1)
+            has, op = F.array_contains(found, here), F.get(r["ops"], i - 1)
             both = state & has
+            if places is not None:
+                by_place = (op == "NEAR") & F.get(r["near"], i - 1).isNull() & F.get(r["far"], i - 1).isNull()
+                close = F.when(r["gap"] <= 5, within_distance(of(before)["at"], of(here)["at"], r["gap"] + 1, least=1)).otherwise(
+                    within_distance(of(before)["wide"], of(here)["wide"], r["gap"]))
+                both = both & (~by_place | F.coalesce(close, F.lit(False)))
             if near:
                 pattern = F.get(r["near"], i - 1)
                 both = both & (pattern.isNull() | F.rlike(lowered, pattern))
@@ -192,19 +316,24 @@ class Index:
 
         test = (F.aggregate(F.sequence(F.lit(0), F.size(r["terms"]) - 1), F.lit(False), step)
                 & ~F.arrays_overlap(r["without"], found))
-        first = F.concat(F.lit("(?i)"), r["first"])
-        if any(e["position"] for e in self.rules):
-            cut, n = words(text), r["n"]
-            window = F.when(r["position"] == "START", F.slice(cut, F.lit(1), n)).otherwise(
-                F.slice(cut, F.greatest(F.size(cut) - n, F.lit(0)) + 1, n))
-            test = test & (r["position"].isNull() | F.rlike(F.array_join(window, " "), first))
-        for who in SPEAKERS:
-            if any(e["who"] == who for e in self.rules):
-                test = test & (r["who"].isNull() | (r["who"] != who) | ~has_speaker_label(text)
-                               | F.rlike(speaker_text(text, who), first))
+        first = F.get(r["terms"], F.lit(0))
+        if windows is not None:
+            test = test & (r["window"].isNull() | F.coalesce(F.array_contains(F.get(windows, r["window"]), first), F.lit(False)))
+        if said is not None:
+            test = test & (r["who"].isNull() | said.isNull() | F.array_contains(F.get(said, r["who"]), first))
         return test
 
 
+def _tokens(low: Column) -> Column:
+    """Maximal runs of word characters, in order; cutting at what lies between is faster than finding them."""
+    return F.array_remove(F.split(low, f"[^{WORD_CLASS}]+", -1), "")
+
+
+def _words(text: Column) -> Column:
+    """White-space separated words, in order."""
+    return F.array_remove(F.split(text, f"[{SPACE_CLASS}]+", -1), "")
+
+
 def _generated(df: DataFrame, rules: list[Rule], text_col: str, result, name: str) -> DataFrame:
     """Add ``result(places of the rules which hold)``.
 
@@ -212,12 +341,19 @@ def _generated(df: DataFrame, rules: list[Rule], text_col: str, result, name: st
     table's own columns goes below, down to the scan.
     """
     index = Index(rules)
-    text, low = F.col("__text"), F.col("__low")
+    text, low, found = F.col("__text"), F.col("__low"), F.col("__found")
     rows = df.withColumn("__text", as_text(text_col)).withColumn("__low", F.lower("__text"))
-    rows = rows.withColumn("__tokens", F.array_distinct(word_tokens(low)))
-    rows = rows.withColumn("__found", index.found(F.col("__tokens"), low))
-    value = result(index.matching(F.col("__found"), text, low))
-    return (rows.withColumn(name, once(value)).drop("__text", "__low", "__tokens", "__found"))
+    rows = rows.withColumn("__tokens", _tokens(low)).withColumn("__found", index.found(F.col("__tokens"), low))
+    made = {}
+    if index.near or index.wide:
+        made["__stand"] = index.places(found, F.col("__tokens"), low)
+    if index.windows:
+        made["__windows"] = index.found_in_windows(found, text)
+    if index.speakers:
+        made["__said"] = index.found_by_speakers(found, text)
+    rows = rows.withColumns(made) if made else rows
+    value = result(index.matching(found, low, *[F.col(c) if c in made else None for c in ("__stand", "__windows", "__said")]))
+    return rows.withColumn(name, once(value)).drop("__text", "__low", "__tokens", "__found", *made)
 
 
 def with_best_rank(df: DataFrame, rules: list[Rule], text_col: str, out: str = "__rank") -> DataFrame:
