@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from parley.llm.spans import distinct, word_spans
 
 SAMPLE = 3000
 PIECE = 512
+LEARN_BYTES = 32_000_000
 NEAR = 4
 BLOCK_BYTES = 8_000_000
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -143,9 +146,21 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return [(bytes(r["_t"] or b""), r["_y"]) for r in rows], known.agg(F.avg("_y")).first()[0]
 
 
-def fit(rows: list[tuple[bytes, int]], share: float | None = None, size: int = 48_000, level: int = 3) -> Dictionaries:
+def pieces(texts: list[bytes], limit: int) -> list[bytes]:
+    """Pieces of ``PIECE`` bytes from all over the texts, whole texts if they have ``limit`` bytes or fewer in all; else
+    those with the smallest hashes of text and place, in order, up to the limit."""
+    places = [(k, at) for k, t in enumerate(texts) for at in range(0, len(t), PIECE)]
+    if sum(map(len, texts)) > limit:
+        places = sorted(sorted(places, key=lambda p: (zlib.crc32(b"%d:%d" % p), p))[: limit // PIECE])
+    return [texts[k][at: at + PIECE] for k, at in places]
+
+
+def fit(rows: list[tuple[bytes, int]], share: float | None = None, size: int = 48_000, level: int = 3,
+        learn_bytes: int = LEARN_BYTES) -> Dictionaries:
     """Dictionaries from two thirds of the rows, the calibrating curve from the rest.
 
+    Dictionaries are trained on at most ``learn_bytes`` bytes of each label, in pieces from all parts of the texts.
+
     ``share`` is the part of good rows among all labelled ones; the sample may hold another, so the curve is moved.
     Without rows of both labels the score is the same for all texts: the share of good rows, 0.5 for none.
     """
@@ -156,9 +171,7 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, size: int = 4
     for channel in (list, shapes):
         texts = channel([t for t, _ in learn])
         for y in (1, 0):
-            cut = [t[at: at + PIECE] for t, (_, label) in zip(texts, learn) if label == y
-                   for at in range(0, min(len(t), 16 * PIECE), PIECE)]
-            blobs.append(_dictionary([c for c in cut if c], size))
+            blobs.append(_dictionary(pieces([t for t, (_, label) in zip(texts, learn) if label == y], learn_bytes), size))
     model = Dictionaries(blobs, [0.0, 0.0, 0.0], level)
     y = np.array([v for _, v in held], float)
     if len(y) == 0 or y.min() == y.max():

@@ -9,6 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_near_duplicates import kept_by_hand
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, norm
@@ -290,10 +292,8 @@ def test_pipeline_by_hand(spark):
     assert 0 < len(good) < len(docs)
     left = lines_by_hand(good)
     assert left != [d[:2] for d in good]
-    prints = {i: fingerprint_by_hand(t) for i, t in left}
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
-    one = roots(sorted(prints), near)
-    kept = [(i, t) for i, t in left if one[i] == i]
+    ids = set(kept_by_hand(left))  # Jaccard similarity of five-word shingles
+    kept = [(i, t) for i, t in left if i in ids]
     assert len(kept) < len(left)
     items = [set(shingles(words_of(r.text))) for r in table(spark, "benchmark").collect()]
     clean = [(i, t) for i, t in kept if not any(q and len(q & set(shingles(words_of(t)))) >= 0.8 * len(q) for q in items)]
@@ -301,8 +301,19 @@ def test_pipeline_by_hand(spark):
     merger = Merger(default_model(), 0.1, 17)
     want = {}
     for i, t in clean:
-        ids, _ = merger.encode([t], [i], 4)
+        ids, _ = merger.encode([t], [i])  # each occurrence of a word by its own key
         assert merger.decode(ids.tolist()) == t
         want[i] = len(ids)
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) == len(want) and {r.doc_id: r.n_pieces for r in rows} == want and all(r.lossless for r in rows)
+
+
+def test_quality_pieces():
+    """Pieces cover whole texts, or are spread over all parts of them."""
+    from parley.llm.dictionary_quality import PIECE, pieces
+    texts = [bytes([k]) * (PIECE * 40 + k) for k in range(1, 6)]
+    assert b"".join(pieces(texts, 10**9)) == b"".join(texts)
+    some = pieces(texts, 40 * PIECE)
+    assert len(some) == 40 and {p[0] for p in some} == {1, 2, 3, 4, 5}
+    ends = pieces([b"".join(bytes([k]) * PIECE for k in range(200))], 20 * PIECE)
+    assert len(ends) == 20 and ends[0][0] < 60 and ends[-1][0] > 140

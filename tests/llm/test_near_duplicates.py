@@ -2,8 +2,14 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from parley.llm import near_duplicates
 from parley.llm.contamination import shingles, words_of
+from parley.llm.hot import looked_up
+from parley.llm.near_duplicates import bands, candidate_links
 
 SCHEMA = "doc_id long, text string"
 
@@ -48,3 +54,43 @@ def test_many_near_copies(spark):
         rows.append((i, " ".join(text)))
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert [x.doc_id for x in got] == kept_by_hand(rows) == [0]
+
+
+def test_bands_find_sets_of_the_similarity():
+    """Of pairs of sets with a Jaccard similarity of 0.8, nearly all share a band; of unlike ones nearly none."""
+    rng = np.random.default_rng(5)
+    hits = {0.8: 0, 0.1: 0}
+    for s in hits:
+        for _ in range(1500):
+            n = int(rng.integers(10, 200))
+            both = max(1, round(2 * n * s / (1 + s)))
+            x = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
+            hits[s] += bool(set(bands(x[:n])) & set(bands(x[n - both:])))
+    assert hits[0.8] >= 0.99 * 1500 and hits[0.1] <= 0.02 * 1500
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_a_band_in_many_tiles(spark, tile):
+    """More keys in a band than a tile holds: the same keys are connected as by comparing all with all."""
+    r = random.Random(8)
+    rows = [(k, *[r.getrandbits(6) if k % 5 else 0 for _ in range(3)], [7, k % 4]) for k in range(60)]
+    df = spark.createDataFrame(rows, "_key long, _f0 long, _f1 long, _f2 long, _bands array<long>")
+    links = [(x.a, x.b) for x in candidate_links(df, 5, tile).collect()]
+    far = {(a[0], b[0]): sum((x ^ y).bit_count() for x, y in zip(a[1:4], b[1:4])) for a in rows for b in rows}
+
+    def joined(pairs):
+        root = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert joined(links) == joined([p for p, d in far.items() if d <= 5])
+
+
+def test_looked_up(spark):
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "_n").selectExpr("k", "_n", "k * 2 AS v")
+    got = looked_up(rows, table, "k").collect()
+    assert len(got) == 5000 and all(x.v == 2 * x.k for x in got)
+    assert looked_up(rows.limit(0), table.limit(0), "k").collect() == [] and near_duplicates.BANDS == 16
