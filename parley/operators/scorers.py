@@ -1,6 +1,7 @@
 """Scoring classifiers: weighted groups, keyword-first, topics, themes, sentiment, language, company.
 
-Word lists and packs are configuration of a checked size, turned into expressions; every scorer here is a projection.
+Word lists and packs are configuration, turned into constants; every scorer here is a projection. The conditions of packs,
+of any number, are found in one pass over a text (``functions/substrings.py``).
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
-from parley.functions.once import once
-from parley.functions.terms import clean_term, is_plain_word, quote, term_found, term_words
+from parley.functions.once import constant, once
+from parley.functions.substrings import occurrences
+from parley.functions.terms import clean_term, is_plain_word, term_found
 from parley.functions.text import as_text, normalize, strip, word_tokens, words
+from parley.operators.matching import Index, Rule
 
-MAX_GROUPS = 1_000
 MAX_LIST = 100_000
 LEVELS = ["l1", "l2", "l3", "l4"]
 
@@ -45,15 +47,42 @@ def _holds(text: Column, needle: str) -> Column:
 
 
 def ordered_groups(packs: DataFrame | list[dict]) -> list[dict]:
-    """Groups with conditions, keywords before rules, each in file order."""
+    """Groups with conditions, keywords before rules, each in file order. Packs are configuration, written by people, and
+    are read whole, whatever their number of groups."""
     if isinstance(packs, DataFrame):
-        packs = [r.asDict() for r in _bounded(packs.where(F.size("conditions") > 0), MAX_GROUPS, "pack groups")]
+        packs = [r.asDict() for r in packs.where(F.size("conditions") > 0).collect()]
     groups = [g for g in packs if g["conditions"]]
     return sorted(groups, key=lambda g: (g["kind"] != "keywords", g["group_no"]))
 
 
 def _group_table(groups: list[dict]) -> Column:
-    return F.array(*[F.struct(*[F.lit(g[c]).alias(c) for c in LEVELS]) for g in groups])
+    return constant([{c: g[c] for c in LEVELS} | {"n": len(g["conditions"])} for g in groups],
+                    "array<struct<l1:string,l2:string,l3:string,l4:string,n:int>>")
+
+
+class _Conditions:
+    """Literals of all groups, numbered, and for each one the groups that ask for it: ``g``, the place ``k`` in the group
+    in the order in which it is counted, ``words`` and ``chars``. Blank conditions ask for nothing."""
+
+    def __init__(self, groups: list[dict], order=None):
+        number: dict[str, int] = {}
+        self.users: list[list[dict]] = []
+        for g, group in enumerate(groups):
+            listed = sorted(group["conditions"], key=order) if order else group["conditions"]
+            for k, cond in enumerate(listed):
+                if not cond:
+                    continue
+                c = number.setdefault(cond.lower(), len(number))
+                if c == len(self.users):
+                    self.users.append([])
+                self.users[c].append({"g": g, "k": k, "words": len(cond.split()), "chars": len(cond)})
+        self.literals = list(number)
+
+    def asked(self, places: Column) -> Column:
+        """For all places of literals, who asks for them, with the place: ``g, k, at, words, chars``."""
+        users = constant(self.users, "array<array<struct<g:int,k:int,words:int,chars:int>>>")
+        return F.flatten(F.transform(places, lambda p: F.transform(F.get(users, p["c"]), lambda u: F.struct(
+            u["g"].alias("g"), u["k"].alias("k"), p["at"].alias("at"), u["words"].alias("words"), u["chars"].alias("chars")))))
 
 
 def category_path(always_four: bool = False, l1="l1", l2="l2", l3="l3", l4="l4") -> Column:
@@ -72,35 +101,38 @@ def classify_weighted(df: DataFrame, packs, text_col: str) -> DataFrame:
     occurs anywhere. Adds l1..l4, confidence, match_path.
     """
     groups = ordered_groups(packs)
-    vocabulary = list(dict.fromkeys(w for g in groups for c in g["conditions"] for w in term_words(c)))
-    text, low, known = F.col("__text"), F.col("__low"), F.col("__known")
-    size = F.length(text)
-
-    def score(g) -> Column:
-        points, chars, hits = [], [], []
-        for cond in sorted(g["conditions"], key=len, reverse=True):
-            c = cond.lower()
-            at = F.instr(low, c)
-            there = at > 0
-            points.append(F.when(there, F.lit(10.0 * len(cond.split())) * (F.lit(1.0) - (at - 1) / size * 0.3))
-                          .otherwise(0.0))
-            chars.append(F.when(there, len(cond)).otherwise(0))
-            hits.append(there.cast("int"))
-        n = _total(hits)
-        return (_total(points) + _total(chars) / size * 50 + F.when(n > 1, n * 5).otherwise(0)
-                + (20 if g["kind"] == "keywords" else 10))
-
-    entries = [F.when(_any([term_found(c, low, known) for c in g["conditions"] if clean_term(c)]),
-                      F.struct(score(g).cast("double").alias("score"), F.lit(-i).alias("order")))
-               for i, g in enumerate(groups)]
-    listed = F.array(*[F.lit(w) for w in vocabulary])
-    found = (df.withColumn("__text", as_text(text_col)).withColumn("__low", F.lower("__text"))
-             .withColumn("__known", F.array_intersect(word_tokens(F.col("__low")), listed))
-             .withColumn("__best", once(F.array_max(F.array(*entries))))
+    low, size = F.col("__low"), F.col("__size")
+    index = Index([Rule(str(i), [c for c in g["conditions"] if clean_term(c)]) if any(map(clean_term, g["conditions"]))
+                   else Rule(str(i), []) for i, g in enumerate(groups)])
+    conditions = _Conditions(groups, order=lambda c: -len(c))
+    of_term, kind = constant(index.of_term, "array<array<int>>"), constant(
+        [20 if g["kind"] == "keywords" else 10 for g in groups], "array<int>")
+    taking_part = F.array_distinct(F.flatten(F.transform("__found", lambda t: F.get(of_term, t))))
+    state = "struct<g:int,points:double,chars:int,n:int,best:struct<score:double,order:int>>"
+    none = F.lit(None).cast("struct<score:double,order:int>")
+
+    def closed(a):
+        score = (a["points"] + a["chars"] / size * 50 + F.when(a["n"] > 1, a["n"] * 5).otherwise(0) + F.get(kind, a["g"])).cast("double")
+        return F.when(a["n"] > 0, F.greatest(a["best"], F.struct(score.alias("score"), (-a["g"]).alias("order")))).otherwise(a["best"])
+
+    def step(a, x):
+        point = F.lit(10.0) * x["words"] * (F.lit(1.0) - x["at"] / size * 0.3)
+        same = a["g"] == x["g"]
+        return F.struct(
+            x["g"].alias("g"), (F.when(same, a["points"]).otherwise(0.0) + point).alias("points"),
+            (F.when(same, a["chars"]).otherwise(0) + x["chars"]).alias("chars"), (F.when(same, a["n"]).otherwise(0) + 1).alias("n"),
+            F.when(same, a["best"]).otherwise(closed(a)).alias("best")).cast(state)
+
+    zero = F.struct(F.lit(-1).alias("g"), F.lit(0.0).alias("points"), F.lit(0).alias("chars"), F.lit(0).alias("n"), none.alias("best")).cast(state)
+    mine = F.sort_array(F.filter(conditions.asked(F.col("__places")), lambda x: F.array_contains("__groups", x["g"])))
+    found = df.withColumn("__low", normalize(text_col)).withColumn("__size", F.length("__low"))
+    found = (found.withColumn("__tokens", word_tokens(low)).withColumn("__found", index.found(F.col("__tokens"), low))
+             .withColumn("__groups", taking_part).withColumn("__places", occurrences(low, conditions.literals, first=True))
+             .withColumn("__best", once(F.aggregate(mine, zero, step, closed)))
              .withColumn("__group", F.get(_group_table(groups), -F.col("__best.order"))))
     return _with_levels(found, F.least(F.col("__best.score") / 100, F.lit(1.0))).withColumn(
         "match_path", F.when(F.col("__group").isNull(), UNCATEGORIZED).otherwise(category_path())).drop(
-            "__text", "__low", "__known", "__best", "__group")
+            "__low", "__size", "__tokens", "__found", "__groups", "__places", "__best", "__group")
 
 
 def _with_levels(df: DataFrame, confidence: Column) -> DataFrame:
@@ -115,32 +147,42 @@ def classify_keyword_first(df: DataFrame, packs, text_col: str) -> DataFrame:
     Adds l1..l4, confidence, match_path, matched_rule (null without a match).
     """
     groups = ordered_groups(packs)
-    low = F.col("__low")
-
-    def any_hit(g):
-        return _any([_holds(low, c.lower()) for c in g["conditions"]])
-
-    def hits(g):
-        pattern = "|".join(quote(c.lower()) for c in g["conditions"])
-        return F.when(any_hit(g), F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))))
-
-    keywords = [(i, g) for i, g in enumerate(groups) if g["kind"] == "keywords"]
-    rules = [(i, g) for i, g in enumerate(groups) if g["kind"] != "keywords"]
-    first = F.coalesce(*[F.when(any_hit(g), F.lit(i)) for i, g in keywords]) if keywords else F.lit(None).cast("int")
-    entries = [F.when(hits(g) > 0, F.struct(hits(g).alias("n"), F.lit(-i).alias("order"))) for i, g in rules]
-    most = F.array_max(F.array(*entries)) if entries else F.lit(None).cast("struct<n:int,order:int>")
-    sizes = F.array(*[F.lit(len(g["conditions"])) for g in groups])
-    out = (df.withColumn("__low", normalize(text_col)).withColumn("__kw", once(first))
-           .withColumn("__most", once(F.when(F.col("__kw").isNull(), most)))
+    first_rule = sum(g["kind"] == "keywords" for g in groups)
+    conditions = _Conditions(groups)
+    asked = F.col("__asked")
+    state = "struct<g:int,end:int,n:int,best:struct<n:int,order:int>>"
+    none = F.lit(None).cast("struct<n:int,order:int>")
+
+    def closed(a):
+        return F.when(a["n"] > 0, F.greatest(a["best"], F.struct(a["n"].alias("n"), (-a["g"]).alias("order")))).otherwise(a["best"])
+
+    def step(a, x):
+        """Occurrences of a group from left to right, the first condition at each place; one that begins inside the last
+        one counted is not counted."""
+        same = a["g"] == x["g"]
+        counts = ~same | (x["at"] >= a["end"])
+        return F.struct(
+            x["g"].alias("g"), F.when(counts, x["at"] + x["chars"]).otherwise(a["end"]).alias("end"),
+            (F.when(same, a["n"]).otherwise(0) + counts.cast("int")).alias("n"),
+            F.when(same, a["best"]).otherwise(closed(a)).alias("best")).cast(state)
+
+    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("end"), F.lit(0).alias("n"), none.alias("best")).cast(state)
+    by_place = F.sort_array(F.transform(F.filter(asked, lambda x: x["g"] >= first_rule), lambda x: F.struct(
+        x["g"].alias("g"), x["at"].alias("at"), x["k"].alias("k"), x["chars"].alias("chars"))))
+    first = F.array_min(F.filter(F.transform(asked, lambda x: x["g"]), lambda g: g < first_rule))
+    out = (df.withColumn("__low", normalize(text_col))
+           .withColumn("__places", occurrences(F.col("__low"), conditions.literals))
+           .withColumn("__asked", conditions.asked(F.col("__places"))).withColumn("__kw", once(first))
+           .withColumn("__most", once(F.when(F.col("__kw").isNull(), F.aggregate(by_place, zero, step, closed))))
            .withColumn("__at", F.coalesce(F.col("__kw"), -F.col("__most.order")))
            .withColumn("__group", F.get(_group_table(groups), F.col("__at"))))
-    share = F.least(F.col("__most.n") / F.get(sizes, F.col("__at")), F.lit(1.0)) * 0.85
+    share = F.least(F.col("__most.n") / F.col("__group.n"), F.lit(1.0)) * 0.85
     out = _with_levels(out, F.when(F.col("__kw").isNotNull(), 0.9).otherwise(share))
     return out.withColumns({
         "match_path": F.when(F.col("__at").isNull(), UNCATEGORIZED).otherwise(category_path(always_four=True)),
         "matched_rule": F.when(F.col("__kw").isNotNull(), "keyword_match").otherwise(
             F.concat(F.lit("rule_match_"), F.col("__most.n").cast("string"), F.lit("_conditions"))),
-    }).drop("__low", "__kw", "__most", "__at", "__group")
+    }).drop("__low", "__places", "__asked", "__kw", "__most", "__at", "__group")
 
 
 # --- topics ---------------------------------------------------------------------------------------------------------

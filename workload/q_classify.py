@@ -376,3 +376,44 @@ def _(spark, sf):
         F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.concat(F.lit(" "), "n_name", F.lit(" Group ")))
         .alias("company"))
     return detect_industry(named, "company", companies).select("c_custkey", "industry")
+
+
+# --- packs with thousands of conditions: the words of the benchmark texts, one group a length ------------------------
+
+_LENGTHS = f"""low AS (SELECT doc_id, lower(text) AS t FROM documents), w AS (SELECT DISTINCT w, length(w) AS n
+    FROM (SELECT unnest({S.word_tokens('lower(text)')}) AS w FROM benchmark) WHERE length(w) >= 4)"""
+
+
+def _length_groups(spark, sf, keywords_from=None):
+    w = table(spark, sf, "benchmark").select(F.explode(word_tokens(F.lower("text"))).alias("w")).distinct()
+    n = F.length("w")
+    kind = F.when(n >= keywords_from, "keywords").otherwise("rules") if keywords_from else F.lit("rules")
+    return (w.where(n >= 4).groupBy(n.alias("group_no"), kind.alias("kind")).agg(F.sort_array(F.collect_set("w")).alias("conditions"))
+            .select("kind", "group_no", "conditions", F.concat(F.lit("L"), F.col("group_no").cast("string")).alias("l1"),
+                    *[F.lit("NA").alias(c) for c in ("l2", "l3", "l4")]))
+
+
+@query("classify_keyword_first_long", f"""WITH {_LENGTHS},
+    kw AS (SELECT doc_id, min(n) AS n FROM low JOIN w ON n >= 12 AND contains(t, w) GROUP BY doc_id),
+    g AS (SELECT n, string_agg(w, '|' ORDER BY w) AS p, count(*) AS size FROM w WHERE n < 12 GROUP BY n),
+    h AS (SELECT doc_id, n, size, len(regexp_extract_all(t, p)) AS hits FROM low, g),
+    best AS (SELECT * FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, n) = 1)
+    SELECT d.doc_id, coalesce('L' || coalesce(kw.n, b.n), 'Uncategorized') AS l1, CASE WHEN kw.n IS NOT NULL THEN 0.9
+        WHEN b.n IS NULL THEN 0 ELSE least(b.hits / b.size, 1) * 0.85 END::DOUBLE AS confidence,
+        CASE WHEN kw.n IS NOT NULL THEN 'keyword_match' WHEN b.n IS NOT NULL THEN 'rule_match_' || b.hits || '_conditions' END
+        AS matched_rule FROM documents d LEFT JOIN kw USING (doc_id) LEFT JOIN best b USING (doc_id)""")
+def _(spark, sf):
+    return classify_keyword_first(docs(spark, sf).select("doc_id", "text"), _length_groups(spark, sf, 12), "text").select(
+        "doc_id", "l1", "confidence", "matched_rule")
+
+
+@query("classify_weighted_long", f"""WITH {_LENGTHS},
+    part AS (SELECT DISTINCT doc_id, n FROM (SELECT doc_id, unnest({S.word_tokens('t')}) AS w FROM low) JOIN w USING (w)),
+    score AS (SELECT doc_id, n, sum(10.0::DOUBLE * (1 - (instr(t, w) - 1)::DOUBLE / length(t) * 0.3)) + sum(n)::DOUBLE / any_value(length(t)) * 50
+        + CASE WHEN count(*) > 1 THEN count(*) * 5 ELSE 0 END + 10 AS s FROM low JOIN w ON contains(t, w) SEMI JOIN part USING (doc_id, n)
+        GROUP BY doc_id, n),
+    best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, n) = 1)
+    SELECT doc_id, coalesce('L' || n, 'Uncategorized') AS l1, CASE WHEN s IS NULL THEN 0 ELSE least(s / 100, 1) END::DOUBLE AS confidence
+    FROM documents LEFT JOIN best USING (doc_id)""")
+def _(spark, sf):
+    return classify_weighted(docs(spark, sf).select("doc_id", "text"), _length_groups(spark, sf), "text").select("doc_id", "l1", "confidence")
