@@ -1,11 +1,13 @@
-"""Run history: append-only tables of run summaries and rule hits."""
+"""Run history: tables of run summaries and rule hits, each run written once and read when complete."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.fixed_values import UNCATEGORIZED
+from parley.session import materialize
 
 
 def run_summary(out: DataFrame, rid, ts, secs, rules: int, pii, by: list[str] | None = None) -> DataFrame:
@@ -30,13 +32,32 @@ def rule_hits_summary(out: DataFrame, rid, by: list[str] | None = None) -> DataF
 
 
 def append(table: DataFrame, path: str) -> str:
-    table.write.mode("append").parquet(path)
+    """Add the runs of ``table`` (column ``rid``) to the log at ``path``. A run that is written again, by a retry or a second
+    call, takes the place of what the log has of it.
+
+    Each run is a partition, and only partitions that are written are overwritten. When all rows are there, the runs are
+    marked complete in ``path-complete``, likewise by partition; ``recorded`` reads marked runs only.
+    """
+    table = materialize(table, "runs")  # both tables come from the same rows, worked out once
+    run = F.coalesce(F.col("rid").cast("string"), F.lit("none"))
+    runs = table.select(run.alias("run")).distinct().withColumn("complete", F.lit(True))
+    for rows, to in ((table.withColumn("run", run), path), (runs, f"{path}-complete")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(to)
     return path
 
 
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """The complete runs of a log; a run whose writing has not come to its end is not seen."""
+    # Names of runs stay words, so that 03 is not 3.
+    fields = [f for f in spark.read.parquet(path).schema.fields if f.name != "run"]
+    rows = spark.read.schema(T.StructType([*fields, T.StructField("run", T.StringType())])).parquet(path)
+    done = spark.read.schema("complete boolean, run string").parquet(f"{path}-complete").select("run")
+    return rows.join(done, "run", "left_semi").drop("run")
+
+
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """All runs, newest first."""
-    return spark.read.parquet(path).orderBy(F.col("ts").desc())
+    """All complete runs, newest first."""
+    return recorded(spark, path).orderBy(F.col("ts").desc())
 
 
 def drift(runs: DataFrame) -> DataFrame:

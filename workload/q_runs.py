@@ -72,12 +72,12 @@ def _hits(spark, sf):
 
 @query("record_run", f"{RES}, {_RUNS} SELECT * FROM runs")
 def _(spark, sf):
-    return spark.read.parquet(H.append(_runs(spark, sf), new_path(spark, "history")))
+    return H.recorded(spark, H.append(_runs(spark, sf), new_path(spark, "history")))
 
 
 @query("record_rule_hits", f"{RES}, {_RUNS} SELECT * FROM fired")
 def _(spark, sf):
-    return spark.read.parquet(H.append(_hits(spark, sf), new_path(spark, "hits")))
+    return H.recorded(spark, H.append(_hits(spark, sf), new_path(spark, "hits")))
 
 
 @query("run_history", f"{RES}, {_RUNS} SELECT * FROM runs ORDER BY ts DESC")
