@@ -15,7 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fv
+from parley.functions.bloom import BITS, bloom_filter, might_hold
 from parley.functions.once import constant, once
+from parley.functions.text import word_tokens
+from parley.session import materialize
 
 MODES = ("hash", "mask", "token", "remove")
 
@@ -200,27 +203,72 @@ def with_hardened_redaction(df, text_col: str, mode: str = "hash", redacted_col:
             .drop("__done", "__head"))
 
 
-def with_names_redacted(df, id_col: str, text_col: str, names, name_col: str, mode: str = "hash"):
+MOST_LISTED = 10_000  # names in a constant of the plan; longer lists stay on Spark
+SALTS = 16
+HOT_SHARE = 10_000
+
+
+def with_names_redacted(df, id_col: str, text_col: str, names, name_col: str, mode: str = "hash",
+                        most_listed: int = MOST_LISTED):
     """Redact the words which a table of names holds; adds ``redacted_text`` and ``names_found``.
 
-    The list of names is configuration: it is read once and becomes a constant of the plan, a table by a hash of the
-    name. Every text looks up its own words there: no shuffle, no join, and each row is decided on its own, so
-    ``id_col`` may repeat or be null.
+    Up to ``most_listed`` names become a constant of the plan, a table by a hash of the name, in which every text looks
+    up its own words: no shuffle and no join. More names, in any number, are never collected: ``names_in_texts`` finds
+    them. Each row is decided by its text alone, so ``id_col`` may repeat or be null. Texts that are null stay null.
     """
-    from parley.functions.text import word_tokens
-
-    listed = [r[0] for r in names.select(F.col(name_col).cast("string").alias("n")).where("n <> ''").distinct().collect()]
+    text = F.col(text_col)
+    listed = names.select(F.col(name_col).cast("string").alias("n")).where("n <> ''").distinct()
+    few = [r.n for r in listed.take(most_listed + 1)]
+    if len(few) <= most_listed:
+        rows = df.withColumn("names_found", once(F.sort_array(F.filter(_said(text), _in_constant(few)))))
+    else:
+        # The salt is made of the other columns, so that copies of one text do not meet in one task.
+        others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != text_col and f.dataType.typeName() != "map"]
+        rows = df.withColumns({"__text_key": _text_key(text),
+                               "__salt": F.pmod(F.xxhash64(F.lit(0), *others), F.lit(SALTS)).cast("int")})
+        found = (names_in_texts(df.select(text.alias("t")), "t", listed, "n")
+                 .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        rows = (rows.join(found, ["__text_key", "__salt"], "left").drop("__text_key", "__salt")
+                .withColumn("names_found", F.coalesce("names_found", F.array().cast("array<string>"))))
+    hits = F.col("names_found")
+    return rows.withColumn("redacted_text", F.when(F.size(hits) == 0, text).otherwise(F.aggregate(
+        longest_first(hits), text, lambda acc, m: F.replace(acc, m, token_for("NAME", m, mode)))))
+
+
+def _said(text: Column) -> Column:
+    return F.coalesce(F.array_distinct(word_tokens(text)), F.array().cast("array<string>"))
+
+
+def _in_constant(listed: list[str]):
     buckets = [[] for _ in range(2 * len(listed) + 1)]
     for name in sorted(listed):
         buckets[zlib.crc32(name.encode()) % len(buckets)].append(name)
     table = constant(buckets, "array<array<string>>")
+    return lambda w: F.array_contains(F.get(table, F.pmod(F.crc32(w), F.lit(len(buckets))).cast("int")), w)
 
-    def is_name(word):
-        return F.array_contains(F.get(table, F.pmod(F.crc32(word), F.lit(len(buckets))).cast("int")), word)
 
-    text = F.col(text_col)
-    said = F.coalesce(F.array_distinct(word_tokens(text)), F.array().cast("array<string>"))
-    found = F.col("names_found")
-    return (df.withColumn("names_found", once(F.sort_array(F.filter(said, is_name))))
-            .withColumn("redacted_text", F.when(F.size(found) == 0, text).otherwise(F.aggregate(
-                longest_first(found), text, lambda acc, m: F.replace(acc, m, token_for("NAME", m, mode))))))
+def _text_key(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)))
+
+
+def names_in_texts(texts, text_col: str, names, name_col: str, bits: int = BITS):
+    """One row per different text with a listed name: ``__text_key`` (128 bits of hash), ``names_found`` (sorted).
+
+    Words that pass a Bloom filter of the names are the only ones that leave their task, one a text and word. The words
+    that pass are counted; those of more than one row in ``HOT_SHARE`` are so few that their names are broadcast, the
+    others meet the names by an equi-join.
+    """
+    text, word = F.col(text_col), F.col("word")
+    bloom = bloom_filter(names, name_col, bits)
+    said = texts.where(text.isNotNull()).select(_text_key(text).alias("__text_key"), F.explode(_said(text)).alias("word"))
+    passed = materialize(said.where(might_hold(bloom, word, bits)).distinct(), "names")
+    counts = passed.groupBy("word").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.join(F.broadcast(total), F.col("n") * HOT_SHARE > F.col("total")).select("word")  # < HOT_SHARE rows
+    listed = names.select(F.col(name_col).alias("word"))
+    hot_names = F.broadcast(listed.join(F.broadcast(hot), "word", "left_semi").distinct())
+    few = passed.join(F.broadcast(hot), "word", "left_anti").join(listed.distinct().hint("merge"), "word", "left_semi")
+    many = passed.join(hot_names, "word", "left_semi")
+    return (many.unionByName(few).groupBy("__text_key")
+            .agg(F.sort_array(F.collect_list("word")).alias("names_found")))
+
