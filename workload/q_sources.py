@@ -8,6 +8,8 @@ from parley.operators.profiling import (
     column_profile,
     infer_column_roles,
     infer_measure_columns,
+    merged_profile,
+    profile_sketches,
     validate_input,
 )
 from parley.operators.rules import pack_rules
@@ -140,6 +142,18 @@ def _(spark, sf):
     return column_profile(table(spark, sf, "documents"))
 
 
+# Profiles of two parts of the orders, united from their sketches; estimates are held to five percent.
+@query("profile_of_parts", """SELECT 'o_orderkey' AS "column", count(*) AS rows, count(o_orderkey) AS non_null, true AS near_distinct
+    FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(o_orderstatus), true FROM orders
+    UNION ALL SELECT 'o_custkey', count(*), count(o_custkey), true FROM orders""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    parts = profile_sketches(o.where("o_orderstatus = 'O'")).unionByName(profile_sketches(o.where("o_orderstatus <> 'O'")))
+    known = column_profile(o).select("column", F.col("distinct").alias("d"))
+    near = F.abs(F.col("distinct") - F.col("d")) <= F.col("d") * 0.05
+    return merged_profile(parts).join(known, "column").select("column", "rows", "non_null", near.alias("near_distinct"))
+
+
 def _roles_sql():
     cols = [("c_custkey", False), ("c_name", True), ("c_nationkey", False), ("c_acctbal", False),
             ("c_mktsegment", True), ("note", True)]
