@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from parley.functions.text import consumer_text, has_speaker_label, normalize, speaker_text, tokens
+from parley.operators.language_model import fit_language, with_language_by_model
 from parley.operators.scorers import LANGUAGE_PROFILES, min_length_gate, with_language
 from workload import sql as S
 from workload.data import CONSUMER, LABELS, docs, table, transcripts
@@ -94,6 +95,28 @@ def _(spark, sf):
     return with_language(docs(spark, sf), "text").select("doc_id", "language")
 
 
+# The same counts, weights and sums over all documents; trigrams by the code points of lower-cased letters.
+_GRAMS = r"""g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i:
+      (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 32768)) AS b
+    FROM (SELECT doc_id, lang, list_transform(string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')),
+      '[^\p{L}\p{M}]+', ' ', 'g')) || ' ', ''), lambda s: unicode(s)) AS c FROM documents))"""
+
+
+@query("detect_language_model", f"""WITH {_GRAMS},
+    n AS (SELECT lang, b, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY 1, 2),
+    t AS (SELECT lang, sum(n) AS total FROM n GROUP BY 1),
+    d AS (SELECT doc_id, b, count(*) AS k FROM g GROUP BY 1, 2),
+    s AS (SELECT doc_id, t.lang, sum(k * floor(1000 * ln((coalesce(n, 0) + 1)::DOUBLE / (total + 32768)) + 0.5)::BIGINT) AS s,
+        sum(k) AS size
+      FROM d CROSS JOIN t LEFT JOIN n ON n.b = d.b AND n.lang = t.lang GROUP BY 1, 2),
+    r AS (SELECT doc_id, size, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS place FROM s)
+    SELECT d.doc_id, CASE WHEN size >= 3 THEN r.lang ELSE 'unknown' END AS language
+    FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND place = 1""")
+def _(spark, sf):
+    model = fit_language(docs(spark, sf), "text", "lang")
+    return with_language_by_model(docs(spark, sf), "text", model).select("doc_id", "language")
+
+
 @query("min_length_gate", f"""WITH l AS ({language_sql("text", "conversations", "conv_id, turn, role, text")})
     SELECT conv_id, turn, CASE WHEN language <> 'unknown' AND len({S.words('text')}) >= 3 THEN role ELSE '' END AS role
     FROM l""")
