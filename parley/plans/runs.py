@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from parley.functions.pii import pii_columns
 from parley.functions.text import consumer_text
+from parley.operators.language_model import LanguageModel, with_language_by_model
 from parley.operators.matching import classify
 from parley.operators.scorers import (
     apply_overrides,
     classify_keyword_first,
     classify_subtopics,
     classify_topics,
+    detect_industry,
     long_enough,
     proximity_themes,
     sentiment_bands,
@@ -42,18 +44,33 @@ SHORT_COLUMNS = ["Conversation_ID", "Original_Text", "L1_Category", "L2_Subcateg
 
 
 def full_run(df: DataFrame, packs, polarity: dict[str, float], id_col: str, text_col: str, mode: str = "hash",
-             profile: str = "full", industry: str | None = None) -> DataFrame:
+             profile: str = "full", industry: str | None = None, company_col: str | None = None,
+             companies: DataFrame | None = None, language: LanguageModel | str | None = None) -> DataFrame:
     """Redact, classify keyword first, themes, sentiment: the twenty-column record.
 
-    There is no machine translation, so the translated text is the redacted text.
+    With ``company_col`` and ``companies`` (see ``detect_industry``) each row has the industry of its own company; where
+    none is listed, ``industry`` or ``Unknown`` stands. With ``language``, a trigram model or ``"words"`` for frequent
+    function words, the language of the redacted text is a further column, ``Language``. There is no machine
+    translation, so the translated text is the redacted text.
     """
-    rows = pii_columns(df.select(id_col, text_col), text_col, profile, mode)
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"),
+                     (F.col(company_col) if company_col else F.lit(None)).cast("string").alias("__company"))
+    rows = pii_columns(rows, "__text", profile, mode)
     rows = classify_keyword_first(rows, packs, "redacted_text")
     rows = proximity_themes(rows, "redacted_text")
     rows = sentiment_bands(rows, "redacted_text", polarity)
+    further = []
+    if language is not None:
+        rows = (with_language(rows, "redacted_text", out="Language") if language == "words"
+                else with_language_by_model(rows, "redacted_text", language, "Language"))
+        further = ["Language"]
+    if company_col and companies is not None:
+        rows = detect_industry(rows, "__company", companies, "__own_industry")
+    else:
+        rows = rows.withColumn("__own_industry", F.lit(None).cast("string"))
     return rows.select(
-        F.col(id_col).cast("string").alias("Conversation_ID"), F.lit(industry or "Unknown").alias("Industry"),
-        F.col(text_col).alias("Original_Text"), F.col("redacted_text").alias("Redacted_Text"),
+        F.col("__id").cast("string").alias("Conversation_ID"),
+        F.coalesce("__own_industry", F.lit(industry or "Unknown")).alias("Industry"), F.col("__text").alias("Original_Text"), F.col("redacted_text").alias("Redacted_Text"),
         F.col("redacted_text").alias("Translated_Text"), F.col("l1").alias("L1_Category"),
         F.col("l2").alias("L2_Subcategory"), F.col("l3").alias("L3_Tertiary"), F.col("l4").alias("L4_Quaternary"),
         F.col("confidence").alias("Category_Confidence"), F.col("match_path").alias("Category_Path"),
@@ -61,7 +78,7 @@ def full_run(df: DataFrame, packs, polarity: dict[str, float], id_col: str, text
         F.col("proximity_group").alias("Proximity_Group"), F.col("theme_count").alias("Theme_Count"),
         F.col("sentiment").alias("Sentiment"), F.col("sentiment_score").alias("Sentiment_Score"),
         F.col("pii_detected").alias("PII_Detected"), F.col("total_items").alias("PII_Items_Redacted"),
-        F.to_json("pii_counts").alias("PII_Types"))
+        F.to_json("pii_counts").alias("PII_Types"), *further)
 
 
 def topics_run(df: DataFrame, id_col: str, transcript_col: str, polarity: dict[str, float],

@@ -148,6 +148,21 @@ def _(spark, sf):
     return _full(spark, sf).drop("PII_Types")
 
 
+# Each row with its own industry and language: sources are companies, the length of their names is the industry.
+@query("classify_full_run_own", f"""WITH f AS ({language_sql('"Redacted_Text"', f'({_FULL_SQL})', '"Conversation_ID", "L1_Category"')}),
+    c AS (SELECT DISTINCT lower(source) AS c, length(source) AS ino FROM documents WHERE trim(source) <> '' AND lang <> 'fr')
+    SELECT f."Conversation_ID", f."L1_Category", f.language AS "Language", coalesce((SELECT 'of ' || min(ino) FROM c
+      WHERE contains(trim(lower(d.source || ' site')), c) OR contains(c, trim(lower(d.source || ' site')))), 'Unknown') AS "Industry"
+    FROM f JOIN documents d ON f."Conversation_ID" = CAST(d.doc_id AS VARCHAR)""")
+def _(spark, sf):
+    d, size = docs(spark, sf), F.length("source")
+    companies = d.where("lang <> 'fr'").select(size.alias("industry_no"), F.concat(F.lit("of "), size).alias("industry"),
+                                               F.lit(0).alias("company_no"), F.col("source").alias("company")).distinct()
+    out = full_run(d.withColumn("company", F.concat("source", F.lit(" site"))), SEED_GROUPS, lexicons(spark, sf)[0], "doc_id",
+                   "text", company_col="company", companies=companies, language="words")
+    return out.select("Conversation_ID", "L1_Category", "Language", "Industry")
+
+
 _EACH = ", ".join(f"{S.count_of(S.FULL, k)} AS {fv.PII_COUNTERS[k]}" for k in
                   ("EMAIL", "CARD", "SSN", "PHONE", "DOB", "MRN", "IP", "ADDRESS", "CONDITION"))
 _JSON = " || ".join(f"CASE WHEN {fv.PII_COUNTERS[k]} > 0 THEN ',\"{fv.PII_COUNTERS[k]}\":' || {fv.PII_COUNTERS[k]} ELSE '' END"
