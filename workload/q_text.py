@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import consumer_text, has_speaker_label, normalize, speaker_text, tokens
 from parley.operators.language_model import fit_language, with_language_by_model
+from parley.operators.polarity import learn_polarity
 from parley.operators.scorers import LANGUAGE_PROFILES, min_length_gate, with_language
 from workload import sql as S
 from workload.data import CONSUMER, LABELS, docs, table, transcripts
@@ -95,6 +96,21 @@ def _(spark, sf):
     return with_language(docs(spark, sf), "text").select("doc_id", "language")
 
 
+# The seeds are words of two of the languages, so that learnt weights tell them apart.
+_UP, _DOWN = ["the", "and"], ["der", "und"]
+
+
+@query("learn_polarity", f"""WITH t AS (SELECT list_distinct({S.word_tokens("lower(coalesce(text, ''))")}) AS w FROM documents),
+    m AS (SELECT w, list_has_any(w, {S.qlist(_UP)})::INT AS up, list_has_any(w, {S.qlist(_DOWN)})::INT AS down FROM t),
+    n AS (SELECT word, count(*) AS texts, sum(up) AS up, sum(down) AS down FROM (SELECT unnest(w) AS word, up, down FROM m)
+      GROUP BY 1 HAVING count(*) >= 5),
+    b AS (SELECT word, texts, log2((up + 0.5) / ((SELECT sum(up) FROM m) + 1.0)) - log2((down + 0.5) / ((SELECT sum(down) FROM m) + 1.0))
+      AS bits FROM n)
+    SELECT word, texts, round(bits / (1 + abs(bits)), 6) AS weight FROM b""")
+def _(spark, sf):
+    return learn_polarity(docs(spark, sf), "text", _UP, _DOWN)
+
+
 # The same counts, weights and sums over all documents; trigrams by the code points of lower-cased letters.
 _GRAMS = r"""g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i:
       (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 32768)) AS b
