@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 23  # one megabyte: of 800,000 values about one other in fifty passes, of more values more
+BITS = 1 << 23  # one megabyte: of 800,000 values about one other in a hundred passes, of more values more
 HASHES = 4
 
 
