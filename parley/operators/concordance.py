@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.fixed_values import STOP_WORDS, TOKEN_EDGE
 from parley.functions.once import once
 from parley.functions.terms import is_word_char, quote
 from parley.functions.text import SPACE_CLASS, WORD_CLASS, as_text, words
+from parley.operators.frequent import most_frequent
 
 
 def keyword_pattern(keyword: str, bounded: bool, case_sensitive: bool = False) -> str:
@@ -123,7 +124,6 @@ def collocations(matches: DataFrame, n: int = 8, min_len: int = 3) -> DataFrame:
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in
                       (("left", "Left"), ("right", "Right"))])
     raw = matches.select(F.inline(sides)).select("side", F.explode(words(F.lower("text"))).alias("w"))
-    counted = (raw.where(F.length("w") >= min_len).withColumn("word", F.btrim("w", F.lit(TOKEN_EDGE)))
-               .where(~F.col("word").isin(STOP_WORDS)).groupBy("side", "word").agg(F.count("*").alias("count")))
-    place = F.row_number().over(Window.partitionBy("side").orderBy(F.col("count").desc(), "word"))
-    return counted.withColumn("place", place).where(F.col("place") <= n)
+    kept = (raw.where(F.length("w") >= min_len).select("side", F.btrim("w", F.lit(TOKEN_EDGE)).alias("word"))
+            .where(~F.col("word").isin(STOP_WORDS)))
+    return most_frequent(kept, "word", n, by=["side"]).withColumnRenamed("Count", "count")

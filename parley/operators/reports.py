@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parley.fixed_values import NOT_AVAILABLE, UNCATEGORIZED
 from parley.functions.once import once
 from parley.functions.text import as_text, content_tokens, ngrams
+from parley.operators.frequent import most_frequent
 from parley.operators.quantiles import exact_quantiles
 
 LEVELS = ["Category", "Subcategory", "L3", "L4"]
@@ -140,11 +141,10 @@ def uncategorized(out: DataFrame) -> DataFrame:
 
 
 def top_ngrams(rows: DataFrame, n: int, k: int, text_col: str = "Original_Text") -> DataFrame:
-    """The ``k`` most frequent runs of ``n`` content words."""
+    """The ``k`` most frequent runs of ``n`` content words; ``rows`` is read twice (``most_frequent``), so store results first."""
     listed = rows.select(once(content_tokens(as_text(text_col))).alias("tokens"))
     grams = listed.select(F.explode(ngrams(F.col("tokens"), n)).alias("ngram"))
-    return (grams.groupBy("ngram").agg(F.count("*").alias("Count"))
-            .orderBy(F.col("Count").desc(), "ngram").limit(k))
+    return most_frequent(grams, "ngram", k).drop("place").orderBy(F.col("Count").desc(), "ngram")
 
 
 def uncat_sample(out: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
