@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRACKED = 4096     # values that a summary holds
+TRACKED = 1 << 15  # values that a summary holds, about a megabyte
 CANDIDATES = 1000  # values of a group that are recounted, at least four times those asked for
 BUCKETS = 1 << 16  # counts of all other values, by hash
 MERGED_BY = 256    # tasks that unite the summaries before the last one does
