@@ -15,6 +15,7 @@ from parley.functions.once import constant, once
 from parley.functions.substrings import occurrences
 from parley.functions.terms import clean_term, is_plain_word, term_found
 from parley.functions.text import as_text, normalize, strip, word_tokens, words
+from parley.operators.containment import contained, text_key
 from parley.operators.matching import Index, Rule
 
 MAX_LIST = 100_000
@@ -379,34 +380,46 @@ def min_length_gate(df: DataFrame, text_col: str, language_col: str, result_cols
     return df.withColumns({c: F.when(ok, F.col(c)).otherwise("") for c in result_cols})
 
 
-def _pieces(text: str, lengths: str) -> Column:
-    """The different substrings of a text which have one of the lengths."""
-    size = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(
-        F.filter(lengths, lambda n: n <= size),
-        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col(text), at, n)))))
+HOT_SHARE = 1000  # names of at least one in so many rows, at most that many names, are joined by a broadcast
+
+
+def _spread(df: DataFrame) -> Column:
+    """A hash of what a row holds, to deal out rows that have nothing to meet."""
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(F.lit(0), *plain)
 
 
 def detect_industry(df: DataFrame, company_col: str, companies: DataFrame, out: str = "industry") -> DataFrame:
     """Add the industry of the first listed company which equals, contains or is contained in the name.
 
     ``companies`` (industry_no, industry, company_no, company) may be of any size. Each different name is decided
-    once: its substrings that are as long as some company are joined with the companies, and it is joined with the
-    substrings of companies that are as long as some name. Equal strings meet, no name is held against all companies.
+    once, by an index on rare grams (``contained``): no name is held against all companies, and long names cost their
+    grams. Names of a thousandth of all rows or more find their industry by a broadcast, so no name is one task.
     Null without a match; blank names and blank companies match nothing.
     """
     place = F.min(F.struct("industry_no", "company_no", "industry")).alias("place")
-    listed = (companies.withColumn("c", F.lower("company")).where(F.trim("c") != "").groupBy("c").agg(place))
-    names = df.select(F.trim(F.lower(F.col(company_col))).alias("name")).where("name <> ''").distinct()
-
-    def lengths(rows, text):  # one row: the different lengths of short strings
-        return F.broadcast(rows.agg(F.collect_set(F.length(text)).alias("lengths")))
-
-    inside = (names.crossJoin(lengths(listed, "c")).select("name", F.explode(_pieces("name", "lengths")).alias("c"))
-              .join(listed, "c").select("name", "place"))
-    around = (listed.crossJoin(lengths(names, "name")).select("place", F.explode(_pieces("c", "lengths")).alias("name"))
-              .groupBy("name").agg(F.min("place").alias("place")).join(names, "name").select("name", "place"))
-    best = (inside.unionByName(around).groupBy(F.col("name").alias("__name"))
+    listed = (companies.withColumn("text", F.lower("company")).where(F.trim("text") != "").groupBy("text").agg(place)
+              .withColumn("key", text_key(F.col("text"))))
+    name = F.trim(F.lower(F.col(company_col)))
+    counted = df.select(name.alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
+    names, firms = (t.select("key", "text") for t in (counted.withColumn("key", text_key(F.col("text"))), listed))
+
+    inside = contained(firms, names).select(F.col("long").alias("__name"), F.col("short").alias("key"))
+    around = contained(names, firms).select(F.col("short").alias("__name"), F.col("long").alias("key"))
+    best = (inside.unionByName(around).join(listed.select("key", "place"), "key").groupBy("__name")
             .agg(F.min("place")["industry"].alias("__industry")))
-    return (df.join(best, F.trim(F.lower(df[company_col])) == best["__name"], "left")
-            .withColumn(out, F.col("__industry")).drop("__name", "__industry"))
+
+    total = counted.agg(F.sum("n").alias("total")).scalar()
+    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE >= total).select(text_key(F.col("text")).alias("__hot")))
+    keyed = df.withColumn("__key", F.when(name != "", text_key(name))).join(hot, F.col("__key") == F.col("__hot"), "left")
+    # Rows without a name, and those of hot names, are dealt by all they hold; ``__cold`` tells that they meet nothing there.
+    cold = F.col("__key").isNotNull() & F.col("__hot").isNull()
+    dealt = keyed.withColumn("__cold", cold).withColumn(
+        "__at", F.when(cold, F.col("__key")).otherwise(F.encode(_spread(df).cast("string"), "utf-8")))
+    few = F.broadcast(best.join(hot, F.col("__name") == F.col("__hot"), "left_semi").select(
+        F.col("__name").alias("__few"), F.col("__industry").alias("__hot_industry")))
+    rest = best.select(F.lit(True).alias("__match"), F.col("__name"), F.col("__industry"))
+    met = (dealt.join(few, F.col("__hot") == F.col("__few"), "left")
+           .join(rest, (F.col("__at") == F.col("__name")) & (F.col("__cold") == F.col("__match")), "left"))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c != out],
+                      F.coalesce("__hot_industry", "__industry").alias(out))
