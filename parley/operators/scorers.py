@@ -17,6 +17,7 @@ from parley.functions.terms import clean_term, is_plain_word, term_found
 from parley.functions.text import as_text, normalize, strip, word_tokens, words
 from parley.operators.containment import contained, text_key
 from parley.operators.matching import Index, Rule
+from parley.session import materialize
 
 MAX_LIST = 100_000
 LEVELS = ["l1", "l2", "l3", "l4"]
@@ -402,7 +403,10 @@ def detect_industry(df: DataFrame, company_col: str, companies: DataFrame, out:
               .withColumn("key", text_key(F.col("text"))))
     name = F.trim(F.lower(F.col(company_col)))
     counted = df.select(name.alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
-    names, firms = (t.select("key", "text") for t in (counted.withColumn("key", text_key(F.col("text"))), listed))
+    # Written once: both are read several times below, and the rows may be costly to work out.
+    listed = materialize(listed, "companies")
+    counted = materialize(counted.withColumn("key", text_key(F.col("text"))), "names")
+    names, firms = (t.select("key", "text") for t in (counted, listed))
 
     inside = contained(firms, names).select(F.col("long").alias("__name"), F.col("short").alias("key"))
     around = contained(names, firms).select(F.col("short").alias("__name"), F.col("long").alias("key"))
@@ -410,7 +414,7 @@ def detect_industry(df: DataFrame, company_col: str, companies: DataFrame, out:
             .agg(F.min("place")["industry"].alias("__industry")))
 
     total = counted.agg(F.sum("n").alias("total")).scalar()
-    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE >= total).select(text_key(F.col("text")).alias("__hot")))
+    hot = F.broadcast(counted.where(F.col("n") * HOT_SHARE >= total).select(F.col("key").alias("__hot")))
     keyed = df.withColumn("__key", F.when(name != "", text_key(name))).join(hot, F.col("__key") == F.col("__hot"), "left")
     # Rows without a name, and those of hot names, are dealt by all they hold; ``__cold`` tells that they meet nothing there.
     cold = F.col("__key").isNotNull() & F.col("__hot").isNull()
