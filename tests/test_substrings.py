@@ -63,3 +63,18 @@ def test_thousands_of_conditions_cost_little(spark):
 
     few, many = seconds(20, classify_keyword_first), seconds(20_000, classify_keyword_first)
     assert many < 3 * few + 1, (few, many)
+
+
+def test_places_held_at_once():
+    """A worker holds the places of a few texts, not those of its whole batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from parley.functions.substrings import found_in
+    batch = pa.array(["ab" * 400] * 10_000)
+    tracemalloc.start()
+    n = sum(len(x.values) for x in found_in([batch], ("a", "b", "ab"), False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 * 1200 and peak < 20_000_000, peak
