@@ -10,6 +10,7 @@ from parley.functions.once import once
 from parley.functions.terms import is_word_char, quote
 from parley.functions.text import SPACE_CLASS, WORD_CLASS, as_text, words
 from parley.operators.frequent import most_frequent
+from parley.session import materialize
 
 
 def keyword_pattern(keyword: str, bounded: bool, case_sensitive: bool = False) -> str:
@@ -120,10 +121,11 @@ def kwic_distribution(matches: DataFrame, col: str = "Category") -> DataFrame:
 
 
 def collocations(matches: DataFrame, n: int = 8, min_len: int = 3) -> DataFrame:
-    """The ``n`` most frequent neighbours on each side, without stop words; ``min_len`` counts untrimmed letters."""
+    """The ``n`` most frequent neighbours on each side, without stop words; ``min_len`` counts untrimmed letters. ``matches``
+    is worked out once, and its neighbours are written to the shared folder, as ``most_frequent`` reads them twice."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in
                       (("left", "Left"), ("right", "Right"))])
     raw = matches.select(F.inline(sides)).select("side", F.explode(words(F.lower("text"))).alias("w"))
     kept = (raw.where(F.length("w") >= min_len).select("side", F.btrim("w", F.lit(TOKEN_EDGE)).alias("word"))
             .where(~F.col("word").isin(STOP_WORDS)))
-    return most_frequent(kept, "word", n, by=["side"]).withColumnRenamed("Count", "count")
+    return most_frequent(materialize(kept, "neighbours"), "word", n, by=["side"]).withColumnRenamed("Count", "count")

@@ -75,3 +75,25 @@ def test_wrong_candidates_do_no_harm(spark):
     wrong = spark.createDataFrame([("w1",), ("nowhere",)], "__listed string")
     counts = recounted(rows, "word", [], 2, wrong)
     assert open_buckets(counts, []).count() > 10_000  # fewer than two candidates occur: all buckets stay open
+
+
+def test_rows_are_worked_out_once(spark):
+    """Words and neighbours are read twice, three times where counts are flat, but what makes the texts runs once."""
+    from parley.operators.concordance import collocations
+    from parley.operators.reports import top_ngrams
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 3000, numPartitions=4).selectExpr("concat('word', id % 700) AS t").mapInArrow(make, "t string")
+    want = [(f"word{k}", 5) for k in sorted(range(200), key=str)[:5]]
+    assert [(r.ngram, r.Count) for r in top_ngrams(rows, 1, 5, "t").collect()] == want and made.value == 3000
+    got = collocations(rows.selectExpr("t AS Left", "t AS Right"), 5, 0).where("side = 'left'").orderBy("place").collect()
+    assert [(r.word, r["count"]) for r in got] == want and made.value == 6000
+    none = rows.where("t = ''")
+    assert top_ngrams(none, 1, 5, "t").count() == 0
+    assert collocations(none.selectExpr("t AS Left", "t AS Right"), 5).count() == 0
