@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +21,10 @@ WORDS = 5
 SIMILARITY = 0.8
 LANES = 3  # 64-bit words of a fingerprint
 RADIUS = 56
-BANDS, ROWS = 16, 4
+BANDS = 16        # bands at least
+BAND_BITS = 20    # bits of a band at most
+MISSED = 0.0001   # of pairs of which 0.175 of the bits differ; at a similarity of 0.8 it is 0.15 on the average
+BUCKET = 2_048    # fingerprints that agree in a band by chance, at most
 TILE = 4_096
 TEXTS = 64
 _U = np.uint64
@@ -46,56 +51,95 @@ def long_fingerprint(h: np.ndarray) -> list[int]:
     return out
 
 
-_MIX = scramble(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+def bits_for(n: int) -> int:
+    """Bits of a band for ``n`` fingerprints, so that about ``BUCKET`` of them agree in one by chance."""
+    return min(BAND_BITS, max(4, math.ceil(math.log2(max(n, 1) / BUCKET))))
 
 
-def bands(h: np.ndarray) -> list[int]:
-    """Keys that sets of shingle hashes share if they agree in all ``ROWS`` minima of a band: MinHash of ``BANDS`` bands.
+def band_places(bits: int) -> np.ndarray:
+    """The bits of a fingerprint that each band looks at, a row a band: blocks of permuted fingerprints.
 
-    Sets of a Jaccard similarity s share a band with a probability of 1 - (1 - s ** 4) ** 16: 0.9998 at 0.8, less than
-    0.03 at 0.2. The minima are those of odd multiples of scrambled hashes.
+    A bit of two sets of a similarity of 0.8 differs with a probability of 0.151 (the angle between them), so a band of b
+    bits is shared with one of 0.849 ** b; there are as many bands as leave ``MISSED`` of the pairs without any.
     """
+    n = max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-(0.825**bits))))
+    rng, each = np.random.Generator(np.random.PCG64(9)), 64 * LANES // bits
+    blocks = [rng.permutation(64 * LANES)[: each * bits].reshape(each, bits) for _ in range(-(-n // each))]
+    return np.concatenate(blocks)[:n]
+
+
+def fingerprint_bands(lanes: list[np.ndarray], bits: int) -> np.ndarray:
+    """Band keys, a row a fingerprint: number of the band, then what the fingerprint has in its places."""
+    places = band_places(bits)
+    ones = np.unpackbits(np.stack(lanes, 1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+    out = np.zeros((len(ones), len(places)), np.int64) + (np.arange(len(places)) << bits)
+    for k in range(bits):
+        out += ones[:, places[:, k]].astype(np.int64) << k
+    return out
+
+
+def bands(h: np.ndarray, bits: int = BAND_BITS) -> list[int]:
+    """Keys that sets of shingle hashes share if their SimHash fingerprints agree in all bits of a band."""
     if not len(h):
         return []
-    x, low = scramble(h), np.full(BANDS * ROWS, 2**64 - 1, _U)
-    for at in range(0, len(x), 2048):
-        part = x[at: at + 2048, None] * _MIX[None, :]
-        np.minimum(low, (part ^ (part >> _U(32))).min(axis=0), out=low)
-    key = np.zeros(BANDS, _U) + np.arange(BANDS, dtype=_U)
-    for row in low.reshape(BANDS, ROWS).T:
-        key = scramble(key * _U(0xC2B2AE3D27D4EB4F) + row)
-    return key.view(np.int64).tolist()
+    return fingerprint_bands([np.array([x], np.int64) for x in long_fingerprint(h)], bits)[0].tolist()
 
 
 def _prints(words: int):
-    """Key, fingerprint and bands of each row's shingle set."""
+    """Key and fingerprint of each row's shingle set."""
     def run(batches):
         for batch in batches:
-            keys, lanes, found = [], [[] for _ in range(LANES)], []
+            keys, lanes = [], [[] for _ in range(LANES)]
             for text in batch.column(2).to_pylist():
                 h = shingle_set(text, words)
                 keys.append(set_key(h))
-                found.append(bands(h))
                 for lane, x in zip(lanes, long_fingerprint(h)):
                     lane.append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in lanes),
-                 pa.array(found, pa.list_(pa.int64()))], names=["_id", "_hash", "_key", *(f"_f{k}" for k in range(LANES)), "_bands"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in lanes)],
+                names=["_id", "_hash", "_key", *(f"_f{k}" for k in range(LANES))])
+
+    return run
+
+
+def _banded(bits: int, rows: int = 1024):
+    """Each fingerprint once a band."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, rows).columns]
+                found = fingerprint_bands(part[1:], bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, found.shape[1])) for c in part] + [pa.array(found.ravel())],
+                                                 names=["_key", *(f"_f{k}" for k in range(LANES)), "_band"])
 
     return run
 
 
 def _near(x: list[np.ndarray], y: list[np.ndarray], radius: int, block: int = 256):
-    """Index pairs whose fingerprints differ in at most ``radius`` bits."""
+    """Index pairs whose fingerprints differ in at most ``radius`` bits.
+
+    Both sides are sorted by population count and cut into tiles. The counts of two fingerprints differ by no more than
+    their bits do, so tile pairs whose ranges of counts lie more than ``radius`` apart are skipped.
+    """
+    def cut(lanes):
+        count = sum(np.bitwise_count(v).astype(np.int64) for v in lanes)
+        order = np.argsort(count, kind="stable")
+        return order, [v[order] for v in lanes], count[order]
+
+    own, x, low = cut(x)
+    other, y, high = cut(y)
     found = []
-    for p in range(0, len(x[0]), block):
-        for q in range(0, len(y[0]), 4 * block):
+    for p in range(0, len(own), block):
+        least, most = low[p], low[min(p + block, len(own)) - 1]
+        for q in range(0, len(other), 4 * block):
+            if high[q] - most > radius or least - high[min(q + 4 * block, len(other)) - 1] > radius:
+                continue
             far = np.zeros((len(x[0][p: p + block]), len(y[0][q: q + 4 * block])), np.uint8)
             for a, b in zip(x, y):
                 far += np.bitwise_count(a[p: p + block, None] ^ b[None, q: q + 4 * block])
             i, j = np.nonzero(far <= radius)
             if len(i):
-                found.append((i + p, j + q))
+                found.append((own[i + p], other[j + q]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*found))
@@ -154,15 +198,19 @@ def _verified(words: int, similarity: float):
 
 
 def candidate_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``a, b`` that connect the keys which pairs of one band within ``radius`` bits connect.
+    """Links ``a, b`` that connect the keys which pairs of one of their ``_bands`` within ``radius`` bits connect."""
+    lanes = [f"_f{k}" for k in range(LANES)]
+    classes = prints.groupBy("_key").agg(*(F.first(c).alias(c) for c in [*lanes, "_bands"]))
+    return band_links(classes.select("_key", *lanes, F.explode("_bands").alias("_band")), radius, tile)
+
+
+def band_links(rows: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The same of one row a key and ``_band``.
 
     Only texts of the same band are compared, so the work grows with the texts and with how many of them are really
     alike; a band that very many texts share is cut into tiles (see ``tiled``), all of which are compared.
     """
-    lanes = [f"_f{k}" for k in range(LANES)]
-    classes = prints.groupBy("_key").agg(*(F.first(c).alias(c) for c in [*lanes, "_bands"]))
-    rows = classes.select("_key", *lanes, F.explode("_bands").alias("_band"))
-    x = F.struct("_key", *lanes)
+    x = F.struct("_key", *[f"_f{k}" for k in range(LANES)])
     pairs = (tiled(rows, ["_band"], "_key", tile).groupBy("_band", "_a", "_b")
              .agg(F.collect_list(F.when(F.col("_own") == F.col("_a"), x)).alias("x"),
                   F.collect_list(F.when(F.col("_own") != F.col("_a"), x)).alias("y"))
@@ -175,10 +223,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id and ``component_id``, the smallest id reachable over pairs of texts whose sets of word
     shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Texts of equal sets are one class. Classes that share one of 16 bands of MinHash and whose SimHash fingerprints (192
-    bits of five-word shingles) differ in at most 56 bits are candidates, and only pairs with the similarity, on all
-    their shingles, are linked. Two sets of a similarity of exactly 0.8 share a band with a probability of 0.9998; their
-    fingerprints differ in 24 to 29 bits with a deviation of 5. Shingles and sets are compared by 64-bit hashes.
+    Texts of equal sets are one class. Classes whose SimHash fingerprints (192 bits of five-word shingles) agree in one of
+    the bands (``band_places``) and differ in at most 56 bits are candidates, and only pairs with the similarity, on all
+    their shingles, are linked. Two sets of a similarity of exactly 0.8 share a band with a probability of 0.9998 or more;
+    their fingerprints differ in 24 to 29 bits with a deviation of 5. Bands get longer, and more, with the number of
+    classes, so that chance meetings do not grow with it. Shingles and sets are compared by 64-bit hashes.
 
     Texts without words are one class; a text of fewer words than a shingle is one shingle. Repeated rows give repeated
     rows; a null id stays null and takes part in its component, whose id is the smallest that is not null.
@@ -186,10 +235,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    schema = (f"_id {id_type.simpleString()}, _hash long, _key long, " + ", ".join(f"_f{k} long" for k in range(LANES))
-              + ", _bands array<long>")
+    lanes = [f"_f{k}" for k in range(LANES)]
+    schema = f"_id {id_type.simpleString()}, _hash long, _key long, " + ", ".join(f"{c} long" for c in lanes)
     prints = materialize(rows.mapInArrow(_prints(words), schema), "long-fingerprints")
-    near = materialize(components(candidate_links(prints)).withColumnRenamed("node", "_key").withColumnRenamed("root", "_near"), "near-keys")
+    classes = materialize(prints.groupBy("_key").agg(*(F.first(c).alias(c) for c in lanes)), "fingerprint-classes")
+    banded = classes.mapInArrow(_banded(bits_for(classes.count())), "_key long, " + ", ".join(f"{c} long" for c in lanes) + ", _band long")
+    near = materialize(components(band_links(banded)).withColumnRenamed("node", "_key").withColumnRenamed("root", "_near"), "near-keys")
     # One text of each class that has a candidate; equal texts are found by their hash, not by their shingles.
     one = prints.join(near, "_key").groupBy("_key", "_near").agg(F.min("_hash").alias("_hash"))
     texts = (rows.select("_hash", "_text").join(one, "_hash").groupBy("_near", "_key").agg(F.first("_text").alias("_text")))

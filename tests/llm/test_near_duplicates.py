@@ -94,3 +94,37 @@ def test_looked_up(spark):
     got = looked_up(rows, table, "k").collect()
     assert len(got) == 5000 and all(x.v == 2 * x.k for x in got)
     assert looked_up(rows.limit(0), table.limit(0), "k").collect() == [] and near_duplicates.BANDS == 16
+
+
+def test_candidates_by_simhash():
+    """Candidates come from the fingerprints: with bands as short and as long as tables ask for, nearly all pairs with a
+    Jaccard similarity of 0.8 agree in one, and chance meetings stay few."""
+    rng = np.random.default_rng(9)
+    pairs = []
+    for _ in range(600):
+        n = int(rng.integers(10, 200))
+        both = int(np.ceil(2 * n * 0.8 / 1.8 - 1e-9))
+        x = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
+        pairs.append([near_duplicates.long_fingerprint(h) for h in (x[:n], x[n - both:])])
+    left, right = ([np.array(lane, np.int64) for lane in zip(*side)] for side in zip(*pairs))
+    for n in (300, 50_000, 1_000_000, 20_000_000):
+        bits = near_duplicates.bits_for(n)
+        one, other = (near_duplicates.fingerprint_bands(side, bits) for side in (left, right))
+        assert (one == other).any(1).sum() >= 0.995 * len(pairs)
+        assert n / 2**bits <= near_duplicates.BUCKET or n == 300
+        assert (one[:-1] == other[1:]).mean() < 3 / 2**bits  # other texts
+
+
+def test_tiles_of_distant_population_counts(monkeypatch):
+    """Tile pairs whose population counts lie apart are not compared; what is near is found as by a loop."""
+    rng = np.random.default_rng(4)
+    lanes = [rng.integers(0, 2**63, 900).astype(np.uint64) for _ in range(3)]
+    for v in lanes:
+        v[:300] = np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+        v[300:600] = ~v[:300]
+    want = {(i, j) for i in range(900) for j in range(900) if sum(int(v[i] ^ v[j]).bit_count() for v in lanes) <= 6}
+    counted, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda v: counted.append(v.size) or count(v))
+    i, j = near_duplicates._near(lanes, lanes, 6, block=64)
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) >= 900 and len(i) == len(want)
+    assert sum(counted) < 0.75 * 3 * 900**2
