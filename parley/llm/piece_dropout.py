@@ -189,35 +189,34 @@ class Merger:
             child = np.cumsum(here) - 1
             node = child[edge]
             # Children: the parent's symbols, with the candidate merged or its score gone.
-            parent = edges >> 1
-            (sym, start, end, made, score), offset = self._copies((sym, start, end, made, score), head, width, parent)
-            spot = offset + cand[parent] - head[parent]
-            width = width[parent].copy()
-            taken = np.flatnonzero(edges & 1 == 0)
-            score[spot[edges & 1 == 1]] = -np.inf
+            parent, taken = edges >> 1, edges & 1 == 0
+            c = cand[parent]
+            (sym, start, end, made, score), offset, size, (merged, until) = self._children(
+                (sym, start, end, made, score), head[parent], width[parent], c, taken)
+            spot = offset + c - head[parent]
+            score[spot], width = -np.inf, size
             t = spot[taken]
-            sym[t], end[t] = made[t], end[t + 1]
-            stay = np.ones(len(sym), bool)
-            stay[t + 1] = False
-            # The next symbol of a merged one lies two on, as the one between is about to leave.
-            tail, lead = t + 2 < (offset + width)[taken], t > offset[taken]
-            score[t] = -np.inf
-            made[t] = -1
-            left, right = np.concatenate((t[tail], t[lead] - 1)), np.concatenate((t[tail] + 2, t[lead]))
+            sym[t], end[t], made[t] = merged, until, -1
+            tail, lead = t + 1 < (offset + width)[taken], t > offset[taken]
+            left, right = np.concatenate((t[tail], t[lead] - 1)), np.concatenate((t[tail] + 1, t[lead]))
             new = self.lookup(sym[left], sym[right])
             made[left] = new
             score[left] = np.where(new >= 0, self.score[new], -np.inf)
-            width[taken] -= 1
-            sym, start, end, made, score = (x[stay] for x in (sym, start, end, made, score))
         ids, start, size = (np.concatenate(x) for x in zip(*done)) if done else (sym, start, np.zeros(0, np.int64))
         return ids, start, np.concatenate(([0], np.cumsum(size))), of_end, skipped
 
     @staticmethod
-    def _copies(columns, head, width, pick):
-        size = width[pick]
+    def _children(columns, head, width, cand, taken):
+        """The columns of all children, without the symbol behind a candidate that is taken; their offsets and sizes, and
+        the symbols and ends of the merged ones."""
+        size = width - taken
         offset = np.cumsum(size) - size
-        at = np.repeat(head[pick] - offset, size) + np.arange(int(size.sum()))
-        return tuple(x[at] for x in columns), offset
+        shift, upto = head - offset, cand - head + 1  # up to the candidate, and behind it
+        at = np.repeat(np.stack((shift, shift + taken), 1).ravel(), np.stack((upto, size - upto), 1).ravel())
+        at += np.arange(len(at))
+        _, _, end, made, _ = columns
+        c = cand[taken]
+        return tuple(x[at] for x in columns), offset, size, (made[c], end[c + 1])
 
     def _skips(self, key, start, middle, end, made):
         x = scramble(key ^ (start.astype(_U) << _U(42) | middle.astype(_U) << _U(21) | end.astype(_U)))
@@ -274,7 +273,8 @@ class Merger:
         flat, ends = gather(sym, offsets, short)
         few = size[of] <= LONG
         near = np.flatnonzero(few)
-        ids, start, at, end, _ = self.walk(flat, ends, np.searchsorted(short, of[near]), None if variants is None else variants[near])
+        number = np.cumsum(size <= LONG) - 1  # of a chunk among the short ones
+        ids, start, at, end, _ = self.walk(flat, ends, number[of[near]], None if variants is None else variants[near])
         index = np.zeros(len(of), np.int64)
         index[near] = end
         # Where a segmentation's chunk begins, to find the characters that are no piece.
@@ -327,9 +327,10 @@ class Merger:
         starts = self.chunk_starts(points, edges)
         ends = np.append(starts[1:], len(points))
         of, seen = distinct(points, starts, ends)
-        doc = np.searchsorted(edges, starts, "right") - 1
+        begin = np.searchsorted(starts, edges)  # a document's first chunk
+        doc = np.repeat(np.arange(len(texts)), begin[1:] - begin[:-1])
         seeds = np.array([xxhash.xxh64_intdigest(str(k).encode("utf-8", "surrogatepass"), self.seed) for k in keys], _U)
-        place = np.arange(len(starts)) - np.searchsorted(starts, edges[:-1])[doc]
+        place = np.arange(len(starts)) - begin[:-1][doc]
         variant = scramble(place.astype(_U) * _U(0x9E3779B97F4A7C15) + seeds[doc])
         chars, offsets = gather(points, np.append(starts, len(points)), seen)
         if self.dropout <= 0:  # all occurrences of a chunk are alike
@@ -338,12 +339,11 @@ class Merger:
         else:
             ids, at, index = self.segment(chars, offsets, of, variant % _U(variants) if variants > 0 else variant)
         ids, at = gather(ids, at, index)
-        return ids, at[np.searchsorted(starts, edges)]
+        return ids, at[begin]
 
     def decode(self, ids) -> str:
         """The text of a list of ids. The blank put in front of every text is taken off."""
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:]
 
 
@@ -396,7 +396,7 @@ def _decode(out: pa.Schema, at: int, model: str):
             lists, texts = batch.column(at), []
             for k in range(batch.num_rows):  # row by row: a batch of ids as Python numbers would be large
                 ids = lists[k].values
-                texts.append(merger.decode(ids.to_pylist()) if ids is not None and len(ids) else "")
+                texts.append(merger.decode(ids.to_numpy().tolist()) if ids is not None and len(ids) else "")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=out)
 
     return run
