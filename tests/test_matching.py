@@ -191,3 +191,16 @@ def test_terms():
     assert term_words("cancel* my plan") == ["my", "plan"]
     assert term_words("case #") == ["case"]
     assert term_pattern("a.b").startswith(r"a\.b")
+
+
+def test_a_frequent_word_leads_to_no_phrases_and_single_terms_are_not_decided(spark):
+    """80 phrases with "the": none is looked at in a text without their own word."""
+    rules = [{"rule_id": f"P{i}", "terms": [f"the word{i}" if i % 2 else f"word{i} the"], "l1": "Phrase"} for i in range(80)]
+    rules += [{"rule_id": "N", "terms": ["near", "the"], "operators": ["NEAR"], "proximity": 3, "l1": "Near"}]
+    index = M.Index(M.read_rules(rules_from_dicts(spark, rules)))
+    assert [e["t"] for b in index.buckets for e in b if e["k"] == "the"] == [t for t, e in enumerate(index.terms) if e["word"] == "the"]
+    assert sum(len(e["sure"]) for e in index.split) == 80 and sum(len(e["asked"]) for e in index.split) == 2
+    texts = [(1, "so the word3 came"), (2, "the, word3"), (3, "the word33"), (4, "bathe word3"), (5, "word4 the end"),
+             (6, "near is the"), (7, "the the the"), (8, "near only"), (9, "near one two three four five the"), (10, None)]
+    got = M.rule_hits_all(spark.createDataFrame(texts, "id int, t string"), rules, "t", "id").collect()
+    assert sorted((r.id, r.rule_id) for r in got) == [(1, "P3"), (3, "P33"), (5, "P4"), (6, "N")]
