@@ -1,5 +1,9 @@
 """The full record with each row's own industry and language."""
 
+import duckdb
+
+import __spark_entry__ as entry
+from check import norm
 from parley.operators.language_model import fit_language
 from parley.plans.runs import FULL_COLUMNS, full_run
 from workload.seed import SEED_GROUPS
@@ -24,3 +28,26 @@ def test_own_industry_and_language(spark):
 def test_without_either(spark):
     out = full_run(spark.createDataFrame(ROWS, "i int, t string, c string"), SEED_GROUPS, {}, "i", "t")
     assert out.columns == FULL_COLUMNS and {r.Industry for r in out.collect()} == {"Unknown"}
+
+
+def test_every_stage_is_in_the_record(spark, tmp_path):
+    """The query gives what each stage of the run makes, one record a row, repeated ids and null ids included."""
+    texts = ["nicht thanedble: call 555-123-4567", "nicht thanedble: call 555-123-4567", None, "cancel the thing, of the bad refund",
+             "bad of the: write to a@b.org or c@d.org"]
+    ids = [1, 1, 2, None, 2]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "bad thing refund nicht")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["project_result_full"])
+    names = [c[0] for c in want.description]
+    out = entry.queries()["project_result_full"](spark, str(tmp_path))
+    assert out.columns == FULL_COLUMNS == names
+    got = out.collect()
+    assert sorted((tuple(norm(v) for v in r) for r in got), key=repr) == sorted(
+        (tuple(norm(v) for v in r) for r in want.fetchall()), key=repr)
+    assert sorted((r.L1_Category, r.Theme_Count > 0, r.Sentiment, r.PII_Types) for r in got) == [
+        ("Billing", True, "Negative", '{"emails":2}'), ("Billing", True, "Positive", "{}"),
+        ("Product", True, "Positive", '{"phones":1}'), ("Product", True, "Positive", '{"phones":1}'),
+        ("Uncategorized", False, "Neutral", "{}")]
