@@ -5,11 +5,14 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm.divergence import CLASSES, distances, divergence_rules
+from parley.llm import divergence
+from parley.llm.divergence import CLASSES, DIVERGENCE_SQL, distances, divergence_rules
 from parley.llm.fill_in_middle import UNITS, WaveletMatrix, fill_in_middle, middle_digest, restore
 from parley.llm.spelling_variants import spelling_variants, words_of
 
@@ -215,3 +218,24 @@ def test_divergence_odd_tables(spark):
     assert len(rows) == 3 and [r.n_words for r in rows if r.doc_id is None] == [60, 60]
     assert [(r.n_words, r.base_failed, r.kept) for r in rows if r.doc_id == 1] == [(0, True, False)]
     assert divergence_rules(df.limit(0)).collect() == [] and divergence_rules(df, lang_col=None).count() == 3
+
+
+@pytest.mark.parametrize("dense", [divergence.DENSE, 0])
+def test_divergence_any_number_of_languages(spark, monkeypatch, dense):
+    """No language is left out: more than a hundred, the rarest too, and one whose words are all long."""
+    monkeypatch.setattr(divergence, "DENSE", dense)
+    r, rows = random.Random(5), []
+    for k in range(102):
+        for n in range(40 if k < 100 else 20):
+            word = "longerthanall" if k == 101 else f"l{k}w"
+            rows.append((len(rows), " ".join(f"{word}{j % 40}" for j in r.sample(range(60 + n), 60 + n)), f"lang{k}"))
+    rows += [(len(rows) + n, " ".join(f"none{n}x{j}" for j in range(90)), "few") for n in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: (x.base_failed, x.kept) for x in divergence_rules(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", pa.table(dict(zip(("doc_id", "text", "lang"), map(list, zip(*rows))))))
+    res = con.execute(DIVERGENCE_SQL)
+    at = [c[0] for c in res.description]
+    assert got == {x[0]: (x[at.index("base_failed")], x[at.index("kept")]) for x in res.fetchall()}
+    kept = Counter(lang for k, _, lang in rows if got[k][1])
+    assert (kept["lang0"], kept["lang100"], kept["lang101"]) == (40, 20, 20)
